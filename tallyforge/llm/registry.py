@@ -1,10 +1,14 @@
 """Queries of this subpackage by name, and DuckDB SQL for those that SQL can express on whole tables."""
 
-from . import line_dedup, mpegts, simhash_dedup
+from . import line_dedup, mixing, mpegts, packing, simhash_dedup, suffix_tree_lm, toxicity
 
 QUERIES = {
     "op1_mpegts": mpegts.op1_mpegts,
+    "op2_packing": packing.op2_packing,
+    "op3_suffix_tree": suffix_tree_lm.op3_suffix_tree,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_simhash": simhash_dedup.op6_simhash,
+    "op7_mixing": mixing.op7_mixing,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 SQL = {"op5_line_dedup": line_dedup.SQL}
