@@ -84,7 +84,9 @@ class Model:
         return out
 
     def score(self, pooled: np.ndarray) -> np.ndarray:
-        z = pooled @ self.out + self.b
+        return self.score_of(pooled @ self.out + self.b)
+
+    def score_of(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30).astype(float)))
 
 
@@ -169,7 +171,10 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str | None], seed: in
         z[i : i + 64] = model.pooled(ids[part], ends[i : i + 64], taps) @ model.out + model.b
     on = held if held.any() else ~held
     model.scale, model.shift = _platt(z[on], toxic[on])
-    return model, _thresholds(1 / (1 + np.exp(-np.clip(model.scale * z[on] + model.shift, -30, 30))), toxic[on], [x for x, y in zip(langs, on, strict=True) if y])
+    # The cutoff stands where the classes are told apart best, whatever the share of toxic rows in the sample.
+    best = _best_cutoff(model.score_of(z[on]), toxic[on])
+    model.shift += float(np.log(CUTOFF / (1 - CUTOFF)) - np.log(best / (1 - best)))
+    return model, _thresholds(model.score_of(z[on]), toxic[on], [x for x, y in zip(langs, on, strict=True) if y])
 
 
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -207,13 +212,18 @@ def _thresholds(score: np.ndarray, y: np.ndarray, langs: list[str | None]) -> di
         s, t = score[mine], y[mine]
         if t.sum() < LEAST_POSITIVES or t.sum() == len(t):
             continue
-        tries = np.unique(np.concatenate([np.linspace(0.3, 0.95, 14), [CUTOFF]]))
-        right = np.array([2 * ((s >= c) & (t == 1)).sum() / max(1, (s >= c).sum() + t.sum()) for c in tries])
-        best = tries[right >= right.max() - 0.005]
-        out[lang] = float(best[np.argmin(np.abs(best - CUTOFF))])
+        out[lang] = _best_cutoff(s, t)
     return out
 
 
+def _best_cutoff(score: np.ndarray, y: np.ndarray) -> float:
+    """The cutoff of the highest F1; of several as good, the one nearest to the usual cutoff."""
+    tries = np.unique(np.concatenate([np.linspace(0.3, 0.95, 14), [CUTOFF]]))
+    right = np.array([2 * ((score >= c) & (y == 1)).sum() / max(1, (score >= c).sum() + y.sum()) for c in tries])
+    best = tries[right >= right.max() - 0.005]
+    return float(best[np.argmin(np.abs(best - CUTOFF))])
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = shared.value
