@@ -129,6 +129,11 @@ def word_features(word: bytes) -> tuple[int, int]:
     return zlib.crc32(b"w" + word.lower()) % BUCKETS, zlib.crc32(b"s" + shape.encode("utf-8", "replace")) % BUCKETS
 
 
+def variety_feature(words: list[bytes]) -> int:
+    """Bucket of how many of a text's words are distinct, in tenths, which no single word shows."""
+    return zlib.crc32(b"v%d" % (10 * len(set(words)) // max(1, len(words)) if len(words) >= 20 else 11)) % BUCKETS
+
+
 class Weights(dict):
     """What each word adds to a text's score."""
 
@@ -142,6 +147,9 @@ class Weights(dict):
         self[word] = out = float(self.w[a] + self.w[b])
         return out
 
+    def of(self, words: list[bytes]) -> float:
+        return sum(map(self.__getitem__, words)) / len(words) + float(self.w[variety_feature(words)]) if words else 0.0
+
 
 def train(texts: list[bytes], posterior: np.ndarray, seed: int = 11) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer on shares of hashed features, by Adagrad on soft labels."""
@@ -151,7 +159,8 @@ def train(texts: list[bytes], posterior: np.ndarray, seed: int = 11) -> tuple[np
         words = t.split()
         ids = np.array([i for x in words for i in word_features(x)], np.int64)
         k, n = np.unique(ids, return_counts=True)
-        rows.append((k, n / max(1, len(words))))
+        x = n / max(1, len(words))
+        rows.append((np.append(k, variety_feature(words)), np.append(x, 1.0)) if words else (k, x))
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)).tolist():
@@ -172,7 +181,7 @@ def _judge(shared):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             known = labels.posterior(np.array([pattern(t) for t in texts], np.int64)) if texts else np.empty(0)
-            z = np.array([sum(map(weights.__getitem__, words)) / len(words) if (words := t.split()) else 0.0 for t in texts])
+            z = np.array([weights.of(t.split()) for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known), pa.array(1 / (1 + np.exp(-np.clip(z + bias, -30, 30))))], ["doc_id", "posterior", "score"])
 
     return run
