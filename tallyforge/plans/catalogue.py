@@ -391,9 +391,9 @@ def q_full_text(spark, d):
     return pages.full_text(c).select("doc_id", "text")
 
 
-@query("SELECT user_id AS doc_id, round(coalesce(sum(CASE WHEN c > 0 THEN c END) / nullif(count_if(c > 0), 0), 0) / 1000, 3) AS ocr_confidence FROM (SELECT user_id, greatest(round(value)::BIGINT % 1000, 0) AS c FROM events) GROUP BY user_id")
+@query("SELECT user_id AS doc_id, round(coalesce(sum(CASE WHEN c > 0 THEN c END) / nullif(count_if(c > 0), 0), 0) / 997, 3) AS ocr_confidence FROM (SELECT user_id, greatest(round(value)::BIGINT % 1000, 0) AS c FROM events) GROUP BY user_id")
 def q_ocr_confidence(spark, d):
-    e = read(spark, d, "events").select(F.col("user_id").alias("doc_id"), (F.greatest(F.round("value").cast("long") % 1000, F.lit(0)) / 1000).alias("confidence"))
+    e = read(spark, d, "events").select(F.col("user_id").alias("doc_id"), (F.greatest(F.round("value").cast("long") % 1000, F.lit(0)) / 997).alias("confidence"))
     return pages.mean_confidence(e)
 
 
