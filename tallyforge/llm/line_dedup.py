@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import raw, table
 
@@ -55,42 +56,37 @@ def _lines(min_chars: int):
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_lines, n_dropped, kept = [], [], []
-        for text, dropped in zip(batch.column("_text").to_pylist(), batch.column("_at").to_pylist(), strict=True):
+        for text, dropped in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
             lines, gone = text.split(b"\n"), {i for part in dropped or () for i in part}
             n_lines.append(len(lines))
             n_dropped.append(len(gone))
             kept.append(b"\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
-        names = [x for x in batch.schema.names if x not in ("_text", "_at")]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(x) for x in names), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary())],
-            [*names, "_n_lines", "_n_dropped", "_kept"],
-        )
+        yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary())], ["own", "n_lines", "n_dropped", "kept"])
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with its own columns and _n_lines, _n_dropped, _kept (UTF-8 bytes of the lines that stay)."""
-    key = docs.schema[doc_id].dataType.simpleString()
-    lines = docs.select(F.col(doc_id), raw(text)).mapInArrow(_lines(min_chars), f"doc {key}, hash binary, at array<int>")
+    """(own, n_lines, n_dropped, kept): the row as it was, as a struct, and the UTF-8 bytes of the lines that stay."""
+    key = docs.schema[doc_id].dataType
+    lines = docs.select(F.col(doc_id), raw(text)).mapInArrow(_lines(min_chars), T.StructType([T.StructField("doc", key), T.StructField("hash", T.BinaryType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
     pairs = lines.select("doc", "hash").distinct()
     common = pairs.groupBy("hash").count().where(F.col("count") >= min_docs).select("hash")
-    gone = lines.join(common, "hash", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("_at"))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    out = docs.select(*own, raw(text).alias("_text"), F.col(doc_id).alias("_doc"))
-    out = out.join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["_n_lines long", "_n_dropped long", "_kept binary"])
-    return out.mapInArrow(_rebuild, schema)
+    gone = lines.join(common, "hash", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("at"))
+    rows = docs.select(F.struct("*").alias("own"), raw(text).alias("text"), F.col(doc_id).alias("doc")).join(gone, "doc", "left").drop("doc")
+    schema = T.StructType([T.StructField("own", docs.schema), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.BinaryType())])
+    return rows.mapInArrow(_rebuild, schema)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs)
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("own.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents with the common lines gone and n_chars of what is left; other columns as they were."""
-    out = dedup_lines(docs).withColumn("text", F.when(F.col("text").isNull(), None).otherwise(F.col("_kept").cast("string")))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    out = dedup_lines(docs)
+    text = F.when(F.col("own.text").isNull(), None).otherwise(F.col("kept").cast("string"))
+    own = F.col("own").withField("text", text)
+    return out.select(own.withField("n_chars", F.char_length(text).cast("long")).alias("own")).select("own.*")
 
 
 SQL = r"""

@@ -186,6 +186,6 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document as many times as it is taken."""
     sized = cut(_sized(docs).select("doc_id", "source", "_key", "_size", "_sources"), "sizes")
-    times = mix(sized).groupBy("doc_id", "source").agg(F.max("_times").alias("_times")).where("_times > 0")
-    out = docs.join(times.withColumnsRenamed({"doc_id": "_d", "source": "_s"}), docs.doc_id.eqNullSafe(F.col("_d")) & docs.source.eqNullSafe(F.col("_s")))
-    return out.withColumn("_t", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    times = mix(sized).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("from")).agg(F.max("_times").alias("times")).where("times > 0")
+    rows = docs.select(F.struct("*").alias("own")).join(times, F.col("own.doc_id").eqNullSafe(F.col("id")) & F.col("own.source").eqNullSafe(F.col("from")))
+    return rows.select("own", F.explode(F.sequence(F.lit(1), "times"))).select("own.*")

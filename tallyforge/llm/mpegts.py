@@ -118,11 +118,12 @@ def _packets(media: bytes) -> tuple[np.ndarray, int]:
     a = np.frombuffer(media, np.uint8)
     if len(a) % PACKET == 0 and len(a) and (a[::PACKET] == SYNC).all():
         return a.reshape(-1, PACKET), 0
-    at, found, lost = 0, [], 0
+    at, found, lost, locked = 0, [], 0, False
     sync = np.flatnonzero(a == SYNC)
     while at + PACKET <= len(a):
-        follows = at + PACKET == len(a) or a[at + PACKET] == SYNC
-        if a[at] == SYNC and (follows or at + 2 * PACKET > len(a)):
+        # To gain sync takes two packets in a row, to keep it one.
+        locked = a[at] == SYNC and (locked or at + 2 * PACKET > len(a) or a[at + PACKET] == SYNC)
+        if locked:
             found.append(at)
             at += PACKET
         else:

@@ -110,7 +110,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays; of rows that repeat that id, one."""
-    heads = near_dedup(docs).select(F.col("component_id").alias("_head")).distinct()
-    kept = docs.join(heads, docs.doc_id.eqNullSafe(heads["_head"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each component the document with the smallest id stays; of rows that repeat that id, the one with the smallest hash."""
+    heads = near_dedup(docs).select(F.col("component_id").alias("head")).distinct()
+    rows = docs.select(F.struct("*").alias("own"), F.col("doc_id").alias("id"))
+    kept = rows.join(heads, F.col("id").eqNullSafe(F.col("head")), "left_semi")
+    return kept.groupBy("id").agg(F.min_by("own", F.xxhash64("own")).alias("own")).select("own.*")

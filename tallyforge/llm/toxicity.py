@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import raw, table
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 16
 SAMPLE, LONGEST, EPOCHS, BATCH, RATE, CALIBRATION = 1500, 32_768, 14, 32, 0.08, 5
@@ -230,7 +231,7 @@ def _score(shared):
         known: dict[str, int] = {}
         taps: list[np.ndarray] = []
         for batch in batches:
-            texts, scores, i = batch.column("_text").to_pylist(), [], 0
+            texts, scores, i = batch.column("text").to_pylist(), [], 0
             while i < len(texts) and model is not None:
                 size, words, ends = 0, [], []
                 while i < len(texts) and (not ends or size + len(texts[i]) <= SLICE):
@@ -249,8 +250,7 @@ def _score(shared):
                 ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 scores.append(model.score(model.pooled(ids, np.array(ends, np.int64), taps)))
             s = np.concatenate(scores) if scores else np.zeros(len(texts))
-            names = [x for x in batch.schema.names if x != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(s)], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(s)], ["own", "score"])
 
     return run
 
@@ -269,10 +269,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
 
 
 def score_documents(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with its own columns and _score."""
+    """(own, score): the row as it was, as a struct, and its score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["_score double"])
-    return docs.select("*", F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text")).mapInArrow(_score(shared), schema)
+    schema = T.StructType([T.StructField("own", docs.schema), T.StructField("score", T.DoubleType())])
+    return docs.select(F.struct("*").alias("own"), raw(text).alias("text")).mapInArrow(_score(shared), schema)
 
 
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,11 +285,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model, limits = fit(docs, training_labels(spark, sf_dir))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
-    out = score_documents(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUTOFF).cast("int").alias("predicted"))
+    out = score_documents(docs.select("doc_id", "text"), model).select("own.doc_id", "score")
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
 
 
-def threshold(limits: dict, lang: str = "lang") -> F.Column:
+def threshold(limits: dict, lang: str = "own.lang") -> F.Column:
     """The threshold of a row's language; the usual cutoff where the language has none."""
     out = F.lit(CUTOFF)
     for name, value in limits.items():
@@ -300,4 +300,4 @@ def threshold(limits: dict, lang: str = "lang") -> F.Column:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below their language's threshold stay."""
     model, limits = fit(table(spark, sf_dir, "documents"), training_labels(spark, sf_dir))
-    return score_documents(docs, model).where(F.col("_score") < threshold(limits)).select(*docs.columns)
+    return score_documents(docs, model).where(F.col("score") < threshold(limits)).select("own.*")

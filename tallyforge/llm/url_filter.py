@@ -119,7 +119,7 @@ k AS (SELECT *, CASE
 l AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled,
     concat('^^^', regexp_replace(translate(concat(host, path), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^a-z0./_-]', '~', 'g'), '$') AS t FROM k),
 g AS (SELECT row, page_id, ruled, substr(t, i, 4) AS gram FROM (SELECT *, unnest(range(1, length(t) - 2)) AS i FROM l)),
-c AS (SELECT gram, count_if(ruled = 'allow' AND coalesce(page_id, 1) % 5 <> 0) AS a, count_if(ruled = 'block' AND coalesce(page_id, 1) % 5 <> 0) AS r FROM g GROUP BY gram),
+c AS (SELECT gram, count(*) FILTER (WHERE ruled = 'allow' AND coalesce(page_id, 1) % 5 <> 0) AS a, count(*) FILTER (WHERE ruled = 'block' AND coalesce(page_id, 1) % 5 <> 0) AS r FROM g GROUP BY gram),
 base AS (SELECT gram, 1.0 / 34 AS p_a, 1.0 / 34 AS p_r FROM c),"""
     + _LEVELS
     + r"""
