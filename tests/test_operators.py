@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import fields, invoice, journal, layout, lines, pages, tables, taxes, validate, vision
 from tallyforge.plans import constants as K
-from tallyforge.sources import pdf, vendors, workbook
+from tallyforge.sources import pdf, reports, vendors, workbook
 
 PAGE = """TAX INVOICE
 Green Clean Supplies
@@ -183,13 +183,29 @@ def test_sources_and_workbook(spark, tmp_path):
     assert got == {"a.pdf": (None, "ValueError: no"), "b.pdf": ("b.pdf", None)}
 
     spark.dataSource.register(workbook.Workbook)
-    rows = workbook.as_sheet(spark.createDataFrame([(2, "b & c"), (1, "a")], "seq int, head string"), 0, "Sum/mary", ["seq"], ["head"])
+    rows = workbook.as_sheet(spark.createDataFrame([(2, "b & c"), (1, "a")], "seq int, head string"), F.lit(0), F.lit("Sum/mary"), F.col("seq"), ["head"], ["head"])
     rows.write.format("workbook").mode("append").option("path", str(tmp_path / "out.xlsx")).save()
     with zipfile.ZipFile(tmp_path / "out.xlsx") as z:
         sheet, book = z.read("xl/worksheets/sheet1.xml").decode(), z.read("xl/workbook.xml").decode()
     assert sheet.index("head") < sheet.index(">a<") < sheet.index("b &amp; c") and "Sum-mary" in book
 
 
+def test_whole_batch_to_a_workbook(spark, tmp_path):
+    d = docs(spark, PAGE, "").withColumns({"doc_seq": F.regexp_extract("doc_id", r"(\d+)", 1).cast("long"), "source_file": F.concat("doc_id", F.lit(".pdf")), "pdf_type": F.lit("digital")})
+    v = validate.validated(invoice.parse(d), F.lit("2026-06-01").cast("date"))
+    heads, items = reports.journal_input(v)
+    legs = journal.journal(heads, items)
+    sides = {r.dr_cr: float(r.s) for r in legs.where("doc_id = 'd0'").groupBy("dr_cr").agg(F.sum("amount").alias("s")).collect()}
+    assert sides == {"D": 177.0, "C": 177.0}
+    spark.dataSource.register(workbook.Workbook)
+    reports.workbook_rows(v, legs).write.format("workbook").mode("append").option("path", str(tmp_path / "batch.xlsx")).save()
+    with zipfile.ZipFile(tmp_path / "batch.xlsx") as z:
+        book = z.read("xl/workbook.xml").decode()
+        sheets = [z.read(f"xl/worksheets/sheet{i}.xml").decode() for i in range(1, 6)]
+    assert [book.index(n) for n in ("Summary", "GC-25-26-0042", "Invoice-2", "details to be captured", "upload format")] == sorted(book.index(n) for n in ("Summary", "GC-25-26-0042", "Invoice-2", "details to be captured", "upload format"))
+    assert "Grand Total (₹)" in sheets[0] and "Soap bar" in sheets[1] and "Respective GL code" in sheets[3] and "1;3;6;7" in sheets[4]
+
+
 def test_emails(spark):
     assert docs(spark, "to a.b@c.de or x").select(fields.emails(F.col("text")).alias("e")).first().e == ["a.b@c.de"]
 
