@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +43,17 @@ def raw(text: str) -> F.Column:
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that a worker holds the Python objects of few rows at a time; what it has freed goes back to the system in the end."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions for work whose cost is in Python, so that its bytes say little: as many as the session's shuffles."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw, table
+from .common import parts, raw, table
 
 BLANK = b" \t\n\x0b\x0c\r"
-MIN_DOCS, MIN_CHARS = 10, 1
+MIN_DOCS, MIN_CHARS, SALTS = 10, 1, 16
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -38,7 +38,7 @@ def line_keys(text: bytes) -> list[bytes]:
 
 def _lines(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             docs, hashes, at = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 places: dict[bytes, list[int]] = {}
@@ -54,7 +54,7 @@ def _lines(min_chars: int):
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         n_lines, n_dropped, kept = [], [], []
         for text, dropped in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
             lines, gone = text.split(b"\n"), {i for part in dropped or () for i in part}
@@ -70,7 +70,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     lines = docs.select(F.col(doc_id), raw(text)).mapInArrow(_lines(min_chars), T.StructType([T.StructField("doc", key), T.StructField("hash", T.BinaryType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
     pairs = lines.select("doc", "hash").distinct()
     common = pairs.groupBy("hash").count().where(F.col("count") >= min_docs).select("hash")
-    gone = lines.join(common, "hash", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("at"))
+    # The lines of a frequent hash are dealt to several tasks by their documents.
+    common = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lines = lines.withColumn("salt", F.pmod(F.hash("doc"), F.lit(SALTS)))
+    gone = lines.join(common, ["hash", "salt"], "left_semi").groupBy("doc").agg(F.collect_set("at").alias("at"))
     rows = docs.select(F.struct("*").alias("own"), raw(text).alias("text"), F.col(doc_id).alias("doc")).join(gone, "doc", "left").drop("doc")
     schema = T.StructType([T.StructField("own", docs.schema), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.BinaryType())])
     return rows.mapInArrow(_rebuild, schema)

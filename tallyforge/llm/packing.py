@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, tasks
+from .common import cut, parts, table, tasks
 
 CAPACITY, CLOSING, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION, FULL = 4096, 3, 2, 4, 4, 0.98
-#: Words whose ids a worker remembers.
-REMEMBERED = 1 << 20
+#: Words whose ids a worker remembers, twice over: those met lately and those met before.
+REMEMBERED, SLICE = 1 << 17, 2 << 20
 
 #: Text that one rule splits into the pretokens of the vocabulary's own splitter: printable Latin-1 and plain white space.
 PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
@@ -47,32 +47,43 @@ class Words(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = ids = self.encode(word)
-        return ids
+        self.tokenizer, self.before = Tokenizer.from_file(path), {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Encode what is not known in one call; a few thousand words cost far less so than one by one."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBERED:
+        """Encode what is not known in one call, which costs a word far less than one by one. Words of the last two rounds stay known."""
+        if len(self) + len(words) > REMEMBERED:
+            self.before = dict(self)
             self.clear()
-            new = list(words)
+        new = []
+        for w in words:
+            if w not in self:
+                ids = self.before.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    self[w] = ids
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self[w] = np.array(e.ids, "<u4").tobytes()
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of whole texts. Those with other characters, or a special token's name, go to the tokenizer as they are."""
-        split = [t.lower().split() if (b := t.encode("latin-1", "ignore")) is not None and len(b) == len(t) and not b.translate(None, PLAIN) and "<|" not in t else None for t in texts]
-        for i in range(0, len(texts), 512):
-            self.learn({w for words in split[i : i + 512] if words is not None for w in words})
-            for t, words in zip(texts[i : i + 512], split[i : i + 512], strict=True):
+
+        def split(t: str) -> list[str] | None:
+            b = t.encode("latin-1", "ignore")
+            return t.lower().split() if len(b) == len(t) and not b.translate(None, PLAIN) and "<|" not in t else None
+
+        at = 0
+        while at < len(texts):
+            part, size = [], 0
+            while at < len(texts) and (not part or size + len(texts[at]) <= SLICE):
+                part.append(split(texts[at]))
+                size += len(texts[at])
+                at += 1
+            self.learn({w for words in part if words is not None for w in words})
+            for t, words in zip(texts[at - len(part) : at], part, strict=True):
                 yield self.encode(t) if words is None else b"".join(map(self.__getitem__, words))
 
 
@@ -94,7 +105,7 @@ def _pieces(vocabulary: str, capacity: int, closing: int):
         import public_tokenizers
 
         words, end = _words_of(public_tokenizers.path(vocabulary)), np.array([closing], "<u4").tobytes()
-        for batch in batches:
+        for batch in parts(batches):
             doc, piece, start, length, crc = [], [], [], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for d, ids in zip(batch.column(0).to_pylist(), words.texts(texts), strict=True):
@@ -257,18 +268,18 @@ def _pack(items: DataFrame, capacity: int, shard: int, islands: int, full: float
     """(shard, row, bin, offset, length, done) of items(row, length)."""
     spark = items.sparkSession
     n = max(1, -(-items.count() // shard))
-    parts = max(tasks(spark), min(n * islands, 2000))
+    n_tasks = max(tasks(spark), min(n * islands, 20_000))
     shards = items.groupBy(F.pmod(F.xxhash64("row"), F.lit(n)).alias("shard")).agg(F.array_sort(F.collect_list(F.struct("row", F.col("length").cast("int").alias("length")))).alias("all"))
     state = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("all.row").alias("rows"), F.col("all.length").alias("lengths"), F.lit(None).cast("array<array<int>>").alias("people"))
     for epoch in range(EPOCHS):
         if epoch:
             elite = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("people")[0].alias("elite"))
             state = state.join(elite, ["shard", "island"]).select("shard", "island", "rows", "lengths", F.concat(F.array("elite"), F.slice("people", 1, POPULATION - 1)).alias("people"))
-        state = cut(state.repartition(parts, "shard", "island").mapInPandas(_epoch(epoch, capacity, GENERATIONS, POPULATION), ISLAND), "islands")
+        state = cut(state.repartition(n_tasks, "shard", "island").mapInPandas(_epoch(epoch, capacity, GENERATIONS, POPULATION), ISLAND), "islands")
     best = F.col("people")[0]
     # The winner of a shard's islands: fewest bins, ties to the first island.
     won = state.groupBy("shard").agg(F.min_by(F.struct("rows", "lengths", best.alias("best")), F.struct(F.array_max(best), "island")).alias("w")).select("shard", "w.*")
-    return won.repartition(max(1, min(n, parts)), "shard").mapInPandas(_decode(capacity, full), "shard long, row long, bin int, offset long, length long, done boolean")
+    return won.repartition(max(1, min(n, n_tasks)), "shard").mapInPandas(_decode(capacity, full), "shard long, row long, bin int, offset long, length long, done boolean")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, full: float = FULL) -> DataFrame:

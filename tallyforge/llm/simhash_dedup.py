@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, links_to_components, raw, table
+from .common import cut, links_to_components, parts, raw, table
 
 SEED, WORDS, BUCKET = 42, 3, 64
 
@@ -53,7 +53,7 @@ def fingerprint(text: bytes, n: int = WORDS) -> int:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         known: dict[bytes, int] = {}
         out = [known[t] if t in known else known.setdefault(t, fingerprint(t)) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], ["doc_id", "print"])

@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw, table
+from .common import parts, raw, table
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 16
 SAMPLE, LONGEST, EPOCHS, BATCH, RATE, CALIBRATION = 1500, 32_768, 14, 32, 0.08, 5
-CUTOFF, LEAST_POSITIVES, REMEMBERED, SLICE = 0.7, 15, 1 << 17, 4 << 20
+CUTOFF, LEAST_POSITIVES, REMEMBERED, SLICE = 0.7, 15, 1 << 16, 1 << 20
 STRIP = ".,;:!?\"'()[]{}|*-_"
 
 
@@ -230,7 +230,7 @@ def _score(shared):
         model: Model | None = shared.value
         known: dict[str, int] = {}
         taps: list[np.ndarray] = []
-        for batch in batches:
+        for batch in parts(batches):
             texts, scores, i = batch.column("text").to_pylist(), [], 0
             while i < len(texts) and model is not None:
                 size, words, ends = 0, [], []

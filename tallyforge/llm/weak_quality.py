@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import raw, table
+from .common import parts, raw, table
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
 BUCKETS, SAMPLE, LONGEST, EPOCHS, RATE, ROUNDS, REMEMBERED, CUTOFF = 1 << 16, 4000, 32_768, 6, 0.5, 200, 1 << 19, 0.5
@@ -69,7 +69,7 @@ def pattern(text: bytes) -> int:
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         yield pa.RecordBatch.from_arrays([pa.array([pattern(t) for t in batch.column(0).to_pylist()], pa.int32())], ["pattern"])
 
 
@@ -178,7 +178,7 @@ def _judge(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, w, bias = shared.value
         weights = Weights(w)
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(1).to_pylist()
             known = labels.posterior(np.array([pattern(t) for t in texts], np.int64)) if texts else np.empty(0)
             z = np.array([weights.of(t.split()) for t in texts])
