@@ -20,7 +20,9 @@ empty table. Packings depend on the rows' order of arrival only among equal rows
 
 from __future__ import annotations
 
+import functools
 import random
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,57 +36,62 @@ from .common import cut, parts, table, tasks
 
 CAPACITY, CLOSING, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION, FULL = 4096, 3, 2, 4, 4, 0.98
-#: Words whose ids a worker remembers, twice over: those met lately and those met before.
-REMEMBERED, SLICE = 1 << 17, 2 << 20
+#: Words whose ids a worker remembers, twice over: those met lately and those met before; and pretokens.
+REMEMBERED = 1 << 18
 
-#: Text that one rule splits into the pretokens of the vocabulary's own splitter: printable Latin-1 and plain white space.
+#: Text whose pretokens one pattern finds: printable Latin-1 and plain white space.
 PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
 
+#: The vocabulary's own split on such text in lower case: contractions, letters, single digits, other signs.
+LETTERS, DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
+
+
+@functools.cache
+def _shown() -> dict[int, str]:
+    """The sign by which a byte-level vocabulary shows each byte: itself if printable, else the next one from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Pretokens(dict):
+    """Token ids, as little-endian 32-bit bytes, of single pretokens."""
+
+    def __init__(self, model):
+        self.tokenize = model.tokenize
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(_shown())
+        self[part] = ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(shown)])
+        return ids
+
 
 class Words(dict):
-    """Token ids, as little-endian 32-bit bytes, of words without white space. A word's ids don't depend on its neighbours."""
+    """Token ids of words without white space, which don't depend on a word's neighbours. Words of the last two fillings stay known."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.before = Tokenizer.from_file(path), {}
+        self.pretokens = Pretokens(self.tokenizer.model)
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        """Encode what is not known in one call, which costs a word far less than one by one. Words of the last two rounds stay known."""
-        if len(self) + len(words) > REMEMBERED:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
             self.before = dict(self)
             self.clear()
-        new = []
-        for w in words:
-            if w not in self:
-                ids = self.before.get(w)
-                if ids is None:
-                    new.append(w)
-                else:
-                    self[w] = ids
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of whole texts. Those with other characters, or a special token's name, go to the tokenizer as they are."""
-
-        def split(t: str) -> list[str] | None:
-            b = t.encode("latin-1", "ignore")
-            return t.lower().split() if len(b) == len(t) and not b.translate(None, PLAIN) and "<|" not in t else None
-
-        at = 0
-        while at < len(texts):
-            part, size = [], 0
-            while at < len(texts) and (not part or size + len(texts[at]) <= SLICE):
-                part.append(split(texts[at]))
-                size += len(texts[at])
-                at += 1
-            self.learn({w for words in part if words is not None for w in words})
-            for t, words in zip(texts[at - len(part) : at], part, strict=True):
-                yield self.encode(t) if words is None else b"".join(map(self.__getitem__, words))
+        ids = self.before.get(word)
+        self[word] = ids = b"".join(map(self.pretokens.__getitem__, PRETOKEN.findall(word))) if ids is None else ids
+        return ids
+
+    def text(self, text: str) -> bytes:
+        """Ids of a whole text. One with other characters, or a special token's name, goes to the tokenizer as it is."""
+        b = text.encode("latin-1", "ignore")
+        if len(b) == len(text) and not b.translate(None, PLAIN) and "<|" not in text:
+            return b"".join(map(self.__getitem__, text.lower().split()))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _words: dict[str, Words] = {}
@@ -107,9 +114,8 @@ def _pieces(vocabulary: str, capacity: int, closing: int):
         words, end = _words_of(public_tokenizers.path(vocabulary)), np.array([closing], "<u4").tobytes()
         for batch in parts(batches):
             doc, piece, start, length, crc = [], [], [], [], []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for d, ids in zip(batch.column(0).to_pylist(), words.texts(texts), strict=True):
-                ids += end
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = words.text(t or "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     doc.append(d)

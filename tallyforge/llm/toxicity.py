@@ -37,8 +37,10 @@ from .common import parts, raw, table
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 16
 SAMPLE, LONGEST, EPOCHS, BATCH, RATE, CALIBRATION = 1500, 32_768, 14, 32, 0.08, 5
-CUTOFF, LEAST_POSITIVES, REMEMBERED, SLICE = 0.7, 15, 1 << 16, 1 << 20
+CUTOFF, LEAST_POSITIVES, REMEMBERED, SLICE = 0.7, 15, 1 << 17, 4 << 20
 STRIP = ".,;:!?\"'()[]{}|*-_"
+crc = zlib.crc32
+WHOLE, THREE, FOUR, FIVE = map(crc, (b"=", b"3", b"4", b"5"))
 
 
 def words_of(text: str) -> list[str]:
@@ -47,6 +49,9 @@ def words_of(text: str) -> list[str]:
 
 def features(word: str) -> list[int]:
     w = word.strip(STRIP)
+    if w.isascii():
+        b = w.encode()
+        return [crc(b, WHOLE) % BUCKETS, crc(b[:3], THREE) % BUCKETS, crc(b[:4], FOUR) % BUCKETS, crc(b[:5], FIVE) % BUCKETS]
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in ("=" + w, "3" + w[:3], "4" + w[:4], "5" + w[:5])]
 
 
