@@ -110,8 +110,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays; of rows that repeat that id, the one with the smallest hash."""
-    heads = near_dedup(docs).select(F.col("component_id").alias("head")).distinct()
-    rows = docs.select(F.struct("*").alias("own"), F.col("doc_id").alias("id"))
-    kept = rows.join(heads, F.col("id").eqNullSafe(F.col("head")), "left_semi")
-    return kept.groupBy("id").agg(F.min_by("own", F.xxhash64("own")).alias("own")).select("own.*")
+    """Of each of op6's components the row with the smallest (doc_id, row) stays, null ids last. The pipeline goes by near_copies."""
+    # The key of a row is settled by writing it, as ids may be null or repeated.
+    rows = cut(docs.select(F.struct("*").alias("own")).withColumn("row", F.monotonically_increasing_id()), "rows")
+    keyed = rows.select(F.struct("own.doc_id", "row").alias("key"), "own.text")
+    prints = cut(fingerprints(keyed, doc_id="key"), "fingerprints")
+    found = prints.join(components(prints.select("print", F.struct(F.col("doc_id.doc_id").isNull().alias("none"), "doc_id.*").alias("doc_id"))), "print")
+    kept = found.groupBy("component_id").agg(F.first("component_id.row").alias("row")).select("row")
+    return rows.join(kept, "row", "left_semi").select("own.*")

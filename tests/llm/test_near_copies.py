@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
-from tallyforge.llm import near_copies
+from tallyforge.llm import near_copies, simhash_dedup
 
 SCHEMA = "doc_id long, text string"
 STAGE = dict(corpus_pipeline.STAGES)["near_dedup"]
@@ -81,3 +83,12 @@ def test_components_where_bands_are_met_in_whole(spark):
 def test_leaders(spark):
     texts = copies()
     pairwise(texts, left_of(spark, texts, 2))
+
+
+@pytest.mark.parametrize("stage", [STAGE, simhash_dedup.stage])
+def test_null_and_repeated_ids_lose_only_copies(spark, stage):
+    rng = random.Random(11)
+    text = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (7, text[2]), (7, text[3]), (7, text[3]), (None, text[4]), (9, text[4]), (8, text[5]), (6, text[5])]
+    got = sorted(map(repr, map(tuple, stage(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").collect())))
+    assert got == sorted(map(repr, [(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (9, text[4]), (6, text[5])]))
