@@ -7,12 +7,12 @@ space at both ends and with A-Z in lower case. Keys found in at least
 Each document sends a 128-bit hash of every distinct key, once. Pairs of hash
 and document are made distinct before they are counted, so a frequent line is
 spread over all tasks by its documents, and only partial counts meet. Lines to
-drop come back as positions per document and the text is put together again
-from the lines that stay.
+drop come back as positions per row, by a key that is written with the row, and
+the text is put together again from the lines that stay.
 
 Defined results: a null or empty text is one empty line, and an empty key is
-never dropped; rows that repeat a document id count as one document and each
-gets its own result; columns of the input are kept whatever their names; an
+never dropped; rows that repeat a document id, or have none, count as one
+document and each gets its own result; columns of the input are kept whatever their names; an
 empty table gives an empty table.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts, raw, table
+from .common import cut, parts, raw, table
 
 BLANK = b" \t\n\x0b\x0c\r"
 MIN_DOCS, MIN_CHARS, SALTS = 10, 1, 16
@@ -39,16 +39,17 @@ def line_keys(text: bytes) -> list[bytes]:
 def _lines(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            docs, hashes, at = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, docs, hashes, at = [], [], [], []
+            for row, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 places: dict[bytes, list[int]] = {}
                 for i, key in enumerate(line_keys(text)):
                     if len(key) >= min_chars and len(key.decode("utf-8", "replace")) >= min_chars:
                         places.setdefault(key, []).append(i)
+                rows += [row] * len(places)
                 docs += [doc] * len(places)
                 hashes += map(xxhash.xxh3_128_digest, places)
                 at += places.values()
-            yield pa.RecordBatch.from_arrays([pa.array(docs, batch.column(0).type), pa.array(hashes, pa.binary()), pa.array(at, pa.list_(pa.int32()))], ["doc", "hash", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(docs, batch.column(1).type), pa.array(hashes, pa.binary()), pa.array(at, pa.list_(pa.int32()))], ["row", "doc", "hash", "at"])
 
     return run
 
@@ -67,14 +68,16 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(own, n_lines, n_dropped, kept): the row as it was, as a struct, and the UTF-8 bytes of the lines that stay."""
     key = docs.schema[doc_id].dataType
-    lines = docs.select(F.col(doc_id), raw(text)).mapInArrow(_lines(min_chars), T.StructType([T.StructField("doc", key), T.StructField("hash", T.BinaryType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
+    # The key of a row is settled by writing it, as ids may be null or repeated.
+    rows = cut(docs.select(F.struct("*").alias("own"), F.monotonically_increasing_id().alias("row")), "rows")
+    lines = rows.select("row", F.col("own")[doc_id].alias("doc"), raw(f"own.`{text}`").alias("text")).mapInArrow(_lines(min_chars), T.StructType([T.StructField("row", T.LongType()), T.StructField("doc", key), T.StructField("hash", T.BinaryType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
     pairs = lines.select("doc", "hash").distinct()
     common = pairs.groupBy("hash").count().where(F.col("count") >= min_docs).select("hash")
-    # The lines of a frequent hash are dealt to several tasks by their documents.
+    # The lines of a frequent hash are dealt to several tasks by their rows.
     common = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    lines = lines.withColumn("salt", F.pmod(F.hash("doc"), F.lit(SALTS)))
-    gone = lines.join(common, ["hash", "salt"], "left_semi").groupBy("doc").agg(F.collect_set("at").alias("at"))
-    rows = docs.select(F.struct("*").alias("own"), raw(text).alias("text"), F.col(doc_id).alias("doc")).join(gone, "doc", "left").drop("doc")
+    lines = lines.withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS)))
+    gone = lines.join(common, ["hash", "salt"], "left_semi").groupBy("row").agg(F.collect_set("at").alias("at"))
+    rows = rows.select("own", raw(f"own.`{text}`").alias("text"), "row").join(gone, "row", "left").drop("row")
     schema = T.StructType([T.StructField("own", docs.schema), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.BinaryType())])
     return rows.mapInArrow(_rebuild, schema)
 
