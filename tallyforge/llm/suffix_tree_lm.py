@@ -1,28 +1,39 @@
 """A probabilistic suffix tree over words scores every text.
 
-Symbols are the words of a text, A-Z in lower case, and one end. A context is
-up to three preceding words (or the start of the text). Contexts of depth k are
-candidates if each of their words has a relative frequency of at least
-``p_min ** (1/k)``, so each depth has 1 / p_min of them at most, whatever the
-corpus. A candidate is retained if its next-symbol counts diverge from those of
-its suffix by more than its number of symbols costs, and with it its suffixes.
-A retained context discounts its counts and gives the rest to the next shorter
-one; the root is add-one over all training words. A text is scored by its
-longest retained suffix at each symbol.
-
-Three passes over the texts, none of which moves a text:
-
-1. Word counts of the training texts, combined per task, then by word. They
-   grow with the vocabulary and stay a table.
-2. Counts of candidate contexts and next symbols. Next symbols have a relative
-   frequency of at least ``q_min``, and so have what is kept of the pairs, or
-   two occurrences if that is more.
-3. Scores. Words above ``q_min`` and the tree go to the tasks as arrays; their
-   size has the bounds 1 / q_min words and 3 / q_min entries (24 and 48 bytes
-   each at most). The other words cannot be next symbols in the tree, so they
-   only multiply a text's probability by their root probability: they leave the
-   task as hashes, meet the table of counts in a join, and come back summed by
-   text.
+Symbols are the words of a text, A-Z in lower case, after one start and before
+one end. A context is up to ``depth`` preceding symbols. Every context that is
+followed at least ``least`` times by some symbol is a candidate, whatever its
+words are. With absolute discounting (Kneser and Ney's D, the rest going to the
+suffix of the context; the root is add-one over the training words)
+
+    P(w | c) = max(n(c w) - D, 0) / n(c) + rest(c) * P(w | suffix(c))
+
+and a candidate is retained if this makes its own training symbols likelier than
+its suffix does, by more log-likelihood than its number of distinct symbols
+costs. Suffixes of what is retained are retained, so the retained contexts are a
+suffix tree, and a symbol is predicted by the longest suffix state before it.
+
+Nothing of this is built on the driver. Contexts and symbols are 64-bit hashes,
+and the hash of a context and its next symbol is the hash of the longer context,
+by a function that Spark has too. Counts, probabilities and tests are tables.
+
+* Depth by depth, tasks count their (context, symbol) pairs and send the sums.
+  A pair can only be frequent if its context and its suffix pair were, one depth
+  before; a Bloom filter of those that were spares the others the way. Its size
+  has a bound, ``blocks`` 64-bit words. Where it fills up, more pairs travel and
+  are dropped after counting, with the same result.
+* The log-probability of a text is a sum over its n-grams: with D the gain of a
+  pair over its suffix pair and L the logarithm of a context's rest, every symbol
+  gets its root's log-probability, every retained context before it adds L, and
+  every pair of a retained context adds D - L. So each n-gram has one weight, of
+  itself as a pair and as a context, and scoring is a join of n-grams with
+  weights. The ``hot`` most frequent weights, a fixed number, are broadcast and
+  added up in the pass over the texts; only n-grams of the others leave the task,
+  and no key of theirs is frequent.
+
+Texts are cut at white space into parts of a bounded size as they are read, so a
+text of any length takes bounded memory. Words are hashed in numpy by a
+polynomial over their bytes; equal 64-bit hashes are taken for equal.
 
 Defined results: a null, empty or blank text has one token, its end; a null
 document id counts as the empty string in the choice of training texts; rows
@@ -34,261 +45,388 @@ not read; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, parts, raw, table
-
-P_MIN, Q_MIN, DISCOUNT, DEPTH, LEAST = 1e-6, 1e-7, 0.75, 3, 2
-END, SYMBOL, SLICE, REMEMBERED = b"\n", 24, 8 << 20, 1 << 19
-#: Bits of a word in a context's code, by depth: ids go by rank, and 1/p, 1/p^(1/2) and 1/p^(1/3) words can occur.
-WIDTH = {1: 24, 2: 10, 3: 7}
-
-
-def word_hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
-
-
-class Codes(dict):
-    """An integer for each word: ids from 1 by falling frequency for common words, else the word's hash."""
-
-    def __init__(self, hashes: np.ndarray | None = None, ids: np.ndarray | None = None):
-        self.hashes, self.ids = hashes, ids
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(words)
-        h = np.fromiter(map(word_hash, new), np.int64, len(new))
-        if self.hashes is not None and len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            h = np.where(self.hashes[at] == h, self.ids[at], h)
-        self.update(zip(new, h.tolist(), strict=True))
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        self.learn(set(words))
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-def slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """First text, all words of some texts with an end after each, and the texts' numbers of tokens."""
-    i = 0
-    while i < len(texts):
-        first, size, words, ends = i, 0, [], []
-        while i < len(texts) and (i == first or size + len(texts[i]) <= SLICE):
-            own = texts[i].lower().split()
-            words += own
-            words.append(END)
-            ends.append(len(own) + 1)
-            size += len(texts[i])
-            i += 1
-        yield first, words, np.array(ends)
-
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not keys:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    k, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return k, np.bincount(at, weights=np.concatenate(counts), minlength=len(k)).astype(np.int64)
-
-
-def _emit(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(k), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], ["key", "n"])
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes = Codes()
-    for batch in parts(batches, 10_000):
-        keys, counts = [], []
-        for _, words, _ in slices(batch.column(0).to_pylist()):
-            k, n = np.unique(codes.of(words), return_counts=True)
-            keys.append(k)
-            counts.append(n)
-        yield from _emit(*_summed(keys, counts))
-
-
-def contexts(ids: np.ndarray, ends: np.ndarray, ranks: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each depth the positions that have a candidate context, and its code. ids: 0 or less for words that are in none."""
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(ends) - ends, ends)
-    out, ok, code, past = [], np.ones(len(ids), bool), np.zeros(len(ids), np.int64), []
-    for depth in range(1, len(ranks) + 1):
-        back = np.zeros(len(ids), np.int64)
-        back[depth:] = ids[:-depth] if depth < len(ids) else 0
-        # The start of the text is symbol 0 and has nothing before it.
-        ok = ok & (place >= depth - 1) & ((place == depth - 1) | (back > 0))
-        past.append(np.where(place == depth - 1, 0, back))
-        good, code = ok.copy(), np.zeros(len(ids), np.int64)
-        for j, x in enumerate(past):
-            good &= x <= ranks[depth - 1]
-            code |= x << (WIDTH[depth] * j)
-        at = np.flatnonzero(good)
-        out.append((at, (np.int64(depth) << 48) | (code[at] << SYMBOL)))
+from .common import cut, raw, released, table
+
+DEPTH, LEAST, DISCOUNT, COST = 3, 2, 0.75, 3.0
+#: Symbols that are no words; bytes of a part of a text; symbols whose pairs a task adds up; words of the filter; weights that are broadcast.
+START, END, PART, HELD, BLOCKS, HOT = 1, 2, 1 << 20, 1 << 21, 1 << 22, 1 << 21
+
+_U = np.uint64
+_RNG = np.random.default_rng(64)
+_BYTES = _RNG.integers(0, 1 << 64, 256, np.uint64)
+_BYTES[65:91] = _BYTES[97:123]
+_BASE = int(_RNG.integers(0, 1 << 63)) * 2 + 1
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+# The primes of XXH64.
+P1, P2, P3, P4, P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, _U)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _finished(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(33))) * _U(P2)
+    h = (h ^ (h >> _U(29))) * _U(P3)
+    return h ^ (h >> _U(32))
+
+
+def _hashed(x: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
+    """XXH64 of 8 bytes, as Spark's xxhash64 has it for a long."""
+    k = x * _U(P2)
+    k = ((k << _U(31)) | (k >> _U(33))) * _U(P1)
+    h = (np.asarray(seed, _U) + _U(P5) + _U(8)) ^ k
+    return _finished(((h << _U(27)) | (h >> _U(37))) * _U(P1) + _U(P4))
+
+
+def longer(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The context that ends with one more symbol: F.xxhash64(context, symbol)."""
+    return _hashed(symbol, _hashed(context, 42))
+
+
+class Part(NamedTuple):
+    """Symbols in their order, the text that each is of, its place there (the start has 0), and how many are there only to be looked back at."""
+
+    symbol: np.ndarray
+    text: np.ndarray
+    place: np.ndarray
+    old: int
+
+
+class Reader:
+    """Symbols of texts, part by part; of a text that goes on the last ``depth`` are kept."""
+
+    def __init__(self, depth: int, part: int = PART):
+        self.depth, self.part = depth, part
+        self.up, self.down = _powers(_BASE, part), _powers(pow(_BASE, -1, 1 << 64), part)
+
+    def words(self, b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of b and where they begin; cuts: where texts begin."""
+        blank = _BLANK[b]
+        edge = np.zeros(len(b) + 1, bool)
+        edge[0] = edge[-1] = True
+        edge[cuts] = True
+        begins = np.flatnonzero(~blank & (edge[:-1] | np.concatenate(([True], blank[:-1]))))
+        ends = np.flatnonzero(~blank & (edge[1:] | np.concatenate((blank[1:], [True])))) + 1
+        if len(b) > len(self.up):
+            self.up, self.down = _powers(_BASE, len(b)), _powers(pow(_BASE, -1, 1 << 64), len(b))
+        sums = np.concatenate((np.zeros(1, _U), np.cumsum(_BYTES[b] * self.up[: len(b)])))
+        return _finished((sums[ends] - sums[begins]) * self.down[begins] + (ends - begins).astype(_U)), begins
+
+    def parts(self, texts: pa.Array) -> Iterator[Part]:
+        """Of a binary array without nulls."""
+        if not len(texts):
+            return
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.empty(0, np.uint8)
+        i = 0
+        while i < len(texts):
+            last = max(i + 1, int(np.searchsorted(offsets, offsets[i] + self.part, "right")) - 1)
+            at, stop, past = int(offsets[i]), int(offsets[last]), None
+            # One text that is longer than a part goes on from blank to blank.
+            while stop - at > self.part:
+                to = self._after_blank(data, at, stop)
+                if to == stop:
+                    break
+                made = self._part(data[at:to], np.zeros(1, np.int64), i, last, past, False)
+                yield made
+                past, at = (made.symbol[-self.depth :], made.place[-self.depth :]), to
+            yield self._part(data[at:stop], np.maximum(offsets[i:last], at) - at, i, last, past, True)
+            i = last
+
+    def _after_blank(self, data: np.ndarray, at: int, stop: int) -> int:
+        """Behind the last blank of the next part; if it has none, behind the first one after it."""
+        to = at + self.part
+        gaps = np.flatnonzero(_BLANK[data[at:to]])
+        if len(gaps):
+            return at + int(gaps[-1]) + 1
+        while to < stop:
+            gaps = np.flatnonzero(_BLANK[data[to : min(stop, to + self.part)]])
+            if len(gaps):
+                return to + int(gaps[0]) + 1
+            to += self.part
+        return stop
+
+    def _part(self, b: np.ndarray, cuts: np.ndarray, first: int, last: int, past, ends: bool) -> Part:
+        h, begins = self.words(b, cuts[cuts < len(b)])
+        n = last - first
+        of = np.searchsorted(cuts, begins, "right") - 1 if n > 1 else np.zeros(len(h), np.int64)
+        count = np.bincount(of, minlength=n)
+        head = 0 if past else 1
+        size = count + head + (1 if ends else 0)
+        start = np.cumsum(size) - size
+        symbol = np.empty(int(size.sum()), _U)
+        text = np.repeat(np.arange(n), size)
+        place = np.arange(len(symbol)) - start[text]
+        if head:
+            symbol[start] = START
+        if ends:
+            symbol[start + size - 1] = END
+        symbol[np.arange(len(h)) + (head + (head + (1 if ends else 0)) * of)] = h
+        if past:
+            symbols, places = past
+            place += int(places[-1]) + 1
+            symbol, place = np.concatenate((symbols, symbol)), np.concatenate((places, place))
+            text = np.zeros(len(symbol), np.int64)
+        return Part(symbol, text + first, place, len(past[0]) if past else 0)
+
+
+def grams(p: Part, depth: int) -> list[np.ndarray]:
+    """Hashes of the last 1, 2, ... depth + 1 symbols at each place; nonsense where the text has no so many."""
+    out = [p.symbol]
+    for _ in range(depth):
+        before = np.concatenate((np.zeros(1, _U), out[-1][:-1]))
+        out.append(longer(before, p.symbol))
     return out
 
 
-def _pair_counts(model):
+class Filter:
+    """Membership among 64-bit keys: no for none that is there. ``words``: four bits of each key in the word that its first bits name."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.shift = words, _U(64 - (len(words).bit_length() - 1))
+
+    def maybe(self, key: np.ndarray) -> np.ndarray:
+        one, word = _U(1), self.words[key >> self.shift if len(self.words) > 1 else np.zeros(len(key), np.int64)]
+        bits = (one << (key & _U(63))) | (one << ((key >> _U(6)) & _U(63))) | (one << ((key >> _U(12)) & _U(63))) | (one << ((key >> _U(18)) & _U(63)))
+        return (word & bits) == bits
+
+
+def filter_of(keys: DataFrame, n: int, blocks: int = BLOCKS) -> Filter:
+    """Of keys(key): 16 bits for each of n keys, ``blocks`` words at most, put together by partial ors and brought to the driver."""
+    size = 1 << max(0, min(int(max(1, n) * 16 // 64).bit_length(), blocks.bit_length() - 1))
+    key, one = F.col("key"), F.lit(1).cast("long")
+    bit = lambda by: F.call_function("shiftleft", one, F.shiftrightunsigned(key, by).bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftrightunsigned(key, 64 - (size.bit_length() - 1)) if size > 1 else F.lit(0).cast("long")
+    found = keys.groupBy(word.alias("word")).agg(F.bit_or(bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12)).bitwiseOR(bit(18))).alias("bits")).toArrow()
+    words = np.zeros(size, _U)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(_U)
+    return Filter(words)
+
+
+def _summed(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(context, symbol, count) of (key, context, symbol, count) with counts of equal keys added up, by context."""
+    key, context, symbol, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.argsort(key)
+    first = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+    at, n = order[first], np.add.reduceat(n[order], first)
+    by = np.argsort(context[at])
+    return context[at][by], symbol[at][by], n[by]
+
+
+def _pair_counts(depths: tuple[int, ...], shared):
+    """Pairs of contexts of these depths; depth 0 counts symbols. shared: a Filter of the pairs one depth before."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ids, ranks, most = model.value
-        codes = Codes(hashes, ids)
-        for batch in parts(batches, 10_000):
-            keys, counts = [], []
-            for _, words, ends in slices(batch.column(0).to_pylist()):
-                w = codes.of(words)
-                w = np.where((w > 0) & (w <= most), w, -1)
-                for at, code in contexts(w, ends, ranks):
-                    nxt = w[at]
-                    for x in (code, (code | nxt)[nxt > 0]):  # symbol 0: how often the context occurs
-                        k, n = np.unique(x, return_counts=True)
-                        keys.append(k)
-                        counts.append(n)
-            yield from _emit(*_summed(keys, counts))
+        known: Filter | None = shared.value if shared is not None else None
+        reader, rows, held = Reader(max(*depths, 1)), [], 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            c, w, n = _summed(rows)
+            for i in range(0, len(n), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(c[part].view(np.int64)), pa.array(w[part].view(np.int64)), pa.array(n[part])], ["context", "symbol", "n"])
+
+        for batch in batches:
+            for p in reader.parts(batch.column(0)):
+                h = grams(p, max(depths))
+                for d in depths:
+                    ok = p.place >= d
+                    ok[: p.old] = False
+                    at = np.flatnonzero(ok)
+                    if d and known is not None and len(at):
+                        at = at[known.maybe(h[d - 1][at])]
+                        at = at[known.maybe(h[d - 1][at - 1])]
+                    if len(at):
+                        key, i, n = np.unique(h[d][at], return_index=True, return_counts=True)
+                        at = at[i]
+                        rows.append((key, h[d - 1][at - 1] if d else np.zeros(len(at), _U), p.symbol[at], n))
+                        held += len(at)
+                if held >= HELD:
+                    yield from emit()
+                    rows, held = [], 0
+        if rows:
+            yield from emit()
+        rows.clear()
+        released()
 
     return run
 
 
-def suffix_of(context: np.ndarray) -> np.ndarray:
-    """A context's code without its oldest word; 0 for the root."""
-    depth, code = context >> 48, context & ((1 << 48) - 1)
-    words = code >> SYMBOL
-    two = (words & 0x3FF, words >> 10)
-    three = (words & 0x7F, words >> 7 & 0x7F)
-    as_one = (np.int64(1) << 48) | (two[0] << SYMBOL)
-    as_two = (np.int64(2) << 48) | ((three[0] | three[1] << 10) << SYMBOL)
-    return np.where(depth == 2, as_one, np.where(depth == 3, as_two, 0))
-
-
-def grow(keys: np.ndarray, n: np.ndarray, counts: np.ndarray, total: int, discount: float = DISCOUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The tree: entries (context and symbol, probability) and contexts (code, weight of the next shorter one), both in order."""
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order].astype(float)
-    symbol = keys & ((1 << SYMBOL) - 1)
-    whole = symbol == 0
-    found, occurs = keys[whole], n[whole]
-    e, m, s = keys[~whole], n[~whole], symbol[~whole]
-    own = e - s
-    at = np.minimum(np.searchsorted(found, own), max(0, len(found) - 1))
-    if len(found) == 0 or len(e) == 0:
-        return np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0)
-    held = found[at] == own
-    e, m, s, own, at = e[held], m[held], s[held], own[held], at[held]
-    p = m / occurs[at]
-    up = suffix_of(own)
-    j = np.minimum(np.searchsorted(e, up | s), len(e) - 1)
-    parent = np.where((up > 0) & (e[j] == (up | s)), p[j], counts[s] / max(1, total))
-    gain = np.bincount(at, weights=m * np.log(p / parent), minlength=len(found))
-    kept = gain > np.bincount(at, minlength=len(found)) + 3
-    for depth in (3, 2):  # a tree: suffixes of what is retained are retained
-        ups = suffix_of(found[kept & (found >> 48 == depth)])
-        i = np.minimum(np.searchsorted(found, ups), len(found) - 1)
-        kept[i[found[i] == ups]] = True
-    q = np.maximum(m - discount, 0) / occurs[at]
-    rest = 1 - np.bincount(at, weights=q, minlength=len(found))
-    stay = kept[at]
-    return e[stay], q[stay], found[kept], rest[kept]
-
-
-def _scores(model):
+def count_pairs(texts: DataFrame, depths: tuple[int, ...], least: int, known: Filter | None = None) -> DataFrame:
+    """(context, symbol, n) of texts(text): symbols, whose context is 0, and pairs that occur ``least`` times."""
+    shared = texts.sparkSession.sparkContext.broadcast(known) if known is not None else None
+    out = texts.mapInArrow(_pair_counts(depths, shared), "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+    return cut(out.where((F.col("context") == 0) | (F.col("n") >= least)), "pairs")
+
+
+class Tree(NamedTuple):
+    """Training tokens and words, the weights (key, v, v0, n) of n-grams, and the retained contexts (context, depth)."""
+
+    tokens: int
+    distinct: int
+    weights: DataFrame
+    contexts: DataFrame
+
+
+def _probabilities(pairs: DataFrame, contexts: DataFrame, before: DataFrame, discount: float) -> DataFrame:
+    """(context, up, symbol, n, total, rest, p, q) of pairs: p after the context and q after its suffix. contexts(context, up, total), before(up, symbol, q)."""
+    seen = pairs.groupBy("context").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kinds"))
+    total = F.col("total").cast("double")
+    rest = (F.col("total") - F.col("seen") + discount * F.col("kinds")) / total
+    contexts = contexts.join(seen, "context").select("context", "up", "total", "kinds", rest.alias("rest"))
+    out = pairs.join(contexts, "context").join(before, ["up", "symbol"])
+    return out.select("context", "up", "symbol", "n", "total", "kinds", "rest", ((F.col("n") - discount) / total + F.col("rest") * F.col("q")).alias("p"), "q")
+
+
+def grow(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, discount: float = DISCOUNT, cost: float = COST) -> Tree:
+    """The tree of texts(text)."""
+    first = count_pairs(texts, (0, 1), least)
+    symbols = first.where("context = 0").select("symbol", "n")
+    words = symbols.where(F.col("symbol") != START)
+    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    root = words.select("symbol", "n", ((F.col("n") + 1) / F.lit(float(tokens + distinct + 1))).alias("p"))
+
+    zero = F.lit(0).cast("long").alias("up")
+    contexts = symbols.where(F.col("symbol") != END).select(F.col("symbol").alias("context"), zero, F.col("n").alias("total"))
+    before = root.select(zero, "symbol", F.col("p").alias("q"))
+    pairs, levels, tests = first.where("context <> 0"), [], []
+    for d in range(1, depth + 1):
+        level = cut(_probabilities(pairs, contexts, before, discount), "level")
+        gain = F.sum(F.col("n") * F.log(F.col("p") / F.col("q")))
+        seen = F.first(F.struct("up", "total", "kinds", "rest")).alias("c")
+        test = level.groupBy("context").agg(gain.alias("gain"), F.sum("n").alias("seen"), seen).select("context", "c.*", "gain", "seen")
+        passed = F.col("gain") + (F.col("total") - F.col("seen")) * F.log("rest") > F.col("kinds") + cost
+        tests.append(cut(test.select("context", "up", "total", "rest", passed.alias("passed")), "tests"))
+        levels.append(level)
+        if d < depth:
+            key = F.xxhash64("context", "symbol")
+            up = F.col("symbol") if d == 1 else F.xxhash64("up", "symbol")
+            named = level.select("context", "symbol", "n", "p", key.alias("key"), up.alias("next_up"))
+            contexts = named.where(F.col("symbol") != END).select(F.col("key").alias("context"), F.col("next_up").alias("up"), F.col("n").alias("total"))
+            before = named.select(F.col("context").alias("up"), "symbol", F.col("p").alias("q"))
+            pairs = count_pairs(texts, (d + 1,), least, filter_of(named.select("key"), level.count()))
+
+    # From the deepest up: what passes, and what a retained context is an extension of.
+    kept, needed = [], None
+    for test in reversed(tests):
+        own = test.where("passed")
+        if needed is not None:
+            own = own.select("context").union(needed).distinct().join(test, "context")
+        own = cut(own.select("context", "up", "total", "rest"), "kept")
+        kept.insert(0, own)
+        needed = own.select(F.col("up").alias("context")).distinct()
+
+    log_rest, none = F.log10("rest"), F.lit(0.0)
+    weights = root.select(F.col("symbol").alias("key"), F.log10("p").alias("v"), F.log10("p").alias("v0"), "n")
+    for own, level in zip(kept, levels, strict=True):
+        entries = level.join(own.select("context"), "context", "left_semi")
+        weights = weights.union(entries.select(F.xxhash64("context", "symbol").alias("key"), F.log10(F.col("p") / F.col("q")) - log_rest, none, "n"))
+        weights = weights.union(own.select("context", log_rest, none, "total"))
+    weights = cut(weights.groupBy("key").agg(F.sum("v").alias("v"), F.sum("v0").alias("v0"), F.max("n").alias("n")), "weights")
+    found = kept[0].select("context", F.lit(1).alias("depth"))
+    for d, own in enumerate(kept[1:], 2):
+        found = found.union(own.select("context", F.lit(d)))
+    return Tree(tokens, distinct, weights, found)
+
+
+SCORED = "n_tokens long, n_known long, base double, score double, key long, k long"
+
+
+def _scores(depth: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ids, ranks, counts, total, distinct, entries, probability, found, rest = model.value
-        codes, root = Codes(hashes, ids), (counts + 1) / (total + distinct + 1)
-        # Weights by context code, dense: at most 2^24 for depth 1 and 2^20 and 2^21 for the others.
-        weights, bounds = [], np.searchsorted(entries, [np.int64(d) << 48 for d in range(1, 5)])
-        for depth in range(1, len(ranks) + 1):
-            mine = found >> 48 == depth
-            code = (found[mine] & ((1 << 48) - 1)) >> SYMBOL
-            weights.append(np.ones(int(code.max()) + 2 if len(code) else 1))
-            weights[-1][code] = rest[mine]
-        for batch in parts(batches, 10_000):
-            known, base, score, n_tokens, rare, rare_n = [], [], [], [], [], []
-            for _, words, ends in slices(batch.column("text").to_pylist()):
-                w = codes.of(words)
-                common = (w > 0) & (w < len(counts))
-                ident = np.where(common, w, -1)
-                p0 = np.where(common, root[np.where(common, w, 0)], 1.0)
-                p = p0.copy()
-                for depth, (at, code) in enumerate(contexts(ident, ends, ranks), 1):
-                    c = (code & ((1 << 48) - 1)) >> SYMBOL
-                    lam = weights[depth - 1][np.minimum(c, len(weights[depth - 1]) - 1)]
-                    e = entries[bounds[depth - 1] : bounds[depth]]
-                    q = np.zeros(len(at))
-                    if len(e):
-                        ask = np.flatnonzero((lam < 1) & (ident[at] > 0))
-                        key = code[ask] | ident[at[ask]]
-                        j = np.minimum(np.searchsorted(e, key), len(e) - 1)
-                        q[ask] = np.where(e[j] == key, probability[bounds[depth - 1] : bounds[depth]][j], 0)
-                    p[at] = q + lam * p[at]
-                first = np.cumsum(ends) - ends
-                known.append(np.add.reduceat(common, first, dtype=np.int64))
-                base.append(np.add.reduceat(np.log10(p0), first))
-                score.append(np.add.reduceat(np.log10(p), first))
-                n_tokens.append(ends)
-                other = np.flatnonzero(~common)
-                k, n = np.unique(np.stack([np.repeat(np.arange(len(ends)), ends)[other], w[other]]), axis=1, return_counts=True) if len(other) else (np.empty((2, 0), np.int64), np.empty(0, np.int64))
-                cuts = np.searchsorted(k[0], np.arange(len(ends) + 1))
-                rare += [k[1][a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                rare_n += [n[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            joined = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-            offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in rare]))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in ("doc_id", "held_out", "row")),
-                    *(pa.array(x) for x in (joined(n_tokens, np.int64), joined(known, np.int64), joined(base, float), joined(score, float))),
-                    pa.ListArray.from_arrays(offsets, pa.array(joined(rare, np.int64))),
-                    pa.ListArray.from_arrays(offsets, pa.array(joined(rare_n, np.int64))),
-                ],
-                ["doc_id", "held_out", "row", "n_tokens", "known", "base", "part", "rare", "rare_n"],
-            )
+        """A row for each text with what can be said of it here, and one for each of its n-grams whose weight has to be looked up."""
+        known, keys, v, v0 = shared.value
+        reader = Reader(depth)
+
+        def rows_of(row: pa.Array, own: pa.Array, **values: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array(values[c]) if c in values else pa.nulls(len(row), t) for c, t in kinds.items()]
+            return pa.RecordBatch.from_arrays([row, own, *columns], ["row", "own", *kinds])
+
+        kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "key": pa.int64(), "k": pa.int64()}
+        for batch in batches:
+            ids, own = batch.column(0), batch.column(1)
+            for p in reader.parts(batch.column(2)):
+                lo = int(p.text[0])
+                n = int(p.text[-1]) - lo + 1
+                new = np.arange(len(p.symbol)) >= p.old
+                symbols = new & (p.symbol != START)
+                sums = {x: np.zeros(n) for x in ("n_known", "base", "score")}
+                cold_text, cold_key = [], []
+                for d, h in enumerate(grams(p, depth)):
+                    # The start is a context of depth 1; whole texts and their ends are pairs, not contexts, which weights know.
+                    at = np.flatnonzero(new & (p.place >= d))
+                    if d:
+                        at = at[known.maybe(h[at])]
+                    key = h[at].view(np.int64)
+                    order = np.argsort(key)
+                    key, text = key[order], p.text[at[order]] - lo
+                    j = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+                    hot = keys[j] == key if len(keys) else np.zeros(len(key), bool)
+                    sums["score"] += np.bincount(text[hot], weights=v[j[hot]], minlength=n)
+                    if d == 0:
+                        sums["base"] += np.bincount(text[hot], weights=v0[j[hot]], minlength=n)
+                        sums["n_known"] += np.bincount(text[hot], weights=v0[j[hot]] != 0, minlength=n)
+                    cold_text.append(text[~hot])
+                    cold_key.append(key[~hot])
+                counts = {"n_tokens": np.bincount(p.text[symbols] - lo, minlength=n).astype(np.int64), "n_known": sums["n_known"].astype(np.int64), "base": sums["base"], "score": sums["score"]}
+                yield rows_of(ids.slice(lo, n), own.slice(lo, n), **counts)
+                text, key = np.concatenate(cold_text), np.concatenate(cold_key)
+                order = np.lexsort((key, text))
+                text, key = text[order], key[order]
+                first = np.flatnonzero(np.concatenate(([True], (np.diff(text) != 0) | (np.diff(key) != 0)))) if len(key) else np.empty(0, np.int64)
+                if len(first):
+                    yield rows_of(ids.take(pa.array(lo + text[first])), pa.nulls(len(first), own.type), key=key[first], k=np.diff(np.append(first, len(key))))
+        released()
 
     return run
 
 
-def score_texts(docs: DataFrame, p_min: float = P_MIN, q_min: float = Q_MIN) -> DataFrame:
+def _hot(weights: DataFrame, most: int) -> tuple[int, pa.Table]:
+    """The occurrences from which on no more than ``most`` weights are left, and these, by key."""
+    by = weights.groupBy(F.least("n", F.lit(1 << 16).cast("long")).alias("n")).count().toArrow()
+    n, count = by["n"].to_numpy(), by["count"].to_numpy()
+    order = np.argsort(-n)
+    fit = np.flatnonzero(np.cumsum(count[order]) <= most)
+    least = int(n[order][fit[-1]]) if len(fit) else (1 << 62)
+    return least, weights.where(F.col("n") >= least).select("key", "v", "v0").toArrow()
+
+
+def score_with(docs: DataFrame, tree: Tree, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
+    """docs(doc_id, text, held_out) with n_tokens, n_known, train_tokens, base_score and score."""
+    spark, weights = docs.sparkSession, tree.weights
+    least, top = _hot(weights, hot)
+    order = np.argsort(top["key"].to_numpy())
+    shared = spark.sparkContext.broadcast((filter_of(weights.select("key"), weights.count()), *(top[c].to_numpy()[order] for c in ("key", "v", "v0"))))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("doc_id", "held_out").alias("own"), raw("text").alias("text"))
+    schema = f"row long, own {rows.schema['own'].dataType.simpleString()}, {SCORED}"
+    # The key of a row is settled by writing it, as ids may be null or repeated.
+    scored = cut(rows.mapInArrow(_scores(depth, shared), schema), "scored")
+    cold = weights.where(F.col("n") < least).select("key", "v", "v0")
+    there = scored.where("key IS NOT NULL").select("row", "key", "k").join(cold, "key")
+    k, none = F.col("k"), F.lit(None)
+    there = there.select("row", none.alias("own"), none.alias("n_tokens"), F.when(F.col("v0") != 0, k).otherwise(0).alias("n_known"), (k * F.col("v0")).alias("base"), (k * F.col("v")).alias("score"))
+    sums = scored.where("key IS NULL").select("row", "own", "n_tokens", "n_known", "base", "score").union(there)
+    all_ = sums.groupBy("row").agg(F.first("own", ignorenulls=True).alias("own"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
+    # A word that training hasn't seen.
+    unknown = (F.col("n_tokens") - F.col("n_known")) * F.log10(F.lit(1.0 / (tree.tokens + tree.distinct + 1)))
+    return all_.select("own.doc_id", "own.held_out", "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + unknown).alias("base_score"), (F.col("score") + unknown).alias("score"))
+
+
+def score_texts(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """docs(doc_id, text, held_out): the tree learns from rows not held out and scores all."""
-    spark = docs.sparkSession
-    seen = docs.where("NOT held_out").select(raw("text").alias("text"))
-    words = cut(seen.mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # At most 1 / q_min rows.
-    common = words.where(F.col("n") >= max(LEAST, q_min * total)).toArrow()
-    h, n = common["key"].to_numpy(), common["n"].to_numpy()
-    rank = np.lexsort((h, -n))
-    h, n = h[rank], n[rank]
-    counts = np.concatenate(([0], n))
-    ranks = tuple(int(np.count_nonzero(n >= p_min ** (1 / d) * total)) for d in range(1, DEPTH + 1))
-    by_hash = np.argsort(h)
-    lookup = (h[by_hash], (by_hash + 1).astype(np.int64))
-    shared = spark.sparkContext.broadcast((*lookup, ranks, len(n)))
-    pairs = seen.mapInArrow(_pair_counts(shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    # At most DEPTH / q_min pairs, and as many contexts as candidates.
-    pairs = pairs.where(F.col("n") >= max(LEAST, q_min * total)).toArrow()
-    tree = grow(pairs["key"].to_numpy(), pairs["n"].to_numpy(), counts, total)
-    shared = spark.sparkContext.broadcast((*lookup, ranks, counts, total, distinct, *tree))
-
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, row long, n_tokens long, known long, base double, part double, rare array<long>, rare_n array<long>"
-    rows = docs.select("doc_id", "held_out", F.monotonically_increasing_id().alias("row"), raw("text").alias("text"))
-    scored = cut(rows.mapInArrow(_scores(shared), schema), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("key"), F.col("r.rare_n").alias("k"))
-    rare = rare.join(words, "key", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))).alias("rare_log"),
-    )
-    more = F.coalesce("rare_log", F.lit(0.0))
-    return scored.join(rare, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("part") + more).alias("score"),
-    )
+    tree = grow(docs.where("NOT held_out").select(raw("text").alias("text")), depth, least)
+    return score_with(docs, tree, depth, hot)
 
 
 def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,26 +154,101 @@ def test_suffix_tree(spark, folder):
         assert r.score < 0
 
 
-def test_suffix_tree_is_a_distribution(spark):
-    """Next-symbol probabilities of a state sum to one with the unknown word, and longer contexts are used."""
-    text = "a b c . a b d . x b e . " * 40
-    docs = spark.createDataFrame([(0, text, False)] + [(i, f"a b {w}", True) for i, w in enumerate(["c", "d", "e", "a", "b", "x", ".", "zzz"], 1)] + [(20, "a b", True)], "doc_id int, text string, held_out boolean")
-    got = {r.doc_id: r for r in suffix_tree_lm.score_texts(docs, p_min=1e-3, q_min=1e-4).collect()}
-    # P(a b w END) / P(END | w) is not observable, so compare words with the same continuation: c, d, e are all followed by a stop.
-    assert got[1].score > got[3].score and math.isclose(got[1].score, got[2].score, rel_tol=1e-6)
-    assert got[1].score > got[8].score
-
-
-def test_grow_keeps_mass():
-    ids = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3, 5] * 50)
-    ends, ranks = np.array([len(ids)]), (5, 5, 5)
-    keys = np.concatenate([np.concatenate([c, c | ids[at]]) for at, c in suffix_tree_lm.contexts(ids, ends, ranks)])
-    k, n = np.unique(keys, return_counts=True)
-    e, p, found, rest = suffix_tree_lm.grow(k[n > 1], n[n > 1], np.array([0, 150, 150, 100, 50, 50]), 500)
-    assert len(found) and (rest >= 0).all()
-    for c, r in zip(found, rest, strict=True):
-        assert math.isclose(p[(e >> 24) == (c >> 24)].sum() + r, 1)
-    assert set(suffix_tree_lm.suffix_of(found[found >> 48 > 1]).tolist()) <= set(found.tolist())
+def brute_tree(train, depth=3, least=2, discount=0.75, cost=3.0):
+    """log10 probability of a text by a suffix tree that is grown from dictionaries, straight from the definition."""
+    tokens = lambda t: ["<s>", *t.encode().lower().split(), b"\n"]
+    count = [Counter() for _ in range(depth + 2)]  # of n-grams
+    for t in train:
+        w = tokens(t)
+        for n in range(1, depth + 2):
+            count[n].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    words = {k: n for k, n in count[1].items() if k != ("<s>",)}
+    total = sum(words.values()) + len(words) + 1
+    after = {}
+    for n in range(2, depth + 2):
+        for g, k in count[n].items():
+            if k >= least:
+                after.setdefault(g[:-1], {})[g[-1]] = k
+    rest = {c: (count[len(c)][c] - sum(s.values()) + discount * len(s)) / count[len(c)][c] for c, s in after.items()}
+
+    def p(w, c, known):
+        while c and c not in known:
+            c = c[1:]
+        if not c:
+            return (words.get((w,), 0) + 1) / total
+        return max(after[c].get(w, 0) - discount, 0) / count[len(c)][c] * (w in after[c]) + rest[c] * p(w, c[1:], known)
+
+    kept = set()
+    for c, s in after.items():
+        gain = sum(k * math.log(p(w, c, after) / p(w, c[1:], after)) for w, k in s.items()) + (count[len(c)][c] - sum(s.values())) * math.log(rest[c])
+        if gain > len(s) + cost:
+            kept |= {c[i:] for i in range(len(c))}
+
+    def score(t):
+        own = tokens(t)
+        return sum(math.log10(p(w, tuple(own[max(0, i - depth) : i]), kept)) for i, w in enumerate(own) if i)
+
+    return kept, score, p
+
+
+@pytest.mark.parametrize("hot", [0, 40, 1 << 20])
+def test_suffix_tree_against_brute_force(spark, folder, hot):
+    # After "q r s" the last word decides with two before it, so depth three tells more than two.
+    more = [f"{a} {b} {c} {'one' if a == b else 'two'} ." for a in "qr" for b in "qr" for c in "st"] * 12
+    rows = rows_of(folder) + [(1000 + i, t, None) for i, t in enumerate(more)]
+    train = [t for doc, t, _ in rows if zlib.crc32(str(doc).encode()) % 7 != 2]
+    kept, score, _ = brute_tree(train)
+    docs = spark.createDataFrame([(doc, t) for doc, t, _ in rows], "doc_id long, text string").repartition(3)
+    docs = common.cut(docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 7 == 2), "docs")
+    # With nothing broadcast, with a little, and with everything.
+    tree = suffix_tree_lm.grow(docs.where("NOT held_out").select(common.raw("text").alias("text")))
+    assert Counter(r.depth for r in tree.contexts.collect()) == Counter(map(len, kept)) and {len(c) for c in kept} == {1, 2, 3}
+    for r in suffix_tree_lm.score_with(docs, tree, hot=hot).collect():
+        text = next(t for doc, t, _ in rows if doc == r.doc_id)
+        assert math.isclose(r.score, score(text), rel_tol=1e-7), r.doc_id
+
+
+def test_suffix_tree_sums_to_one():
+    train = ["a b c . a b d . x b e . " * 40, "a b c"]
+    kept, _, p = brute_tree(train)
+    words = {*(w for t in train for w in t.encode().split()), b"\n", b"unseen"}
+    for c in kept:
+        assert math.isclose(sum(p(w, c, kept) for w in words), 1)
+
+
+def test_parts_of_a_text():
+    """Texts cut into parts have the words, hashes and n-grams that they have whole."""
+    rng = random.Random(5)
+    data = [" ".join(rng.choice(["ab", "c", "Longer", "é", "x" * 90]) + rng.choice(["", "\n", " \t"]) for _ in range(n)) for n in (0, 1, 40, 0, 3, 300, 1)] + ["   ", "y" * 500]
+    texts = pa.array([t.encode() for t in data], pa.binary())
+    whole, small = suffix_tree_lm.Reader(3), suffix_tree_lm.Reader(3, 64)
+    assert (suffix_tree_lm._BYTES[ord("A")] == suffix_tree_lm._BYTES[ord("a")]) and len(set(suffix_tree_lm._BYTES.tolist())) == 230
+
+    def seen(reader, array):
+        out = Counter()
+        for p in reader.parts(array):
+            for d, h in enumerate(suffix_tree_lm.grams(p, 3)):
+                ok = p.place >= d
+                ok[: p.old] = False
+                out.update((d, t, x) for t, x in zip(p.text[ok].tolist(), h[ok].tolist(), strict=True))
+        return out
+
+    found = seen(whole, texts)
+    assert found == seen(small, texts) and found == Counter({(d, t - 2, x): n for (d, t, x), n in seen(small, pa.concat_arrays([texts[:2], texts])).items() if t > 1})
+    for i, t in enumerate(data):
+        assert sum(n for (d, text, _), n in found.items() if d == 0 and text == i) == len(t.split()) + 2
+    assert len({x for d, _, x in found if d == 0}) == len({w for t in data for w in t.encode().lower().split()}) + 2
+
+
+def test_filter_has_no_false_negatives(spark):
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("key"))
+    every = np.array([r.key for r in keys.collect()]).view(np.uint64)
+    for blocks in (1, 64, 1 << 22):
+        known = suffix_tree_lm.filter_of(keys, 20_000, blocks)
+        assert known.maybe(every).all()
+    others = np.random.default_rng(1).integers(0, 1 << 64, 20_000, np.uint64)
+    assert known.maybe(others).mean() < 0.05
+    assert suffix_tree_lm.longer(np.array([5], np.uint64), np.array([7], np.uint64)).view(np.int64)[0] == spark.range(1).select(F.xxhash64(F.lit(5).cast("long"), F.lit(7).cast("long"))).first()[0]
 
 
 def test_host_rules(spark, folder):
