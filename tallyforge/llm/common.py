@@ -37,20 +37,34 @@ def shared_folder(spark: SparkSession) -> str:
     return at.get()
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: the lineage ends here, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    # What was shuffled for the table isn't needed once it is written.
+@contextlib.contextmanager
+def once(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled for a query in here isn't needed after it, so its files go at its end and not when the driver happens to collect garbage."""
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: the lineage ends here, lost executors lose nothing."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with once(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete what cut() wrote for these, once no result reads it any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def raw(text: str) -> F.Column:
     """A text column as UTF-8 bytes, null as empty: Python then never has to decode it."""
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))

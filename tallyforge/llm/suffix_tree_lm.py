@@ -1,9 +1,9 @@
 """A probabilistic suffix tree over words scores every text.
 
 Symbols are the words of a text, A-Z in lower case, after one start and before
-one end. A context is up to ``depth`` preceding symbols. Every context that is
-followed at least ``least`` times by some symbol is a candidate, whatever its
-words are. With absolute discounting (Kneser and Ney's D, the rest going to the
+one end. A context is up to ``depth`` preceding symbols. A word is a candidate if
+some symbol follows it ``least`` times, and so is a longer context that besides
+occurs ``extend`` times, whatever its words are. With absolute discounting (Kneser and Ney's D, the rest going to the
 suffix of the context; the root is add-one over the training words)
 
     P(w | c) = max(n(c w) - D, 0) / n(c) + rest(c) * P(w | suffix(c))
@@ -17,10 +17,11 @@ Nothing of this is built on the driver. Contexts and symbols are 64-bit hashes,
 and the hash of a context and its next symbol is the hash of the longer context,
 by a function that Spark has too. Counts, probabilities and tests are tables.
 
-* Depth by depth, tasks count their (context, symbol) pairs and send the sums.
+* Depth by depth, tasks count their (context, symbol) pairs and send the sums,
+  in blocks of arrays by the hash of the pair, so no context is one task's alone.
   A pair can only be frequent if its context and its suffix pair were, one depth
-  before; a Bloom filter of those that were spares the others the way. Its size
-  has a bound, ``blocks`` 64-bit words. Where it fills up, more pairs travel and
+  before; Bloom filters of those that were spare the others the way. Their size
+  has a bound, ``blocks`` 64-bit words. Where they fill up, more pairs travel and
   are dropped after counting, with the same result.
 * The log-probability of a text is a sum over its n-grams: with D the gain of a
   pair over its suffix pair and L the logarithm of a context's rest, every symbol
@@ -52,11 +53,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, raw, released, table
+from .common import cut, discard, once, raw, released, table, tasks
 
-DEPTH, LEAST, DISCOUNT, COST = 3, 2, 0.75, 3.0
-#: Symbols that are no words; bytes of a part of a text; symbols whose pairs a task adds up; words of the filter; weights that are broadcast.
-START, END, PART, HELD, BLOCKS, HOT = 1, 2, 1 << 20, 1 << 21, 1 << 22, 1 << 21
+DEPTH, LEAST, EXTEND, DISCOUNT, COST = 3, 2, 4, 0.75, 3.0
+#: Symbols that are no words; bytes of a part of a text; symbols whose pairs a task adds up; words of a filter; weights that are broadcast.
+START, END, PART, HELD, BLOCKS, HOT = 1, 2, 1 << 20, 1 << 22, 1 << 22, 1 << 21
 
 _U = np.uint64
 _RNG = np.random.default_rng(64)
@@ -208,34 +209,39 @@ def filter_of(keys: DataFrame, n: int, blocks: int = BLOCKS) -> Filter:
     key, one = F.col("key"), F.lit(1).cast("long")
     bit = lambda by: F.call_function("shiftleft", one, F.shiftrightunsigned(key, by).bitwiseAND(F.lit(63)).cast("int"))
     word = F.shiftrightunsigned(key, 64 - (size.bit_length() - 1)) if size > 1 else F.lit(0).cast("long")
-    found = keys.groupBy(word.alias("word")).agg(F.bit_or(bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12)).bitwiseOR(bit(18))).alias("bits")).toArrow()
+    with once(keys.sparkSession):
+        found = keys.groupBy(word.alias("word")).agg(F.bit_or(bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12)).bitwiseOR(bit(18))).alias("bits")).toArrow()
     words = np.zeros(size, _U)
     words[found["word"].to_numpy()] = found["bits"].to_numpy().view(_U)
     return Filter(words)
 
 
-def _summed(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """(context, symbol, count) of (key, context, symbol, count) with counts of equal keys added up, by context."""
-    key, context, symbol, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+def _summed(key: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same by key, with counts of equal keys added up."""
     order = np.argsort(key)
     first = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
-    at, n = order[first], np.add.reduceat(n[order], first)
-    by = np.argsort(context[at])
-    return context[at][by], symbol[at][by], n[by]
+    at = order[first]
+    return key[at], context[at], symbol[at], np.add.reduceat(n[order], first)
 
 
-def _pair_counts(depths: tuple[int, ...], shared):
-    """Pairs of contexts of these depths; depth 0 counts symbols. shared: a Filter of the pairs one depth before."""
+BLOCK = "block int, contexts binary, symbols binary, n binary"
+
+
+def _pair_counts(depths: tuple[int, ...], blocks: int, shared):
+    """Blocks of pairs with contexts of these depths; depth 0 counts symbols. shared: Filters of contexts and of suffix pairs, one depth before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Filter | None = shared.value if shared is not None else None
+        contexts, suffixes = shared.value if shared is not None else (None, None)
         reader, rows, held = Reader(max(*depths, 1)), [], 0
 
         def emit() -> Iterator[pa.RecordBatch]:
-            c, w, n = _summed(rows)
-            for i in range(0, len(n), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(c[part].view(np.int64)), pa.array(w[part].view(np.int64)), pa.array(n[part])], ["context", "symbol", "n"])
+            key, c, w, n = _summed(*(np.concatenate(x) for x in zip(*rows, strict=True)))
+            # Keys are in order, so a block is a range of them; within it contexts are brought together, which packs them well.
+            cuts = np.searchsorted(key, (np.arange(1, blocks, dtype=_U) * _U((1 << 64) // blocks)))
+            bounds = np.concatenate(([0], cuts, [len(key)]))
+            for i in np.flatnonzero(np.diff(bounds)).tolist():
+                by = bounds[i] + np.argsort(c[bounds[i] : bounds[i + 1]])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x[by].astype(t).tobytes()], pa.binary()) for x, t in ((c, _U), (w, _U), (n, np.uint32)))], ["block", "contexts", "symbols", "n"])
 
         for batch in batches:
             for p in reader.parts(batch.column(0)):
@@ -244,9 +250,9 @@ def _pair_counts(depths: tuple[int, ...], shared):
                     ok = p.place >= d
                     ok[: p.old] = False
                     at = np.flatnonzero(ok)
-                    if d and known is not None and len(at):
-                        at = at[known.maybe(h[d - 1][at])]
-                        at = at[known.maybe(h[d - 1][at - 1])]
+                    if d and contexts is not None:
+                        at = at[contexts.maybe(h[d - 1][at - 1])]
+                        at = at[suffixes.maybe(h[d - 1][at])]
                     if len(at):
                         key, i, n = np.unique(h[d][at], return_index=True, return_counts=True)
                         at = at[i]
@@ -263,11 +269,33 @@ def _pair_counts(depths: tuple[int, ...], shared):
     return run
 
 
-def count_pairs(texts: DataFrame, depths: tuple[int, ...], least: int, known: Filter | None = None) -> DataFrame:
+def _frequent(least: int):
+    """(context, symbol, n) of blocks: symbols, whose context is 0, and pairs that occur often enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = [[], [], []]
+        for batch in batches:
+            for x, column, t in zip(parts, batch.columns[1:], (_U, _U, np.uint32), strict=True):
+                x += [np.frombuffer(b.as_buffer(), t) for b in column]
+        if parts[0]:
+            c, w, n = (np.concatenate(x) for x in parts)
+            _, c, w, n = _summed(np.where(c == 0, w, longer(c, w)), c, w, n.astype(np.int64))
+            keep = np.flatnonzero((c == 0) | (n >= least))
+            for i in range(0, len(keep), 1 << 16):
+                at = keep[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(c[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n[at])], ["context", "symbol", "n"])
+        parts.clear()
+        released()
+
+    return run
+
+
+def count_pairs(texts: DataFrame, depths: tuple[int, ...], least: int, known: tuple[Filter, Filter] | None = None) -> DataFrame:
     """(context, symbol, n) of texts(text): symbols, whose context is 0, and pairs that occur ``least`` times."""
+    n = tasks(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(known) if known is not None else None
-    out = texts.mapInArrow(_pair_counts(depths, shared), "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-    return cut(out.where((F.col("context") == 0) | (F.col("n") >= least)), "pairs")
+    blocks = texts.mapInArrow(_pair_counts(depths, 8 * n, shared), BLOCK).repartition(n, "block")
+    return cut(blocks.mapInArrow(_frequent(least), "context long, symbol long, n long"), "pairs")
 
 
 class Tree(NamedTuple):
@@ -279,43 +307,39 @@ class Tree(NamedTuple):
     contexts: DataFrame
 
 
-def _probabilities(pairs: DataFrame, contexts: DataFrame, before: DataFrame, discount: float) -> DataFrame:
-    """(context, up, symbol, n, total, rest, p, q) of pairs: p after the context and q after its suffix. contexts(context, up, total), before(up, symbol, q)."""
-    seen = pairs.groupBy("context").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kinds"))
-    total = F.col("total").cast("double")
-    rest = (F.col("total") - F.col("seen") + discount * F.col("kinds")) / total
-    contexts = contexts.join(seen, "context").select("context", "up", "total", "kinds", rest.alias("rest"))
-    out = pairs.join(contexts, "context").join(before, ["up", "symbol"])
-    return out.select("context", "up", "symbol", "n", "total", "kinds", "rest", ((F.col("n") - discount) / total + F.col("rest") * F.col("q")).alias("p"), "q")
-
-
-def grow(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, discount: float = DISCOUNT, cost: float = COST) -> Tree:
+def grow(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, extend: int = EXTEND, discount: float = DISCOUNT, cost: float = COST) -> Tree:
     """The tree of texts(text)."""
     first = count_pairs(texts, (0, 1), least)
-    symbols = first.where("context = 0").select("symbol", "n")
-    words = symbols.where(F.col("symbol") != START)
+    root = cut(first.where("context = 0").select("symbol", "n"), "symbols")
+    words = root.where(F.col("symbol") != START)
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    root = words.select("symbol", "n", ((F.col("n") + 1) / F.lit(float(tokens + distinct + 1))).alias("p"))
+    p0 = (F.col("n") + 1) / F.lit(float(tokens + distinct + 1))
 
     zero = F.lit(0).cast("long").alias("up")
-    contexts = symbols.where(F.col("symbol") != END).select(F.col("symbol").alias("context"), zero, F.col("n").alias("total"))
-    before = root.select(zero, "symbol", F.col("p").alias("q"))
-    pairs, levels, tests = first.where("context <> 0"), [], []
+    contexts = root.where((F.col("symbol") != END) & (F.col("n") >= least)).select(F.col("symbol").alias("context"), zero, F.col("n").alias("total"))
+    before = words.where(F.col("n") >= least).select(zero, "symbol", p0.alias("q"))
+    pairs, source, levels, tests = first.where("context <> 0"), first, [], []
     for d in range(1, depth + 1):
-        level = cut(_probabilities(pairs, contexts, before, discount), "level")
-        gain = F.sum(F.col("n") * F.log(F.col("p") / F.col("q")))
-        seen = F.first(F.struct("up", "total", "kinds", "rest")).alias("c")
-        test = level.groupBy("context").agg(gain.alias("gain"), F.sum("n").alias("seen"), seen).select("context", "c.*", "gain", "seen")
+        seen = pairs.groupBy("context").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kinds"))
+        total = F.col("total").cast("double")
+        rest = (F.col("total") - F.col("seen") + discount * F.col("kinds")) / total
+        contexts = cut(contexts.join(seen, "context").select("context", "up", "total", "seen", "kinds", rest.alias("rest")), "contexts")
+        level = pairs.join(contexts, "context").join(before, ["up", "symbol"])
+        level = cut(level.select("context", "up", "symbol", "n", ((F.col("n") - discount) / total + F.col("rest") * F.col("q")).alias("p"), "q"), "level")
+        discard(source)
+        gains = level.groupBy("context").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))).alias("gain"))
         passed = F.col("gain") + (F.col("total") - F.col("seen")) * F.log("rest") > F.col("kinds") + cost
-        tests.append(cut(test.select("context", "up", "total", "rest", passed.alias("passed")), "tests"))
+        tests.append(cut(contexts.join(gains, "context").select("context", "up", "total", "rest", passed.alias("passed")), "tests"))
+        discard(contexts)
         levels.append(level)
         if d < depth:
             key = F.xxhash64("context", "symbol")
             up = F.col("symbol") if d == 1 else F.xxhash64("up", "symbol")
-            named = level.select("context", "symbol", "n", "p", key.alias("key"), up.alias("next_up"))
-            contexts = named.where(F.col("symbol") != END).select(F.col("key").alias("context"), F.col("next_up").alias("up"), F.col("n").alias("total"))
-            before = named.select(F.col("context").alias("up"), "symbol", F.col("p").alias("q"))
-            pairs = count_pairs(texts, (d + 1,), least, filter_of(named.select("key"), level.count()))
+            often = level.where((F.col("n") >= extend) & (F.col("symbol") != END))
+            contexts = often.select(key.alias("context"), up.alias("up"), F.col("n").alias("total"))
+            before = level.select(F.col("context").alias("up"), "symbol", F.col("p").alias("q"))
+            known = filter_of(often.select(key.alias("key")), often.count()), filter_of(level.select(key.alias("key")), level.count())
+            source = pairs = count_pairs(texts, (d + 1,), least, known)
 
     # From the deepest up: what passes, and what a retained context is an extension of.
     kept, needed = [], None
@@ -328,12 +352,13 @@ def grow(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, discount: flo
         needed = own.select(F.col("up").alias("context")).distinct()
 
     log_rest, none = F.log10("rest"), F.lit(0.0)
-    weights = root.select(F.col("symbol").alias("key"), F.log10("p").alias("v"), F.log10("p").alias("v0"), "n")
+    weights = words.select(F.col("symbol").alias("key"), F.log10(p0).alias("v"), F.log10(p0).alias("v0"), "n")
     for own, level in zip(kept, levels, strict=True):
-        entries = level.join(own.select("context"), "context", "left_semi")
+        entries = level.join(own.select("context", "rest"), "context")
         weights = weights.union(entries.select(F.xxhash64("context", "symbol").alias("key"), F.log10(F.col("p") / F.col("q")) - log_rest, none, "n"))
         weights = weights.union(own.select("context", log_rest, none, "total"))
     weights = cut(weights.groupBy("key").agg(F.sum("v").alias("v"), F.sum("v0").alias("v0"), F.max("n").alias("n")), "weights")
+    discard(root, *levels, *tests)
     found = kept[0].select("context", F.lit(1).alias("depth"))
     for d, own in enumerate(kept[1:], 2):
         found = found.union(own.select("context", F.lit(d)))
@@ -423,9 +448,9 @@ def score_with(docs: DataFrame, tree: Tree, depth: int = DEPTH, hot: int = HOT)
     return all_.select("own.doc_id", "own.held_out", "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + unknown).alias("base_score"), (F.col("score") + unknown).alias("score"))
 
 
-def score_texts(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, hot: int = HOT) -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     """docs(doc_id, text, held_out): the tree learns from rows not held out and scores all."""
-    tree = grow(docs.where("NOT held_out").select(raw("text").alias("text")), depth, least)
+    tree = grow(docs.where("NOT held_out").select(raw("text").alias("text")), depth)
     return score_with(docs, tree, depth, hot)
 
 

@@ -154,7 +154,7 @@ def test_suffix_tree(spark, folder):
         assert r.score < 0
 
 
-def brute_tree(train, depth=3, least=2, discount=0.75, cost=3.0):
+def brute_tree(train, depth=3, least=2, extend=4, discount=0.75, cost=3.0):
     """log10 probability of a text by a suffix tree that is grown from dictionaries, straight from the definition."""
     tokens = lambda t: ["<s>", *t.encode().lower().split(), b"\n"]
     count = [Counter() for _ in range(depth + 2)]  # of n-grams
@@ -167,7 +167,7 @@ def brute_tree(train, depth=3, least=2, discount=0.75, cost=3.0):
     after = {}
     for n in range(2, depth + 2):
         for g, k in count[n].items():
-            if k >= least:
+            if k >= least and (n == 2 or count[n - 1][g[:-1]] >= extend):
                 after.setdefault(g[:-1], {})[g[-1]] = k
     rest = {c: (count[len(c)][c] - sum(s.values()) + discount * len(s)) / count[len(c)][c] for c, s in after.items()}
 
