@@ -1,9 +1,9 @@
 """A probabilistic suffix tree over words scores every text.
 
 Symbols are the words of a text, A-Z in lower case, after one start and before
-one end. A context is up to ``depth`` preceding symbols. A word is a candidate if
-some symbol follows it ``least`` times, and so is a longer context that besides
-occurs ``extend`` times, whatever its words are. With absolute discounting (Kneser and Ney's D, the rest going to the
+one end. A context is up to ``depth`` preceding symbols. Every context that some
+symbol follows ``least`` times is a candidate, whatever its words are; a pair that
+is rarer is no evidence of a state. With absolute discounting (Kneser and Ney's D, the rest going to the
 suffix of the context; the root is add-one over the training words)
 
     P(w | c) = max(n(c w) - D, 0) / n(c) + rest(c) * P(w | suffix(c))
@@ -20,8 +20,8 @@ by a function that Spark has too. Counts, probabilities and tests are tables.
 * Depth by depth, tasks count their (context, symbol) pairs and send the sums,
   in blocks of arrays by the hash of the pair, so no context is one task's alone.
   A pair can only be frequent if its context and its suffix pair were, one depth
-  before; Bloom filters of those that were spare the others the way. Their size
-  has a bound, ``blocks`` 64-bit words. Where they fill up, more pairs travel and
+  before; a Bloom filter of those that were spares the others the way. Its size
+  has a bound, ``blocks`` 64-bit words. Where it fills up, more pairs travel and
   are dropped after counting, with the same result.
 * The log-probability of a text is a sum over its n-grams: with D the gain of a
   pair over its suffix pair and L the logarithm of a context's rest, every symbol
@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, discard, once, raw, released, table, tasks
 
-DEPTH, LEAST, EXTEND, DISCOUNT, COST = 3, 2, 4, 0.75, 3.0
+DEPTH, LEAST, DISCOUNT, COST = 3, 4, 0.75, 3.0
 #: Symbols that are no words; bytes of a part of a text; symbols whose pairs a task adds up; words of a filter; weights that are broadcast.
 START, END, PART, HELD, BLOCKS, HOT = 1, 2, 1 << 20, 1 << 22, 1 << 22, 1 << 21
 
@@ -228,10 +228,10 @@ BLOCK = "block int, contexts binary, symbols binary, n binary"
 
 
 def _pair_counts(depths: tuple[int, ...], blocks: int, shared):
-    """Blocks of pairs with contexts of these depths; depth 0 counts symbols. shared: Filters of contexts and of suffix pairs, one depth before."""
+    """Blocks of pairs with contexts of these depths; depth 0 counts symbols. shared: a Filter of the pairs one depth before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, suffixes = shared.value if shared is not None else (None, None)
+        known: Filter | None = shared.value if shared is not None else None
         reader, rows, held = Reader(max(*depths, 1)), [], 0
 
         def emit() -> Iterator[pa.RecordBatch]:
@@ -250,9 +250,9 @@ def _pair_counts(depths: tuple[int, ...], blocks: int, shared):
                     ok = p.place >= d
                     ok[: p.old] = False
                     at = np.flatnonzero(ok)
-                    if d and contexts is not None:
-                        at = at[contexts.maybe(h[d - 1][at - 1])]
-                        at = at[suffixes.maybe(h[d - 1][at])]
+                    if d and known is not None:
+                        at = at[known.maybe(h[d - 1][at])]
+                        at = at[known.maybe(h[d - 1][at - 1])]
                     if len(at):
                         key, i, n = np.unique(h[d][at], return_index=True, return_counts=True)
                         at = at[i]
@@ -290,7 +290,7 @@ def _frequent(least: int):
     return run
 
 
-def count_pairs(texts: DataFrame, depths: tuple[int, ...], least: int, known: tuple[Filter, Filter] | None = None) -> DataFrame:
+def count_pairs(texts: DataFrame, depths: tuple[int, ...], least: int, known: Filter | None = None) -> DataFrame:
     """(context, symbol, n) of texts(text): symbols, whose context is 0, and pairs that occur ``least`` times."""
     n = tasks(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(known) if known is not None else None
@@ -307,7 +307,7 @@ class Tree(NamedTuple):
     contexts: DataFrame
 
 
-def grow(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, extend: int = EXTEND, discount: float = DISCOUNT, cost: float = COST) -> Tree:
+def grow(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, discount: float = DISCOUNT, cost: float = COST) -> Tree:
     """The tree of texts(text)."""
     first = count_pairs(texts, (0, 1), least)
     root = cut(first.where("context = 0").select("symbol", "n"), "symbols")
@@ -335,11 +335,9 @@ def grow(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, extend: int =
         if d < depth:
             key = F.xxhash64("context", "symbol")
             up = F.col("symbol") if d == 1 else F.xxhash64("up", "symbol")
-            often = level.where((F.col("n") >= extend) & (F.col("symbol") != END))
-            contexts = often.select(key.alias("context"), up.alias("up"), F.col("n").alias("total"))
+            contexts = level.where(F.col("symbol") != END).select(key.alias("context"), up.alias("up"), F.col("n").alias("total"))
             before = level.select(F.col("context").alias("up"), "symbol", F.col("p").alias("q"))
-            known = filter_of(often.select(key.alias("key")), often.count()), filter_of(level.select(key.alias("key")), level.count())
-            source = pairs = count_pairs(texts, (d + 1,), least, known)
+            source = pairs = count_pairs(texts, (d + 1,), least, filter_of(level.select(key.alias("key")), level.count()))
 
     # From the deepest up: what passes, and what a retained context is an extension of.
     kept, needed = [], None

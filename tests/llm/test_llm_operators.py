@@ -126,16 +126,38 @@ def test_genetic_steps():
     rng = random.Random(1)
     lengths = [rng.randint(1, 70) for _ in range(200)]
     a, b = packing._start(lengths, 100, 2, rng)
-    for bins in (packing.crossover(a, b, lengths, 100, rng), packing.mutate(a, lengths, 100, rng), *packing.evolve([a, b], lengths, 100, 10, rng)):
+    people, done, gains = packing.evolve([a, b], lengths, 100, 10, rng)
+    for bins in (packing.crossover(a, b, lengths, 100, rng), packing.mutate(a, lengths, 100, rng), *people):
         assert sorted(i for x in bins for i in x) == list(range(200)) and all(sum(lengths[i] for i in x) <= 100 for x in bins)
-    assert len(packing.evolve([a, b], lengths, 100, 10, rng)[0]) <= len(a)
+    assert len(people[0]) <= len(a) and 0 < done <= 10 and 0 <= gains <= done
+    # A packing that can be no better ends the evolution, and nothing else does.
+    assert packing.evolve([[[0, 1], [2]]], [60, 40, 70], 100, 10, rng)[1] == 0 and packing.best_possible([60, 40, 70], 100) == (-2, 1 + 0.7**2)
+    child = packing.crossover([[0, 1], [2, 3], [4]], [[0, 2], [1, 3], [4]], [50, 50, 50, 50, 10], 100, random.Random(2))
+    assert any(sorted(x) in ([0, 1], [2, 3]) for x in child)
+
+
+def test_islands_beat_best_fit(spark):
+    """Lengths cut from full sequences, three of each: best fit in falling order takes more sequences than the islands."""
+    rng, lengths = random.Random(3), []
+    for _ in range(60):
+        a = rng.randint(900, 1800)
+        b = rng.randint(900, min(1800, 4096 - a - 900))
+        lengths += [a, b, 4096 - a - b]
+    rng.shuffle(lengths)
+    plain = packing.best_fit([], sorted(range(180), key=lambda i: -lengths[i]), lengths, 4096)
+    items = spark.createDataFrame(list(enumerate(lengths)), "row long, length long")
+    state = packing.islands_of(items, 4096, 4096, 3).collect()
+    assert min(max(r.people[0]) + 1 for r in state) < len(plain)
+    assert len(state) == 3 and all(r.crossovers == packing.EPOCHS * packing.GENERATIONS and r.gains > 0 for r in state)
 
 
 def test_shards_and_islands(spark):
     items = spark.range(3000).select(F.col("id").alias("row"), (F.pmod(F.hash("id"), F.lit(90)) + 1).cast("long").alias("length"))
     got = packing.pack(items, capacity=100, shard=500).join(items, "row").groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count(F.lit(1)).alias("c")).collect()
     assert sum(r.c for r in got) == 3000 and all(r.n == r.end <= 100 for r in got)
-    assert len(got) <= 1.02 * sum(r.n for r in got) / 100 + 1
+    # In shards it comes as near as best fit in falling order over all pieces at once.
+    lengths = [r.length for r in items.collect()]
+    assert len(got) <= 1.01 * len(packing.best_fit([], sorted(range(3000), key=lambda i: -lengths[i]), lengths, 100))
 
 
 def test_suffix_tree(spark, folder):
@@ -154,7 +176,7 @@ def test_suffix_tree(spark, folder):
         assert r.score < 0
 
 
-def brute_tree(train, depth=3, least=2, extend=4, discount=0.75, cost=3.0):
+def brute_tree(train, depth=3, least=4, discount=0.75, cost=3.0):
     """log10 probability of a text by a suffix tree that is grown from dictionaries, straight from the definition."""
     tokens = lambda t: ["<s>", *t.encode().lower().split(), b"\n"]
     count = [Counter() for _ in range(depth + 2)]  # of n-grams
@@ -167,7 +189,7 @@ def brute_tree(train, depth=3, least=2, extend=4, discount=0.75, cost=3.0):
     after = {}
     for n in range(2, depth + 2):
         for g, k in count[n].items():
-            if k >= least and (n == 2 or count[n - 1][g[:-1]] >= extend):
+            if k >= least:
                 after.setdefault(g[:-1], {})[g[-1]] = k
     rest = {c: (count[len(c)][c] - sum(s.values()) + discount * len(s)) / count[len(c)][c] for c, s in after.items()}
 
