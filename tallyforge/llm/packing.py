@@ -3,14 +3,20 @@
 A document is its token ids and one closing id. Only documents longer than a
 sequence are cut, into whole sequences and a rest. Pieces are dealt by a hash
 of their row into shards of about ``shard`` pieces. A chromosome is a shard's
-packing and its genes are bins. Crossover takes whole well-filled bins from one
-parent, throws out the other's bins that hold any of the same pieces, and
-best-fits what these displaced; mutation empties the worst bins. Every shard is
-evolved on several islands, each a row of its own, so islands run anywhere;
-after each epoch an island's best packing migrates to the next island of the
-ring. Bins that the winner fills to ``full`` are final. The pieces of the others
-are dealt into new shards and packed once more, so that each shard's last bin is
-not lost; the second time all bins are final.
+packing and its genes are bins. A population begins with best fits of the pieces
+in random orders. Crossover takes whole well-filled bins from one parent, throws
+out the other's bins that hold any of the same pieces, and best-fits what these
+displaced; mutation empties the worst bins and some others and best-fits their
+pieces again. Fitness is the number of bins and then the sum of their squared
+fills, so that what is free comes together in few bins. Every shard is evolved on
+several islands, each a row of its own, so islands run anywhere; after each epoch
+an island's best packing migrates to the next island of the ring. An island ends
+before its generations do only with a packing that is proved the best there is:
+as few bins as the sum of lengths asks for, all but one of them full.
+
+Bins that the winner fills to the last place are final. The pieces of the others
+are dealt into new shards and evolved once more, so that the rooms of each shard
+are offered to the pieces of others; the second time all bins are final.
 
 Defined results: a null or empty text is one piece that holds the closing id;
 rows that repeat a document are pieces of their own, with a sequence each;
@@ -35,7 +41,9 @@ from pyspark.sql import functions as F
 from .common import cut, parts, table, tasks
 
 CAPACITY, CLOSING, VOCABULARY = 4096, 1, "word_bpe_49k.json"
-SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION, FULL = 4096, 3, 2, 4, 4, 0.98
+SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 3, 3, 8, 6
+#: Of a parent's bins, those that may be injected and those of them that are; of all bins, those that mutation empties as worst, and as many others.
+WELL_FILLED, INJECTED, EMPTIED = 0.8, 0.6, 0.1
 #: Words whose ids a worker remembers, twice over: those met lately and those met before; and pretokens.
 REMEMBERED = 1 << 18
 
@@ -182,9 +190,9 @@ def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[i
 
 
 def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """b with some of a's fullest bins in place of every bin that shares a piece with them."""
-    fullest = sorted(a, key=lambda x: -sum(lengths[i] for i in x))[: max(1, len(a) // 2)]
-    injected = rng.sample(fullest, max(1, len(fullest) // 2))
+    """b with some of a's well-filled bins in place of every bin that shares a piece with them."""
+    fullest = sorted(a, key=lambda x: -sum(lengths[i] for i in x))[: max(1, int(len(a) * WELL_FILLED))]
+    injected = rng.sample(fullest, max(1, int(len(fullest) * INJECTED)))
     held = {i for x in injected for i in x}
     kept, displaced = [list(x) for x in injected], []
     for x in b:
@@ -196,33 +204,46 @@ def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], capaci
 
 
 def mutate(bins: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """The emptiest bins and a few others are emptied and their pieces best-fitted again."""
+    """The emptiest bins and as many others are emptied and their pieces best-fitted again."""
     order = sorted(bins, key=lambda x: sum(lengths[i] for i in x))
-    n = max(2, len(order) // 50)
+    n = max(2, int(len(order) * EMPTIED))
     out = order[:n] + rng.sample(order[n:], min(n, len(order) - n)) if len(order) > n else order
     gone = {id(x) for x in out}
     items = [i for x in out for i in x]
     rng.shuffle(items)
-    return best_fit([list(x) for x in bins if id(x) not in gone], sorted(items, key=lambda i: -lengths[i] * (1 + 0.05 * rng.random())), lengths, capacity)
+    return best_fit([list(x) for x in bins if id(x) not in gone], sorted(items, key=lambda i: -lengths[i]), lengths, capacity)
 
 
 def _start(lengths: list[int], capacity: int, n: int, rng: random.Random) -> list[list[list[int]]]:
-    """Best fit in order of falling length, the first exactly and the others with noise in the order."""
-    everyone = range(len(lengths))
-    return [best_fit([], sorted(everyone, key=lambda i: -lengths[i] * (1 + noise * rng.random())), lengths, capacity) for noise in [0, *(0.1 * k for k in range(1, n))]]
-
-
-def evolve(people: list[list[list[int]]], lengths: list[int], capacity: int, generations: int, rng: random.Random) -> list[list[list[int]]]:
-    """The population after some generations, best first. Stops once the best has no bin to lose."""
-    bound = -(-sum(lengths) // capacity)
-    people = sorted(people, key=lambda x: fitness(x, lengths, capacity), reverse=True)
-    for _ in range(generations):
-        if len(people[0]) <= bound:
-            break
-        a, b = rng.sample(people, 2) if len(people) > 1 else (people[0], people[0])
+    """Best fits in random orders."""
+    everyone, out = list(range(len(lengths))), []
+    for _ in range(n):
+        rng.shuffle(everyone)
+        out.append(best_fit([], everyone, lengths, capacity))
+    return out
+
+
+def best_possible(lengths: list[int], capacity: int) -> tuple[int, float]:
+    """The fitness of full bins and one for the rest, which no packing exceeds."""
+    full, rest = divmod(sum(lengths), capacity)
+    return -(full + (rest > 0)), full + (rest / capacity) ** 2
+
+
+def evolve(people: list[list[list[int]]], lengths: list[int], capacity: int, generations: int, rng: random.Random) -> tuple[list[list[list[int]]], int, int]:
+    """The population after some generations, best first; how many crossovers there were and how many gave a new best."""
+    goal, gains = best_possible(lengths, capacity), 0
+    ranked = sorted(((fitness(x, lengths, capacity), x) for x in people), key=lambda x: x[0], reverse=True)
+    for done in range(generations):
+        best = ranked[0][0]
+        if best[0] == goal[0] and best[1] >= goal[1] - 1e-9:
+            return [x for _, x in ranked], done, gains
+        (_, a), (_, b) = rng.sample(ranked, 2) if len(ranked) > 1 else (ranked[0], ranked[0])
         child = mutate(crossover(a, b, lengths, capacity, rng), lengths, capacity, rng)
-        people = sorted([*people, child], key=lambda x: fitness(x, lengths, capacity), reverse=True)[: len(people)]
-    return people
+        own = fitness(child, lengths, capacity)
+        gains += own > best
+        if all(own != x for x, _ in ranked):  # a packing that is there already adds nothing
+            ranked = sorted([*ranked, (own, child)], key=lambda x: x[0], reverse=True)[: len(ranked)]
+    return [x for _, x in ranked], generations, gains
 
 
 def _genes(bins: list[list[int]], n: int) -> np.ndarray:
@@ -238,24 +259,24 @@ def _bins(genes: np.ndarray) -> list[list[int]]:
     return [x.tolist() for x in np.split(order, cuts)] if len(genes) else []
 
 
-ISLAND = "shard long, island int, rows array<long>, lengths array<int>, people array<array<int>>"
+ISLAND = "shard long, island int, rows array<long>, lengths array<int>, people array<array<int>>, crossovers int, gains int"
 
 
 def _epoch(epoch: int, capacity: int, generations: int, population: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for shard, island, rows, lengths, people in zip(f["shard"], f["island"], f["rows"], f["lengths"], f["people"], strict=True):
+            for shard, island, rows, lengths, people, crossovers, gains in f.itertuples(index=False):
                 sizes, rng = lengths.tolist(), random.Random(f"{shard}/{island}/{epoch}")
                 now = [_bins(np.asarray(x)) for x in people] if people is not None and len(people) else _start(sizes, capacity, population, rng)
-                now = evolve(now, sizes, capacity, generations, rng)[:population]
-                out.append((shard, island, rows, lengths, [_genes(x, len(sizes)) for x in now]))
-            yield pd.DataFrame(out, columns=["shard", "island", "rows", "lengths", "people"])
+                now, done, better = evolve(now, sizes, capacity, generations, rng)
+                out.append((shard, island, rows, lengths, [_genes(x, len(sizes)) for x in now[:population]], crossovers + done, gains + better))
+            yield pd.DataFrame(out, columns=["shard", "island", "rows", "lengths", "people", "crossovers", "gains"])
 
     return run
 
 
-def _decode(capacity: int, full: float):
+def _decode(capacity: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for shard, rows, lengths, best in zip(f["shard"], f["rows"], f["lengths"], f["best"], strict=True):
@@ -264,34 +285,44 @@ def _decode(capacity: int, full: float):
                 first = np.r_[True, bins[1:] != bins[:-1]]
                 before = np.cumsum(size) - size
                 offset = before - np.maximum.accumulate(np.where(first, before, 0))
-                done = np.bincount(bins, weights=size)[bins] >= full * capacity
+                done = np.bincount(bins, weights=size)[bins] >= capacity
                 yield pd.DataFrame({"shard": shard, "row": rows[order], "bin": bins, "offset": offset, "length": size, "done": done})
 
     return run
 
 
-def _pack(items: DataFrame, capacity: int, shard: int, islands: int, full: float) -> DataFrame:
-    """(shard, row, bin, offset, length, done) of items(row, length)."""
+def islands_of(items: DataFrame, capacity: int, shard: int, islands: int) -> DataFrame:
+    """The evolved islands of items(row, length): a row each, with its population, best first, and its counts of crossovers and gains."""
     spark = items.sparkSession
     n = max(1, -(-items.count() // shard))
     n_tasks = max(tasks(spark), min(n * islands, 20_000))
     shards = items.groupBy(F.pmod(F.xxhash64("row"), F.lit(n)).alias("shard")).agg(F.array_sort(F.collect_list(F.struct("row", F.col("length").cast("int").alias("length")))).alias("all"))
-    state = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("all.row").alias("rows"), F.col("all.length").alias("lengths"), F.lit(None).cast("array<array<int>>").alias("people"))
+    none = F.lit(0).alias
+    state = shards.select(
+        "shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("all.row").alias("rows"), F.col("all.length").alias("lengths"), F.lit(None).cast("array<array<int>>").alias("people"), none("crossovers"), none("gains")
+    )
     for epoch in range(EPOCHS):
         if epoch:
             elite = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("people")[0].alias("elite"))
-            state = state.join(elite, ["shard", "island"]).select("shard", "island", "rows", "lengths", F.concat(F.array("elite"), F.slice("people", 1, POPULATION - 1)).alias("people"))
+            state = state.join(elite, ["shard", "island"]).select("shard", "island", "rows", "lengths", F.concat(F.array("elite"), F.slice("people", 1, POPULATION - 1)).alias("people"), "crossovers", "gains")
         state = cut(state.repartition(n_tasks, "shard", "island").mapInPandas(_epoch(epoch, capacity, GENERATIONS, POPULATION), ISLAND), "islands")
+    return state
+
+
+def _pack(items: DataFrame, capacity: int, shard: int, islands: int) -> DataFrame:
+    """(shard, row, bin, offset, length, done) of items(row, length); done: in a full bin."""
+    state = islands_of(items, capacity, shard, islands)
     best = F.col("people")[0]
     # The winner of a shard's islands: fewest bins, ties to the first island.
     won = state.groupBy("shard").agg(F.min_by(F.struct("rows", "lengths", best.alias("best")), F.struct(F.array_max(best), "island")).alias("w")).select("shard", "w.*")
-    return won.repartition(max(1, min(n, n_tasks)), "shard").mapInPandas(_decode(capacity, full), "shard long, row long, bin int, offset long, length long, done boolean")
+    n = tasks(items.sparkSession)
+    return won.repartition(n, "shard").mapInPandas(_decode(capacity), "shard long, row long, bin int, offset long, length long, done boolean")
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, full: float = FULL) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS) -> DataFrame:
     """(row, sequence_id, offset) of items(row, length)."""
-    first = cut(_pack(items, capacity, shard, islands, full), "packed")
-    second = _pack(cut(first.where("NOT done").select("row", "length"), "left"), capacity, shard, islands, full)
+    first = cut(_pack(items, capacity, shard, islands), "packed")
+    second = _pack(cut(first.where("NOT done").select("row", "length"), "left"), capacity, shard, islands)
     name = lambda level: (F.col("shard") * F.lit(2 * (shard * 8)) + F.col("bin") * 2 + level).alias("sequence_id")
     return first.where("done").select("row", name(0), "offset").union(second.select("row", name(1), "offset"))
 
