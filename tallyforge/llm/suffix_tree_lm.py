@@ -30,7 +30,7 @@ by a function that Spark has too. Counts, probabilities and tests are tables.
   itself as a pair and as a context, and scoring is a join of n-grams with
   weights. The ``hot`` most frequent weights, a fixed number, are broadcast and
   added up in the pass over the texts; only n-grams of the others leave the task,
-  and no key of theirs is frequent.
+  in blocks of arrays by their hash, and no key of theirs is frequent.
 
 Texts are cut at white space into parts of a bounded size as they are read, so a
 text of any length takes bounded memory. Words are hashed in numpy by a
@@ -57,7 +57,7 @@ from .common import cut, discard, once, raw, released, table, tasks
 
 DEPTH, LEAST, DISCOUNT, COST = 3, 4, 0.75, 3.0
 #: Symbols that are no words; bytes of a part of a text; symbols whose pairs a task adds up; words of a filter; weights that are broadcast.
-START, END, PART, HELD, BLOCKS, HOT = 1, 2, 1 << 20, 1 << 22, 1 << 22, 1 << 21
+START, END, PART, HELD, BLOCKS, HOT = 1, 2, 1 << 20, 1 << 21, 1 << 22, 1 << 19
 
 _U = np.uint64
 _RNG = np.random.default_rng(64)
@@ -363,58 +363,94 @@ def grow(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, discount: flo
     return Tree(tokens, distinct, weights, found)
 
 
-SCORED = "n_tokens long, n_known long, base double, score double, key long, k long"
+KINDS = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
+SUMS = "row long, n_tokens long, n_known long, base double, score double"
+ASKED = "block int, least long, rows binary, keys binary, n binary"
 
 
-def _scores(depth: int, shared):
+def _scores(depth: int, bits: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text with what can be said of it here, and one for each of its n-grams whose weight has to be looked up."""
+        """A row for each text with what can be said of it here, and blocks of n-grams whose weights have to be looked up."""
         known, keys, v, v0 = shared.value
-        reader = Reader(depth)
-
-        def rows_of(row: pa.Array, own: pa.Array, **values: np.ndarray) -> pa.RecordBatch:
-            columns = [pa.array(values[c]) if c in values else pa.nulls(len(row), t) for c, t in kinds.items()]
-            return pa.RecordBatch.from_arrays([row, own, *columns], ["row", "own", *kinds])
+        reader, rows, held = Reader(depth), [], 0
+
+        def ask() -> Iterator[pa.RecordBatch]:
+            row, key, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+            order = np.argsort(key)
+            row, key, n = row[order], key[order], n[order]
+            least = int(row.min())
+            bounds = np.searchsorted(key, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits)) if bits else np.empty(0, np.int64)
+            bounds = np.concatenate(([0], bounds, [len(key)]))
+            for i in np.flatnonzero(np.diff(bounds)).tolist():
+                at = slice(bounds[i], bounds[i + 1])
+                own = [pa.array([i], pa.int32()), pa.array([least]), *(pa.array([x.tobytes()], pa.binary()) for x in ((row[at] - least).astype(np.uint32), key[at], n[at].astype(np.uint32)))]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *(pa.nulls(1, t) for t in (pa.int64(), *KINDS.values())), *own], names)
 
-        kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "key": pa.int64(), "k": pa.int64()}
+        kind, names = None, ["own", "row", *KINDS, "block", "least", "rows", "keys", "n"]
         for batch in batches:
             ids, own = batch.column(0), batch.column(1)
+            kind = own.type
             for p in reader.parts(batch.column(2)):
                 lo = int(p.text[0])
                 n = int(p.text[-1]) - lo + 1
                 new = np.arange(len(p.symbol)) >= p.old
-                symbols = new & (p.symbol != START)
                 sums = {x: np.zeros(n) for x in ("n_known", "base", "score")}
-                cold_text, cold_key = [], []
+                cold = []
                 for d, h in enumerate(grams(p, depth)):
-                    # The start is a context of depth 1; whole texts and their ends are pairs, not contexts, which weights know.
                     at = np.flatnonzero(new & (p.place >= d))
                     if d:
                         at = at[known.maybe(h[at])]
-                    key = h[at].view(np.int64)
-                    order = np.argsort(key)
-                    key, text = key[order], p.text[at[order]] - lo
+                    order = np.argsort(h[at])
+                    at = at[order]
+                    key, text = h[at], p.text[at] - lo
                     j = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
                     hot = keys[j] == key if len(keys) else np.zeros(len(key), bool)
                     sums["score"] += np.bincount(text[hot], weights=v[j[hot]], minlength=n)
                     if d == 0:
                         sums["base"] += np.bincount(text[hot], weights=v0[j[hot]], minlength=n)
                         sums["n_known"] += np.bincount(text[hot], weights=v0[j[hot]] != 0, minlength=n)
-                    cold_text.append(text[~hot])
-                    cold_key.append(key[~hot])
-                counts = {"n_tokens": np.bincount(p.text[symbols] - lo, minlength=n).astype(np.int64), "n_known": sums["n_known"].astype(np.int64), "base": sums["base"], "score": sums["score"]}
-                yield rows_of(ids.slice(lo, n), own.slice(lo, n), **counts)
-                text, key = np.concatenate(cold_text), np.concatenate(cold_key)
+                    cold.append((text[~hot], key[~hot]))
+                tokens = np.bincount(p.text[new & (p.symbol != START)] - lo, minlength=n)
+                values = [tokens.astype(np.int64), sums["n_known"].astype(np.int64), sums["base"], sums["score"]]
+                nothing = [pa.nulls(n, t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([own.slice(lo, n), ids.slice(lo, n), *map(pa.array, values), *nothing], names)
+                text, key = (np.concatenate(x) for x in zip(*cold, strict=True))
                 order = np.lexsort((key, text))
                 text, key = text[order], key[order]
                 first = np.flatnonzero(np.concatenate(([True], (np.diff(text) != 0) | (np.diff(key) != 0)))) if len(key) else np.empty(0, np.int64)
                 if len(first):
-                    yield rows_of(ids.take(pa.array(lo + text[first])), pa.nulls(len(first), own.type), key=key[first], k=np.diff(np.append(first, len(key))))
+                    rows.append((ids.to_numpy()[lo + text[first]], key[first], np.diff(np.append(first, len(key)))))
+                    held += len(first)
+                if held >= HELD:
+                    yield from ask()
+                    rows, held = [], 0
+        if rows:
+            yield from ask()
+        rows.clear()
         released()
 
     return run
 
 
+def _found(asked: pa.Table, weights: pa.Table) -> pa.Table:
+    """What the n-grams of a block add to their rows."""
+    key = weights["key"].to_numpy().view(_U)
+    order = np.argsort(key)
+    key, v, v0 = key[order], weights["v"].to_numpy()[order], weights["v0"].to_numpy()[order]
+    out = [pa.table({"row": pa.array([], pa.int64()), **{c: pa.array([], t) for c, t in KINDS.items()}})]
+    for least, rows, keys, n in zip(*(asked[c].to_pylist() for c in ("least", "rows", "keys", "n")), strict=True):
+        if not len(key):
+            break
+        ask = np.frombuffer(keys, _U)
+        j = np.minimum(np.searchsorted(key, ask), len(key) - 1)
+        hit = key[j] == ask
+        row, j, k = np.frombuffer(rows, np.uint32)[hit].astype(np.int64), j[hit], np.frombuffer(n, np.uint32)[hit].astype(float)
+        at, own = np.unique(row, return_inverse=True)
+        add = lambda x: np.bincount(own, weights=k * x, minlength=len(at))  # noqa: E731, B023
+        out.append(pa.table({"row": at + least, "n_tokens": np.zeros(len(at), np.int64), "n_known": add(v0[j] != 0).astype(np.int64), "base": add(v0[j]), "score": add(v[j])}))
+    return pa.concat_tables(out)
+
+
 def _hot(weights: DataFrame, most: int) -> tuple[int, pa.Table]:
     """The occurrences from which on no more than ``most`` weights are left, and these, by key."""
     by = weights.groupBy(F.least("n", F.lit(1 << 16).cast("long")).alias("n")).count().toArrow()
@@ -429,18 +465,19 @@ def score_with(docs: DataFrame, tree: Tree, depth: int = DEPTH, hot: int = HOT)
     """docs(doc_id, text, held_out) with n_tokens, n_known, train_tokens, base_score and score."""
     spark, weights = docs.sparkSession, tree.weights
     least, top = _hot(weights, hot)
-    order = np.argsort(top["key"].to_numpy())
-    shared = spark.sparkContext.broadcast((filter_of(weights.select("key"), weights.count()), *(top[c].to_numpy()[order] for c in ("key", "v", "v0"))))
+    order = np.argsort(top["key"].to_numpy().view(_U))
+    shared = spark.sparkContext.broadcast((filter_of(weights.select("key"), weights.count()), top["key"].to_numpy()[order].view(_U), *(top[c].to_numpy()[order] for c in ("v", "v0"))))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("doc_id", "held_out").alias("own"), raw("text").alias("text"))
-    schema = f"row long, own {rows.schema['own'].dataType.simpleString()}, {SCORED}"
+    schema = f"own {rows.schema['own'].dataType.simpleString()}, {SUMS}, {ASKED}"
+    bits = (tasks(spark) - 1).bit_length()
     # The key of a row is settled by writing it, as ids may be null or repeated.
-    scored = cut(rows.mapInArrow(_scores(depth, shared), schema), "scored")
-    cold = weights.where(F.col("n") < least).select("key", "v", "v0")
-    there = scored.where("key IS NOT NULL").select("row", "key", "k").join(cold, "key")
-    k, none = F.col("k"), F.lit(None)
-    there = there.select("row", none.alias("own"), none.alias("n_tokens"), F.when(F.col("v0") != 0, k).otherwise(0).alias("n_known"), (k * F.col("v0")).alias("base"), (k * F.col("v")).alias("score"))
-    sums = scored.where("key IS NULL").select("row", "own", "n_tokens", "n_known", "base", "score").union(there)
-    all_ = sums.groupBy("row").agg(F.first("own", ignorenulls=True).alias("own"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
+    scored = cut(rows.mapInArrow(_scores(depth, bits, shared), schema), "scored")
+    block = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
+    cold = weights.where(F.col("n") < least).select(block.alias("block"), "key", "v", "v0")
+    asked = scored.where("block IS NOT NULL").select("block", "least", "rows", "keys", "n")
+    there = asked.groupBy("block").cogroup(cold.groupBy("block")).applyInArrow(_found, SUMS)
+    sums = scored.where("block IS NULL").select("own", "row", *KINDS).union(there.select(F.lit(None), "row", *KINDS))
+    all_ = sums.groupBy("row").agg(F.first("own", ignorenulls=True).alias("own"), *(F.sum(c).alias(c) for c in KINDS))
     # A word that training hasn't seen.
     unknown = (F.col("n_tokens") - F.col("n_known")) * F.log10(F.lit(1.0 / (tree.tokens + tree.distinct + 1)))
     return all_.select("own.doc_id", "own.held_out", "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + unknown).alias("base_score"), (F.col("score") + unknown).alias("score"))
