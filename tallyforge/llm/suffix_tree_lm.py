@@ -432,23 +432,44 @@ def _scores(depth: int, bits: int, shared):
     return run
 
 
+#: Texts whose sums are brought together by one group, by the leading bits of their rows.
+GROUP = 13
+FOUND = "group long, rows binary, n_known binary, base binary, score binary"
+
+
 def _found(asked: pa.Table, weights: pa.Table) -> pa.Table:
-    """What the n-grams of a block add to their rows."""
+    """What the n-grams of a block add to their rows, in arrays by group of rows."""
     key = weights["key"].to_numpy().view(_U)
     order = np.argsort(key)
     key, v, v0 = key[order], weights["v"].to_numpy()[order], weights["v0"].to_numpy()[order]
-    out = [pa.table({"row": pa.array([], pa.int64()), **{c: pa.array([], t) for c, t in KINDS.items()}})]
+    out: list[list] = [[], [], [], [], []]
     for least, rows, keys, n in zip(*(asked[c].to_pylist() for c in ("least", "rows", "keys", "n")), strict=True):
         if not len(key):
             break
         ask = np.frombuffer(keys, _U)
         j = np.minimum(np.searchsorted(key, ask), len(key) - 1)
         hit = key[j] == ask
-        row, j, k = np.frombuffer(rows, np.uint32)[hit].astype(np.int64), j[hit], np.frombuffer(n, np.uint32)[hit].astype(float)
+        row, j, k = np.frombuffer(rows, np.uint32)[hit].astype(np.int64) + least, j[hit], np.frombuffer(n, np.uint32)[hit].astype(float)
         at, own = np.unique(row, return_inverse=True)
-        add = lambda x: np.bincount(own, weights=k * x, minlength=len(at))  # noqa: E731, B023
-        out.append(pa.table({"row": at + least, "n_tokens": np.zeros(len(at), np.int64), "n_known": add(v0[j] != 0).astype(np.int64), "base": add(v0[j]), "score": add(v[j])}))
-    return pa.concat_tables(out)
+        sums = [np.bincount(own, weights=k * x, minlength=len(at)) for x in (v0[j] != 0, v0[j], v[j])]
+        cuts = np.flatnonzero(np.diff(at >> GROUP)) + 1
+        for part in zip(*(np.split(x, cuts) for x in (at, *sums)), strict=True):
+            if len(part[0]):
+                out[0].append(int(part[0][0]) >> GROUP)
+                for x, y in zip(out[1:], part, strict=True):
+                    x.append(y.tobytes())
+    return pa.table([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], ["group", "rows", "n_known", "base", "score"])
+
+
+def _joined(here: pa.Table, there: pa.Table) -> pa.Table:
+    """A row for each row, with the sums of what was said of it here and found there."""
+    row, first, of = np.unique(here["row"].to_numpy(), return_index=True, return_inverse=True)
+    sums = {c: np.bincount(of, weights=here[c].to_numpy().astype(float), minlength=len(row)) for c in KINDS}
+    for rows, *values in zip(*(there[c].to_pylist() for c in ("rows", "n_known", "base", "score")), strict=True):
+        at = np.searchsorted(row, np.frombuffer(rows, np.int64))
+        for c, x in zip(("n_known", "base", "score"), values, strict=True):
+            sums[c][at] += np.frombuffer(x, float)
+    return pa.table({"own": here["own"].take(pa.array(first)), **{c: pa.array(sums[c].astype(t.to_pandas_dtype())) for c, t in KINDS.items()}})
 
 
 def _hot(weights: DataFrame, most: int) -> tuple[int, pa.Table]:
@@ -475,9 +496,10 @@ def score_with(docs: DataFrame, tree: Tree, depth: int = DEPTH, hot: int = HOT)
     block = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
     cold = weights.where(F.col("n") < least).select(block.alias("block"), "key", "v", "v0")
     asked = scored.where("block IS NOT NULL").select("block", "least", "rows", "keys", "n")
-    there = asked.groupBy("block").cogroup(cold.groupBy("block")).applyInArrow(_found, SUMS)
-    sums = scored.where("block IS NULL").select("own", "row", *KINDS).union(there.select(F.lit(None), "row", *KINDS))
-    all_ = sums.groupBy("row").agg(F.first("own", ignorenulls=True).alias("own"), *(F.sum(c).alias(c) for c in KINDS))
+    there = asked.groupBy("block").cogroup(cold.groupBy("block")).applyInArrow(_found, FOUND)
+    here = scored.where("block IS NULL").select(F.shiftright("row", GROUP).alias("group"), "row", "own", *KINDS)
+    # Each group has its own rows here, whether or not anything was found there.
+    all_ = here.groupBy("group").cogroup(there.groupBy("group")).applyInArrow(_joined, f"own {rows.schema['own'].dataType.simpleString()}, n_tokens long, n_known long, base double, score double")
     # A word that training hasn't seen.
     unknown = (F.col("n_tokens") - F.col("n_known")) * F.log10(F.lit(1.0 / (tree.tokens + tree.distinct + 1)))
     return all_.select("own.doc_id", "own.held_out", "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + unknown).alias("base_score"), (F.col("score") + unknown).alias("score"))
