@@ -3,8 +3,9 @@
 A document is its token ids and one closing id. Only documents longer than a
 sequence are cut, into whole sequences and a rest. Pieces are dealt by a hash
 of their row into shards of about ``shard`` pieces. A chromosome is a shard's
-packing and its genes are bins. A population begins with best fits of the pieces
-in random orders. Crossover takes whole well-filled bins from one parent, throws
+packing and its genes are bins. The first island begins with best fits of the
+pieces in falling order of length, exact and with noise, the others with best
+fits in random orders, which leave more to recombine. Crossover takes whole well-filled bins from one parent, throws
 out the other's bins that hold any of the same pieces, and best-fits what these
 displaced; mutation empties the worst bins and some others and best-fits their
 pieces again. Fitness is the number of bins and then the sum of their squared
@@ -214,12 +215,12 @@ def mutate(bins: list[list[int]], lengths: list[int], capacity: int, rng: random
     return best_fit([list(x) for x in bins if id(x) not in gone], sorted(items, key=lambda i: -lengths[i]), lengths, capacity)
 
 
-def _start(lengths: list[int], capacity: int, n: int, rng: random.Random) -> list[list[list[int]]]:
-    """Best fits in random orders."""
+def _start(lengths: list[int], capacity: int, n: int, rng: random.Random, falling: bool = False) -> list[list[list[int]]]:
+    """Best fits in random orders, or in orders of falling length with more and more noise."""
     everyone, out = list(range(len(lengths))), []
-    for _ in range(n):
+    for k in range(n):
         rng.shuffle(everyone)
-        out.append(best_fit([], everyone, lengths, capacity))
+        out.append(best_fit([], sorted(everyone, key=lambda i: -lengths[i] * (1 + 0.1 * k * rng.random())) if falling else everyone, lengths, capacity))
     return out
 
 
@@ -268,7 +269,7 @@ def _epoch(epoch: int, capacity: int, generations: int, population: int):
             out = []
             for shard, island, rows, lengths, people, crossovers, gains in f.itertuples(index=False):
                 sizes, rng = lengths.tolist(), random.Random(f"{shard}/{island}/{epoch}")
-                now = [_bins(np.asarray(x)) for x in people] if people is not None and len(people) else _start(sizes, capacity, population, rng)
+                now = [_bins(np.asarray(x)) for x in people] if people is not None and len(people) else _start(sizes, capacity, population, rng, island == 0)
                 now, done, better = evolve(now, sizes, capacity, generations, rng)
                 out.append((shard, island, rows, lengths, [_genes(x, len(sizes)) for x in now[:population]], crossovers + done, gains + better))
             yield pd.DataFrame(out, columns=["shard", "island", "rows", "lengths", "people", "crossovers", "gains"])
