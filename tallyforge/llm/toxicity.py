@@ -1,8 +1,7 @@
 """A convolutional text classifier for toxicity.
 
-A word is the sum of hashed embeddings of itself and of its first three, four
-and five characters, so that an inflected form shares what its stem has
-learned. Filters of several widths run over a text's words, each keeps its
+A word is the sum of hashed embeddings of itself and of its beginnings of three
+to eight characters, so that an inflected form shares what its stem has learned. Filters of several widths run over a text's words, each keeps its
 largest response, and a linear layer gives the log-odds. Trained in numpy with
 Adagrad on a bounded sample of the labelled rows, the whole text of each; a
 fifth of the sample is left out of training and calibrates the score (Platt's
@@ -10,6 +9,8 @@ scaling) and a threshold for each language, as far as it has enough positives.
 
 Scoring is one pass without a shuffle. What a filter adds at a word depends on
 the word alone, so it is worked out once for each distinct word and looked up.
+A long text goes through in pieces that overlap by a window, and keeps the
+largest responses of all of them.
 
 Bounds: ``sample`` labelled rows of each class, none longer than ``longest``
 bytes (training only; every text is scored whole); the model is 2^16 embeddings
@@ -36,11 +37,13 @@ from pyspark.sql import types as T
 from .common import parts, raw, table
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 16
-SAMPLE, LONGEST, EPOCHS, BATCH, RATE, CALIBRATION = 1500, 32_768, 14, 32, 0.08, 5
-CUTOFF, LEAST_POSITIVES, REMEMBERED, SLICE = 0.7, 15, 1 << 17, 4 << 20
+SAMPLE, LONGEST, EPOCHS, BATCH, RATE, CALIBRATION = 1500, 32_768, 8, 32, 0.08, 5
+CUTOFF, LEAST_POSITIVES, REMEMBERED, SLICE, SPREAD = 0.7, 15, 1 << 17, 1 << 20, 0.1
 STRIP = ".,;:!?\"'()[]{}|*-_"
 crc = zlib.crc32
-WHOLE, THREE, FOUR, FIVE = map(crc, (b"=", b"3", b"4", b"5"))
+#: Seeds of the hashes of whole words and of their beginnings, by length.
+WHOLE, BEGINNINGS = crc(b"="), tuple((k, crc(b"%d" % k)) for k in range(3, 9))
+FEATURES = 1 + len(BEGINNINGS)
 
 
 def words_of(text: str) -> list[str]:
@@ -48,11 +51,12 @@ def words_of(text: str) -> list[str]:
 
 
 def features(word: str) -> list[int]:
+    """Buckets of the word and of its beginnings; one that is the whole word is none, so a stem alone and its inflected forms can differ."""
     w = word.strip(STRIP)
     if w.isascii():
         b = w.encode()
-        return [crc(b, WHOLE) % BUCKETS, crc(b[:3], THREE) % BUCKETS, crc(b[:4], FOUR) % BUCKETS, crc(b[:5], FIVE) % BUCKETS]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in ("=" + w, "3" + w[:3], "4" + w[:4], "5" + w[:5])]
+        return [crc(b, WHOLE) % BUCKETS, *(crc(b[:k] if len(b) > k else b"", seed) % BUCKETS for k, seed in BEGINNINGS)]
+    return [crc(w.encode("utf-8", "surrogatepass"), WHOLE) % BUCKETS, *(crc(w[:k].encode("utf-8", "surrogatepass") if len(w) > k else b"", seed) % BUCKETS for k, seed in BEGINNINGS)]
 
 
 class Model:
@@ -60,7 +64,7 @@ class Model:
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.embed = rng.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32)
+        self.embed = rng.normal(0, SPREAD, (BUCKETS, DIM)).astype(np.float32)
         self.conv = [rng.normal(0, 1 / np.sqrt(w * DIM), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
         self.out = rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
@@ -99,7 +103,7 @@ class Model:
 def _flat(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     known: dict[str, int] = {}
     ids = np.array([known.setdefault(w, len(known)) for t in texts for w in t], np.int64)
-    feats = np.array([features(w) for w in known], np.int64).reshape(-1, 4)
+    feats = np.array([features(w) for w in known], np.int64).reshape(-1, FEATURES)
     return ids, np.array([len(t) for t in texts], np.int64), feats
 
 
@@ -114,6 +118,7 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str | None], seed: in
     if len(set(toxic[~held].tolist())) < 2 or len(set(toxic[held].tolist())) < 2:
         held[:] = False
     learn = np.flatnonzero(~held & (ends > 0))
+    toxic_rows = learn[toxic[learn] > 0]
     squares: dict[str, np.ndarray] = {"embed": np.full((BUCKETS, 1), 1e-6, np.float32)}
 
     def step(name: str, weight: np.ndarray, grad: np.ndarray) -> None:
@@ -123,9 +128,11 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str | None], seed: in
 
     epochs = max(EPOCHS, min(60, 20_000 // max(1, len(learn))))
     for _ in range(epochs):
-        rng.shuffle(learn)
-        for i in range(0, len(learn), BATCH):
-            docs = learn[i : i + BATCH]
+        # Toxic texts come up as often as the others.
+        order = np.concatenate((learn, rng.choice(toxic_rows, len(learn) - 2 * len(toxic_rows)))) if 0 < 2 * len(toxic_rows) < len(learn) else learn.copy()
+        rng.shuffle(order)
+        for i in range(0, len(order), BATCH):
+            docs = order[i : i + BATCH]
             own = np.concatenate([ids[first[d] : first[d] + ends[d]] for d in docs])
             n_of, at = ends[docs], np.cumsum(ends[docs]) - ends[docs]
             used, local = np.unique(own, return_inverse=True)
@@ -166,7 +173,7 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str | None], seed: in
             if len(hit):
                 rows, inv = np.unique(feats[used[hit]].ravel(), return_inverse=True)
                 grad = np.zeros((len(rows), DIM), np.float32)
-                np.add.at(grad, inv, np.repeat(gx[hit], 4, axis=0))
+                np.add.at(grad, inv, np.repeat(gx[hit], FEATURES, axis=0))
                 s = squares["embed"]
                 s[rows] += (grad * grad).mean(axis=1, keepdims=True)
                 model.embed[rows] -= RATE * grad / np.sqrt(s[rows])
@@ -230,31 +237,73 @@ def _best_cutoff(score: np.ndarray, y: np.ndarray) -> float:
     return float(best[np.argmin(np.abs(best - CUTOFF))])
 
 
+def pieces_of(text: bytes, size: int = SLICE) -> Iterator[bytes]:
+    """The text in pieces of about a size, cut at spaces."""
+    at = 0
+    while len(text) - at > size:
+        to = max(text.rfind(b" ", at, at + size), text.rfind(b"\n", at, at + size))
+        if to <= at:
+            to = min((x for x in (text.find(b" ", at + size), text.find(b"\n", at + size)) if x >= 0), default=len(text))
+        yield text[at:to]
+        at = to
+    yield text[at:]
+
+
+class Scorer:
+    """Scores texts slice by slice; what filters add at the words met so far is remembered, up to a bound."""
+
+    def __init__(self, model: Model):
+        self.model, self.known, self.taps = model, {}, []
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        new = [w for w in set(words) if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, self.taps, new = {}, [], list(set(words))
+        at = len(self.known)
+        self.known.update(zip(new, range(at, at + len(new)), strict=True))
+        if new:
+            more = self.model.taps(np.array([features(w) for w in new], np.int64))
+            if not self.taps or at + len(new) > len(self.taps[0]):
+                grown = [np.empty((2 * (at + len(new)), FILTERS), np.float32) for _ in more]
+                for x, y in zip(grown, self.taps, strict=False):
+                    x[:at] = y[:at]
+                self.taps = grown
+            for x, y in zip(self.taps, more, strict=True):
+                x[at : at + len(new)] = y
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(texts), len(self.model.out)), np.float32)
+        of, words, ends, size = [], [], [], 0
+
+        def add() -> None:
+            ids = self.ids(words)
+            np.maximum.at(out, of, self.model.pooled(ids, np.array(ends, np.int64), self.taps))
+
+        for i, text in enumerate(texts):
+            past: list[str] = []
+            for piece in pieces_of(text):
+                if size and size + len(piece) > SLICE:
+                    add()
+                    of, words, ends, size = [], [], [], 0
+                # A window that begins in one piece ends in the next.
+                own = past + words_of(piece.decode("utf-8", "replace"))
+                past = own[len(own) - max(WIDTHS) + 1 :] if len(own) >= max(WIDTHS) else own
+                of.append(i)
+                words += own
+                ends.append(len(own))
+                size += len(piece)
+        if of:
+            add()
+        return self.model.score(out)
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model | None = shared.value
-        known: dict[str, int] = {}
-        taps: list[np.ndarray] = []
+        scorer = Scorer(shared.value) if shared.value is not None else None
         for batch in parts(batches):
-            texts, scores, i = batch.column("text").to_pylist(), [], 0
-            while i < len(texts) and model is not None:
-                size, words, ends = 0, [], []
-                while i < len(texts) and (not ends or size + len(texts[i]) <= SLICE):
-                    own = words_of(texts[i].decode("utf-8", "replace"))
-                    words += own
-                    ends.append(len(own))
-                    size += len(texts[i])
-                    i += 1
-                new = [w for w in set(words) if w not in known]
-                if len(known) + len(new) > REMEMBERED:
-                    known, taps, new = {}, [], list(set(words))
-                known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                if new:
-                    more = model.taps(np.array([features(w) for w in new], np.int64))
-                    taps = [np.concatenate(x) for x in zip(taps, more, strict=True)] if taps else more
-                ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                scores.append(model.score(model.pooled(ids, np.array(ends, np.int64), taps)))
-            s = np.concatenate(scores) if scores else np.zeros(len(texts))
+            texts = batch.column("text").to_pylist()
+            s = scorer.scores(texts) if scorer else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(s)], ["own", "score"])
 
     return run
