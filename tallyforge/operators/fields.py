@@ -90,30 +90,38 @@ def or_blank(text: Column, patterns) -> Column:
 
 
 def bank(text: Column) -> Column:
-    branch, inline = first_match(text, K.BANK_BRANCH), F.lit(r"[A-Z]{4}\d{7}")
+    return let(first_match(text, K.BANK_BRANCH), lambda branch: _bank(text, branch))
+
+
+def _bank(text: Column, branch: Column) -> Column:
     parts = F.split(branch, "&")
     own = F.regexp_extract(F.array_join(F.slice(parts, 2, 9), "&"), r"([A-Z]{4}\d{7})", 1)
-    code = F.when(F.rlike(branch, inline) & (own != ""), own).otherwise(or_blank(text, K.BANK_IFSC))
+    code = F.when(F.rlike(branch, F.lit(r"[A-Z]{4}\d{7}")) & (own != ""), own).otherwise(or_blank(text, K.BANK_IFSC))
     return F.struct(
         or_blank(text, K.BANK_NAME).alias("bank_name"),
         or_blank(text, K.BANK_ACCOUNT).alias("account_number"),
         code.alias("ifsc"),
-        F.coalesce(strip(parts[0]), F.lit("")).alias("branch"),
+        F.coalesce(strip(F.get(parts, 0)), F.lit("")).alias("branch"),
         or_blank(text, K.BANK_SWIFT).alias("swift"),
     )
 
 
 def party(text: Column) -> Column:
     """Name, address, identifiers and contacts of a party from its block of text."""
-    clean = lambda own: F.transform(own, lambda x: strip(F.regexp_replace(F.regexp_replace(x, "[|'\"-]", ""), r"\s+", " ")))
-    named = F.filter(clean(lines(text)), lambda x: ~F.lower(x).isin(*K.PARTY_REJECTS) & (F.length(x) > 3) & ~x.rlike(r"(?i)Invoice\s*No"))
+    # The block and its lines are found once, not for each field.
+    return let(text, lambda own: let(lines(own), lambda own_lines: _party(own, own_lines)))
+
+
+def _party(text: Column, own: Column) -> Column:
+    clean = lambda xs: F.transform(xs, lambda x: strip(F.regexp_replace(F.regexp_replace(x, "[|'\"-]", ""), r"\s+", " ")))
+    named = F.filter(clean(own), lambda x: ~F.lower(x).isin(*K.PARTY_REJECTS) & (F.length(x) > 3) & ~x.rlike(r"(?i)Invoice\s*No"))
 
     def taken(rest: Column) -> Column:
         """Lines up to the first that names a field."""
         stop = F.array_position(F.transform(rest, lambda x: x.rlike(K.ADDRESS_STOP)), F.lit(True)).cast("int")
         return let(stop, lambda n: F.when(n > 0, F.slice(rest, 1, n - 1)).otherwise(rest))
 
-    after = F.slice(lines(text), 2, 100_000)
+    after = F.slice(own, 2, 100_000)
     address = F.filter(F.transform(let(after, taken), lambda x: strip(F.regexp_replace(x, r"\|", ""))), lambda x: ~F.lower(x).isin(*K.PARTY_REJECTS))
     return F.struct(
         F.coalesce(F.get(named, 0), F.lit("")).alias("name"),
@@ -139,12 +147,16 @@ def ship_block(text: Column) -> Column:
     return block(text, K.SHIP_STARTS, K.SHIP_ENDS)
 
 
-def assigned_gstins(text: Column, seller: Column, buyer: Column) -> tuple[Column, Column]:
-    """Seller's and buyer's identifier; a missing one is the first of the text that the other doesn't have."""
-    found = gstins(text)
-    s = F.coalesce(F.when(seller != "", seller), F.get(F.filter(found, lambda x: x != buyer), 0), F.lit(""))
-    b = F.coalesce(F.when(buyer != "", buyer), F.get(F.filter(found, lambda x: x != s), 0), F.lit(""))
-    return s, b
+def assigned_gstins(text: Column, seller: Column, buyer: Column) -> Column:
+    """Seller's and buyer's identifier, as a struct; a missing one is the first of the text that the other doesn't have."""
+    none = F.array().cast("array<string>")
+
+    def of(found: Column) -> Column:
+        s = F.coalesce(F.when(seller != "", seller), F.get(F.filter(found, lambda x: x != buyer), 0), F.lit(""))
+        return let(s, lambda s: F.struct(s.alias("seller"), F.coalesce(F.when(buyer != "", buyer), F.get(F.filter(found, lambda x: x != s), 0), F.lit("")).alias("buyer")))
+
+    # The text is searched only where one is missing.
+    return let(F.when((seller != "") & (buyer != ""), none).otherwise(gstins(text)), of)
 
 
 def emails(text: Column) -> Column:

@@ -1,8 +1,11 @@
 """Line items from free text.
 
-Lines carry their section by a window: the last event that opened or closed the
-items before a line decides whether it is inside. What a line means is worked
-out on arrays of its tokens, row by row, in built-in functions.
+The last event that opened or closed the items before a line decides whether it
+is inside. A document's items are found in its own row, without a shuffle: its
+events are written as a string of one sign a line, and each run behind an opening
+sign is inside. ``section_state`` says the same of lines that are rows already, by
+a window. What a line means is worked out on arrays of its tokens in built-in
+functions.
 """
 
 from __future__ import annotations
@@ -28,13 +31,15 @@ def header_words(line: Column) -> Column:
     return count_of(F.lower(line), K.HEADER_WORDS) >= 2
 
 
+def event_of(line: Column) -> Column:
+    """C, S, E or null."""
+    has = lambda p: F.rlike(line, F.lit(p))
+    return F.when(has(K.ITEMS_DONE), "C").when(has(K.ITEMS_START) | header_words(line), "S").when(has(K.ITEMS_END) & ~has(_EVIDENCE.format(digits=4)), "E")
+
+
 def events(lines: DataFrame) -> DataFrame:
     """lines(line) with event: C ends the items of the document, S opens them, E closes them."""
-    line = F.col("line")
-    has = lambda p: F.rlike(line, F.lit(p))
-    evidence = has(_EVIDENCE.format(digits=4))
-    event = F.when(has(K.ITEMS_DONE), "C").when(has(K.ITEMS_START) | header_words(line), "S").when(has(K.ITEMS_END) & ~evidence, "E")
-    return lines.withColumn("event", event)
+    return lines.withColumn("event", event_of(F.col("line")))
 
 
 def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -68,30 +73,43 @@ def _first_index(array: Column, test) -> Column:
     return F.coalesce(F.get(F.filter(F.transform(array, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull()), 0), F.lit(-1))
 
 
-def line_tokens(lines: DataFrame) -> DataFrame:
-    """Cleaned tokens of each line with the places of HSN code and unit, and its numbers as (v, i)."""
-    clean = squeeze(F.regexp_replace(F.col("line"), "[|‘’`©§~]", " "))
+def _bare(token: Column) -> Column:
+    return strip_chars(token, _EDGE)
+
+
+def _letters(token: Column) -> Column:
+    return F.lower(F.regexp_replace(token, r"\A[^a-zA-Z]+|[^a-zA-Z]+\z", ""))
+
+
+def parsed_line(line: Column) -> Column:
+    """Cleaned tokens of a line, the places of its HSN code and unit, and its numbers as (v, i)."""
+    clean = squeeze(F.regexp_replace(line, "[|‘’`©§~]", " "))
     clean = F.regexp_replace(strip(clean), r"(\d):(\d{2})\b", "$1.$2")
-    out = computed(lines, {"toks": tokens(clean)})
-    toks = F.col("toks")
-    bare = lambda t: strip_chars(t, _EDGE)
-    letters = lambda t: F.lower(F.regexp_replace(t, r"\A[^a-zA-Z]+|[^a-zA-Z]+\z", ""))
-    out = computed(
-        out,
-        {
-            "hsn_i": _first_index(toks, lambda t: F.rlike(bare(t), F.lit(r"^\d{4,8}$")) & ~bare(t).isin(*K.NOT_HSN)),
-            "unit_i": _first_index(toks, lambda t: letters(t).isin(*K.UNITS)),
-        },
-    )
-    numbers = F.transform(toks, lambda t, i: F.struct(F.when((i != F.col("hsn_i")) & is_numeric(t), amount(strip_chars(t, _OUTER))).alias("v"), i.alias("i")))
-    return computed(
-        out,
-        {
-            "hsn": F.when(F.col("hsn_i") >= 0, bare(F.get(toks, F.col("hsn_i")))).otherwise(""),
-            "unit": F.when(F.col("unit_i") >= 0, letters(F.get(toks, F.col("unit_i")))).otherwise("pc"),
-            "numbers": F.filter(numbers, lambda n: n.v > 0),
-        },
-    )
+
+    def places(toks: Column) -> Column:
+        hsn = _first_index(toks, lambda t: F.rlike(t, F.lit(r"\d{4}")) & F.rlike(_bare(t), F.lit(r"^\d{4,8}$")) & ~_bare(t).isin(*K.NOT_HSN))
+        return F.struct(hsn.alias("hsn_i"), _first_index(toks, lambda t: _letters(t).isin(*K.UNITS)).alias("unit_i"))
+
+    def numbers(toks: Column, at: Column) -> Column:
+        # A number has a digit: most words are told by that.
+        value = lambda t, i: F.when((i != at.hsn_i) & F.rlike(t, F.lit(r"\d")) & is_numeric(t), amount(strip_chars(t, _OUTER)))
+        return F.filter(F.transform(toks, lambda t, i: F.struct(value(t, i).alias("v"), i.alias("i"))), lambda n: n.v > 0)
+
+    return let(tokens(clean), lambda toks: let(places(toks), lambda at: F.struct(toks.alias("toks"), at.hsn_i.alias("hsn_i"), at.unit_i.alias("unit_i"), numbers(toks, at).alias("numbers"))))
+
+
+def _hsn(p: Column) -> Column:
+    return F.when(p.hsn_i >= 0, _bare(F.get(p.toks, p.hsn_i))).otherwise("")
+
+
+def _unit(p: Column) -> Column:
+    return F.when(p.unit_i >= 0, _letters(F.get(p.toks, p.unit_i))).otherwise("pc")
+
+
+def line_tokens(lines: DataFrame) -> DataFrame:
+    """lines(line) with toks, hsn_i, unit_i, numbers, hsn and unit."""
+    out, p = computed(lines, {"_p": parsed_line(F.col("line"))}), F.col("_p")
+    return out.select(*(c for c in lines.columns if c not in ("hsn", "unit")), "_p.*", _hsn(p).alias("hsn"), _unit(p).alias("unit"))
 
 
 def decide(numbers: Column) -> Column:
@@ -114,36 +132,67 @@ def decide(numbers: Column) -> Column:
     return F.when(n >= 3, three).when(n == 2, two).when(n == 1, out(one, v1, v1, F.get(numbers, 0).i))
 
 
+def line_item(line: Column) -> Column:
+    """The item that a line inside the items is, its sr_no null where it prints none; null if it is no item."""
+    address = F.rlike(line, F.lit(K.ADDRESS_LINE)) & ~F.rlike(line, F.lit(_EVIDENCE.format(digits="4,8")))
+
+    def serial(p: Column) -> Column:
+        """The place of a leading serial number, -1 if there is none, and its value."""
+        head, first = F.get(p.numbers, 0), F.get(p.toks, 0)
+        leads = (head.i == 0) | ((head.i == 1) & (((F.length(first) <= 3) & ~F.rlike(first, F.lit(r"^[\p{L}\p{N}]+$"))) | first.isin("E", "I", "l")))
+        found = leads & (head.v == F.floor(head.v)) & (head.v <= 200)
+        return F.struct(F.when(found, head.i).otherwise(-1).alias("i"), F.when(found, head.v.cast("int")).alias("v"))
+
+    def left(p: Column, s: Column) -> Column:
+        """The numbers but the serial one; without any, the first number inside another token."""
+        loose = F.transform(p.toks, lambda t, i: F.struct(F.when((i != p.hsn_i) & (i != s.i), amount(F.regexp_extract(t, r"\d+(?:\.\d+)?", 0))).alias("v"), i.alias("i")))
+        rest = F.when(s.i >= 0, F.slice(p.numbers, 2, 10_000)).otherwise(p.numbers)
+        return let(rest, lambda x: F.when(F.size(x) > 0, x).otherwise(F.slice(F.filter(loose, lambda n: n.v > 0), 1, 1)))
+
+    def description(p: Column, s: Column, d: Column) -> Column:
+        begin, end = s.i + 1, F.when((p.hsn_i >= 0) & (p.hsn_i < d.first), p.hsn_i).otherwise(d.first)
+        inner = F.when(end > begin, F.slice(p.toks, begin + 1, end - begin))
+        others = F.filter(F.transform(p.toks, lambda t, i: F.when((i != p.hsn_i) & (i != p.unit_i) & (i != s.i), t)), lambda t: t.isNotNull())
+        return strip(squeeze(F.regexp_replace(F.array_join(F.coalesce(inner, others), " "), "[|\\[\\]()\"{}:;',.\\-]", " ")))
+
+    def item(p: Column, s: Column, d: Column, words: Column) -> Column:
+        zero, two = F.lit(0.0), lambda c: F.round(c, 2)
+        return F.struct(
+            s.v.alias("sr_no"), words.alias("description"), _hsn(p).alias("hsn_sac"), two(d.qty).alias("quantity"), _unit(p).alias("unit"), two(d.rate).alias("unit_price"), zero.alias("discount"),
+            two(d.amt).alias("taxable_amount"), zero.alias("gst_rate"), zero.alias("cgst_amount"), zero.alias("sgst_amount"), zero.alias("igst_amount"), two(d.amt).alias("total_amount"),
+        ).cast(ITEM)
+
+    def decided(p: Column, s: Column) -> Column:
+        of = lambda d: let(description(p, s, d), lambda words: F.when(F.length(words) >= 2, item(p, s, d, words)))
+        return let(let(left(p, s), decide), lambda d: F.when(d.amt > 0, of(d)))
+
+    found = lambda p: F.when((F.size(p.toks) >= 2) & (F.size(p.numbers) > 0), let(serial(p), lambda s: decided(p, s)))
+    # A line without a digit has no number.
+    return F.when(F.rlike(line, F.lit(r"\d")) & ~F.rlike(line, F.lit(K.NEVER_ITEM)) & ~address, let(parsed_line(line), found))
+
+
+def numbered_items(text: Column) -> Column:
+    """(line_no, item) of each line of a text that is an item, in order."""
+    every = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line_no"), strip(x).alias("line")))
+    every = F.filter(every, lambda x: x.line != "")
+
+    def inside(lines: Column) -> Column:
+        """For each line up to the end of the items a sign, 1 if it is inside them and no event itself."""
+        signs = F.array_join(F.transform(lines, lambda x: F.coalesce(event_of(x.line), F.lit("-"))), "")
+        runs = F.split(F.get(F.split(signs, "C", 2), 0), "(?=[SE])")
+        return F.split(F.array_join(F.transform(runs, lambda r: F.when(r.startswith("S"), F.translate(r, "S-", "01")).otherwise(F.translate(r, "E-", "00"))), ""), "")
+
+    def found(lines: Column) -> Column:
+        kept = let(inside(lines), lambda signs: F.filter(lines, lambda x, i: F.coalesce(F.get(signs, i), F.lit("0")) == "1"))
+        items = F.transform(kept, lambda x: F.struct(x.line_no.alias("line_no"), line_item(x.line).alias("item")))
+        return let(F.filter(items, lambda x: x["item"].isNotNull()), lambda xs: F.transform(xs, lambda x, i: F.struct(x.line_no.alias("line_no"), x["item"].withField("sr_no", F.coalesce(x["item"].sr_no, i + 1)).alias("item"))))
+
+    return let(every, found)
+
+
 def text_items(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no, item) for each line that is an item."""
-    lines = section_state(text_lines(docs, key, text), key).where("event IS NULL AND in_section AND NOT done")
-    line = F.col("line")
-    address = F.rlike(line, F.lit(K.ADDRESS_LINE)) & ~F.rlike(line, F.lit(_EVIDENCE.format(digits="4,8")))
-    lines = line_tokens(lines.where(~F.rlike(line, F.lit(K.NEVER_ITEM)) & ~address)).where("size(toks) >= 2 AND size(numbers) > 0")
-    toks, head = F.col("toks"), F.get("numbers", 0)
-    first = F.get(toks, 0)
-    leads = (head.i == 0) | ((head.i == 1) & (((F.length(first) <= 3) & ~F.rlike(first, F.lit(r"^[\p{L}\p{N}]+$"))) | first.isin("E", "I", "l")))
-    serial = leads & (head.v == F.floor(head.v)) & (head.v <= 200)
-    lines = computed(lines, {"serial_i": F.when(serial, head.i).otherwise(-1), "serial": F.when(serial, head.v.cast("int"))})
-    left = F.when(F.col("serial_i") >= 0, F.slice("numbers", 2, 10_000)).otherwise(F.col("numbers"))
-    loose = F.transform(toks, lambda t, i: F.struct(F.when((i != F.col("hsn_i")) & (i != F.col("serial_i")), amount(F.regexp_extract(t, r"\d+(?:\.\d+)?", 0))).alias("v"), i.alias("i")))
-    loose = F.slice(F.filter(loose, lambda n: n.v > 0), 1, 1)
-    lines = computed(lines, {"left": let(left, lambda x: F.when(F.size(x) > 0, x).otherwise(loose))})
-    lines = computed(lines, {"d": decide(F.col("left"))}).where("d.amt > 0")
-    begin = F.col("serial_i") + 1
-    end = F.when((F.col("hsn_i") >= 0) & (F.col("hsn_i") < F.col("d.first")), F.col("hsn_i")).otherwise(F.col("d.first"))
-    inner = F.when(end > begin, F.slice(toks, begin + 1, end - begin))
-    others = F.filter(F.transform(toks, lambda t, i: F.when((i != F.col("hsn_i")) & (i != F.col("unit_i")) & (i != F.col("serial_i")), t)), lambda t: t.isNotNull())
-    words = F.array_join(F.coalesce(inner, others), " ")
-    lines = computed(lines, {"description": strip(squeeze(F.regexp_replace(words, "[|\\[\\]()\"{}:;',.\\-]", " ")))}).where("length(description) >= 2")
-    order = F.row_number().over(W.partitionBy(key).orderBy("line_no"))
-    lines = lines.withColumn("sr_no", F.coalesce("serial", order))
-    zero, two = F.lit(0.0), lambda c: F.round(c, 2)
-    item = F.struct(
-        F.col("sr_no"), F.col("description"), F.col("hsn").alias("hsn_sac"), two(F.col("d.qty")).alias("quantity"), F.col("unit"), two(F.col("d.rate")).alias("unit_price"), zero.alias("discount"),
-        two(F.col("d.amt")).alias("taxable_amount"), zero.alias("gst_rate"), zero.alias("cgst_amount"), zero.alias("sgst_amount"), zero.alias("igst_amount"), two(F.col("d.amt")).alias("total_amount"),
-    )
-    return lines.select(key, "line_no", item.cast(ITEM).alias("item"))
+    return docs.select(key, F.explode(numbered_items(F.col(text))).alias("x")).select(key, "x.line_no", "x.item")
 
 
 _LEAD = r"^[ \t]*[|'\"\\/§\-‘’`]*[ \t]*([a-zA-Z\d§/]+)[ \t]*[|'\"\\/§\-‘’`]*[ \t]*([^|\n]+?)[ \t]+"
