@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import cut, parts, table, tasks
 
 CAPACITY, CLOSING, VOCABULARY = 4096, 1, "word_bpe_49k.json"
-SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 3, 3, 8, 6
+SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 3, 2, 6, 4
 #: Of a parent's bins, those that may be injected and those of them that are; of all bins, those that mutation empties as worst, and as many others.
 WELL_FILLED, INJECTED, EMPTIED = 0.8, 0.6, 0.1
 #: Words whose ids a worker remembers, twice over: those met lately and those met before; and pretokens.
@@ -152,11 +152,11 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabula
 class _Rooms:
     """Bins by free room; the smallest room that takes a piece is found in one step of a bit mask."""
 
-    def __init__(self, capacity: int):
-        self.mask, self.by = 0, [[] for _ in range(capacity + 1)]
+    def __init__(self):
+        self.mask, self.by = 0, {}
 
     def put(self, b: list[int], room: int) -> None:
-        self.by[room].append(b)
+        self.by.setdefault(room, []).append(b)
         self.mask |= 1 << room
 
     def take(self, need: int) -> tuple[list[int] | None, int]:
@@ -170,11 +170,15 @@ class _Rooms:
         return b, room
 
 
+def _fill(b: list[int], lengths: list[int]) -> int:
+    return sum(map(lengths.__getitem__, b))
+
+
 def best_fit(bins: list[list[int]], items: list[int], lengths: list[int], capacity: int) -> list[list[int]]:
     """bins with items added in their order, each to the bin that it leaves the least room in."""
-    rooms = _Rooms(capacity)
+    rooms = _Rooms()
     for b in bins:
-        rooms.put(b, capacity - sum(lengths[i] for i in b))
+        rooms.put(b, capacity - _fill(b, lengths))
     for i in items:
         b, room = rooms.take(lengths[i])
         if b is None:
@@ -187,12 +191,12 @@ def best_fit(bins: list[list[int]], items: list[int], lengths: list[int], capaci
 
 def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then fuller ones."""
-    return -len(bins), sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins)
+    return -len(bins), sum((_fill(b, lengths) / capacity) ** 2 for b in bins)
 
 
 def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """b with some of a's well-filled bins in place of every bin that shares a piece with them."""
-    fullest = sorted(a, key=lambda x: -sum(lengths[i] for i in x))[: max(1, int(len(a) * WELL_FILLED))]
+    fullest = sorted(a, key=lambda x: -_fill(x, lengths))[: max(1, int(len(a) * WELL_FILLED))]
     injected = rng.sample(fullest, max(1, int(len(fullest) * INJECTED)))
     held = {i for x in injected for i in x}
     kept, displaced = [list(x) for x in injected], []
@@ -206,7 +210,7 @@ def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], capaci
 
 def mutate(bins: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """The emptiest bins and as many others are emptied and their pieces best-fitted again."""
-    order = sorted(bins, key=lambda x: sum(lengths[i] for i in x))
+    order = sorted(bins, key=lambda x: _fill(x, lengths))
     n = max(2, int(len(order) * EMPTIED))
     out = order[:n] + rng.sample(order[n:], min(n, len(order) - n)) if len(order) > n else order
     gone = {id(x) for x in out}
