@@ -11,8 +11,9 @@ sizes still fit, and up to three beyond it that fill the gap best. That value is
 found by two rounds of sums over 4096 ranges of the hash and a running sum over
 what shares 24 leading bits, so no task holds a source.
 
-Patterns and sources are configuration in size: more than ``limit`` of either
-is refused. They go to the driver and back as broadcast rows.
+Patterns and sources are configuration in size: more than ``limit`` patterns, about
+a million, are refused with a message, none is dropped. They go to the driver, whose
+flow takes some seconds for ten thousand of them, and back as broadcast rows.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; sources without words have target 0; rows that repeat an id are
@@ -22,8 +23,6 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +30,7 @@ from pyspark.sql.window import Window as W
 
 from .common import WORD, cut, table
 
-CYCLE, MOST, SEED, LIMIT, FILLS = (5.0, 2.0, 1.0), 3, 20240229, 100_000, 3
+CYCLE, MOST, SEED, LIMIT, FILLS = (5.0, 2.0, 1.0), 3, 20240229, 1 << 20, 3
 
 
 def targets(sizes: dict[str | None, int], cycle: tuple[float, ...] = CYCLE, most: float = MOST) -> dict[str | None, float]:
@@ -54,55 +53,77 @@ def targets(sizes: dict[str | None, int], cycle: tuple[float, ...] = CYCLE, most
 def min_cost_flow(capacity: dict, quota: dict[str | None, float], most: int = MOST) -> dict:
     """Tokens to take of each pattern: capacity[pattern] tokens a repetition, pattern: a tuple of sources.
 
-    Successive shortest paths with potentials. The k-th repetition costs
-    2k - 1 a token, so arcs are used in order of repetition.
+    The k-th repetition costs 2k - 1 a token and nothing else costs anything, so a
+    cheapest augmenting path is one through the lowest repetition that has any. Each
+    repetition's capacity is added in turn and the flow made maximal by blocking
+    flows, which gives the same as one shortest path after another.
     """
     nodes = {("p", p): i + 1 for i, p in enumerate(capacity)}
     for s in quota:
         nodes["s", s] = len(nodes) + 1
     sink = len(nodes) + 1
     graph: list[list[int]] = [[] for _ in range(sink + 1)]
-    to, room, cost = [], [], []
+    to, room = [], []
 
-    def arc(a: int, b: int, c: float, w: float) -> int:
-        for x, y, r, v in ((a, b, c, w), (b, a, 0.0, -w)):
+    def arc(a: int, b: int, c: float) -> int:
+        for x, y, r in ((a, b, c), (b, a, 0.0)):
             graph[x].append(len(to))
             to.append(y)
             room.append(r)
-            cost.append(v)
         return len(to) - 2
 
-    taken = {p: [arc(0, nodes["p", p], float(size), 2.0 * k + 1) for k in range(most)] for p, size in capacity.items()}
+    taken = {p: arc(0, nodes["p", p], 0.0) for p in capacity}
     for p in capacity:
         for s in p:
             if s in quota:
-                arc(nodes["p", p], nodes["s", s], float("inf"), 0.0)
+                arc(nodes["p", p], nodes["s", s], float("inf"))
     for s, q in quota.items():
-        arc(nodes["s", s], sink, q, 0.0)
-    potential, least = [0.0] * (sink + 1), 1e-9 * max(1.0, sum(quota.values()))
-    while True:
-        far, back = [float("inf")] * (sink + 1), [-1] * (sink + 1)
-        far[0], heap = 0.0, [(0.0, 0)]
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > far[x]:
-                continue
+        arc(nodes["s", s], sink, q)
+    least = 1e-9 * max(1.0, sum(quota.values()))
+    for _ in range(most):
+        for p, size in capacity.items():
+            room[taken[p]] += float(size)
+        while _blocking_flow(graph, to, room, sink, least):
+            pass
+    return {p: room[e ^ 1] for p, e in taken.items()}
+
+
+def _blocking_flow(graph: list[list[int]], to: list[int], room: list[float], sink: int, least: float) -> bool:
+    """Flow along shortest paths from node 0 until none of their length is left; whether there was any."""
+    far, front = [-1] * len(graph), [0]
+    far[0] = 0
+    while front and far[sink] < 0:
+        after = []
+        for x in front:
             for e in graph[x]:
-                if room[e] > least and (v := d + cost[e] + potential[x] - potential[to[e]]) < far[to[e]] - 1e-12:
-                    far[to[e]], back[to[e]] = v, e
-                    heapq.heappush(heap, (v, to[e]))
-        if back[sink] < 0:
-            break
-        potential = [p + (f if f < float("inf") else 0.0) for p, f in zip(potential, far, strict=True)]
-        path, x = [], sink
-        while x:
-            path.append(back[x])
-            x = to[back[x] ^ 1]
-        step = min(room[e] for e in path)
-        for e in path:
-            room[e] -= step
-            room[e ^ 1] += step
-    return {p: sum(room[e ^ 1] for e in arcs) for p, arcs in taken.items()}
+                if room[e] > least and far[to[e]] < 0:
+                    far[to[e]] = far[x] + 1
+                    after.append(to[e])
+        front = after
+    if far[sink] < 0:
+        return False
+    turn, path = [0] * len(graph), []
+    while True:
+        x = to[path[-1]] if path else 0
+        if x == sink:
+            step = min(room[e] for e in path)
+            for e in path:
+                room[e] -= step
+                room[e ^ 1] += step
+            # Back to before the first arc that has no room left.
+            del path[next(i for i, e in enumerate(path) if room[e] <= least) :]
+            continue
+        while turn[x] < len(graph[x]):
+            e = graph[x][turn[x]]
+            if room[e] > least and far[to[e]] == far[x] + 1:
+                path.append(e)
+                break
+            turn[x] += 1
+        else:
+            if not path:
+                return True
+            turn[to[path[-1] ^ 1]] += 1
+            path.pop()
 
 
 def _threshold(items: DataFrame, rests: DataFrame) -> DataFrame:
@@ -146,6 +167,8 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, most: int = MOST, see
     found = docs.groupBy("_pattern").agg(F.first("_sources").alias("s"), F.sum("_size").alias("size")).limit(limit + 1).collect()
     if len(found) > limit:
         raise ValueError(f"more than {limit} membership patterns")
+    # In an order of their own, so that of several cheapest flows reruns choose the same.
+    found = sorted(found, key=lambda r: r["_pattern"])
     sizes: dict[str | None, int] = {}
     for r in found:
         for s in set(r.s):

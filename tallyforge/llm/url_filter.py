@@ -6,13 +6,15 @@ a Markov model each over the characters of host and path, digits taken as one.
 A character's probability mixes the counts of contexts of three, two, one and
 no characters, each weighted against the next shorter one, so an unseen context
 falls back smoothly. The score of a URL is the difference of the models'
-log-likelihoods over its length. A fifth of the rule-judged URLs is kept out of
-the counts; where its two classes are equally many of their own standard
+log-likelihoods over its length. Three sixteenths of the rule-judged URLs, by a
+hash of their id, are kept out of the counts; where its two classes are equally many of their own standard
 deviations away is the threshold.
 
 Grams are counted once, by partial sums, and so is every shorter context from
-the counts of grams; the alphabet of 34 characters bounds these tables (34^4
-rows), so sizes, not hints, decide how they are joined.
+the counts of grams; the alphabet of 34 characters and the start bound these
+tables by 35^3 * 34 = 1.5 million rows, about 60 MB, whatever the pages. So every
+gram of a page meets its weight in a broadcast join, and frequent grams are no
+skew.
 
 Defined results: a null URL or one without ``://`` has an empty host and path,
 fits no rule and has the score of its end alone; with only one class of
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-CONTEXT, WEIGHT, ALPHABET, CALIBRATION = 3, 4.0, 34, 5
+CONTEXT, WEIGHT, ALPHABET, CALIBRATION = 3, 4.0, 34, ("0", "1", "2")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 
@@ -73,11 +75,11 @@ def gram_weights(counts: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, score, verdict), one row for each row of pages."""
     urls = cut(parsed(pages, rules).withColumn("row", F.monotonically_increasing_id()), "urls")
-    kept_out = F.pmod(F.coalesce("page_id", F.lit(1)), F.lit(CALIBRATION)) == 0
+    kept_out = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), 1, 1).isin(*CALIBRATION)
     of = lambda verdict: F.count_if((F.col("ruled") == verdict) & ~kept_out)
     grams = _grams(urls)
     weights = cut(gram_weights(cut(grams.groupBy("gram").agg(of("allow").alias("a"), of("block").alias("r")), "grams")), "weights")
-    scores = cut(grams.select("row", "gram").join(weights, "gram").groupBy("row").agg(F.avg("ratio").alias("score")), "scores")
+    scores = cut(grams.select("row", "gram").join(F.broadcast(weights), "gram").groupBy("row").agg(F.avg("ratio").alias("score")), "scores")
     scored = urls.join(scores, "row")
     held = scored.where(kept_out & F.col("ruled").isNotNull()).groupBy().agg(
         *(f(F.when(F.col("ruled") == v, F.col("score"))).alias(f"{n}_{v}") for v in ("allow", "block") for n, f in (("m", F.avg), ("s", F.stddev_samp)))
@@ -119,14 +121,14 @@ k AS (SELECT *, CASE
 l AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled,
     concat('^^^', regexp_replace(translate(concat(host, path), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^a-z0./_-]', '~', 'g'), '$') AS t FROM k),
 g AS (SELECT row, page_id, ruled, substr(t, i, 4) AS gram FROM (SELECT *, unnest(range(1, length(t) - 2)) AS i FROM l)),
-c AS (SELECT gram, count(*) FILTER (WHERE ruled = 'allow' AND coalesce(page_id, 1) % 5 <> 0) AS a, count(*) FILTER (WHERE ruled = 'block' AND coalesce(page_id, 1) % 5 <> 0) AS r FROM g GROUP BY gram),
+c AS (SELECT gram, count(*) FILTER (WHERE ruled = 'allow' AND NOT substr(md5(coalesce(page_id::VARCHAR, '')), 1, 1) IN ('0', '1', '2')) AS a, count(*) FILTER (WHERE ruled = 'block' AND NOT substr(md5(coalesce(page_id::VARCHAR, '')), 1, 1) IN ('0', '1', '2')) AS r FROM g GROUP BY gram),
 base AS (SELECT gram, 1.0 / 34 AS p_a, 1.0 / 34 AS p_r FROM c),"""
     + _LEVELS
     + r"""
 s AS (SELECT row, avg(ln(p_a) - ln(p_r)) AS score FROM g JOIN p3 USING (gram) GROUP BY row),
 h AS (SELECT avg(score) FILTER (WHERE ruled = 'allow') AS ma, stddev_samp(score) FILTER (WHERE ruled = 'allow') AS sa,
              avg(score) FILTER (WHERE ruled = 'block') AS mb, stddev_samp(score) FILTER (WHERE ruled = 'block') AS sb
-      FROM l JOIN s USING (row) WHERE coalesce(page_id, 1) % 5 = 0),
+      FROM l JOIN s USING (row) WHERE substr(md5(coalesce(page_id::VARCHAR, '')), 1, 1) IN ('0', '1', '2')),
 z AS (SELECT CASE WHEN sa + sb > 0 THEN (ma * sb + mb * sa) / (sa + sb) ELSE (ma + mb) / 2 END AS cutoff FROM h)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score < cutoff THEN 'block' ELSE 'allow' END) AS verdict
 FROM l JOIN s USING (row), z

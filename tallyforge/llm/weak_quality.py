@@ -8,12 +8,15 @@ sample of texts, chosen by a hash of the id, the posteriors train a linear
 scorer on hashed words and hashed word shapes, which then scores every whole
 text. No label is read.
 
-Bounds: ``sample`` texts of at most ``longest`` bytes for the scorer's training;
-every text votes and is scored whole; the model is 2^16 weights.
-
-Defined results: a null, empty or blank text has no votes and takes the prior
-as its posterior and the bias as its score; equal texts have equal results;
-rows that repeat an id have a row each; extra columns are not read; an empty
+Bounds: ``sample`` texts of any length for the scorer's training, of which the
+driver gets hashed features, 2^16 of a text at most; every text votes and is
+scored whole; the model is 2^16 weights. A task holds the words of one text at a
+time.
+
+Defined results: a null, empty or blank text has no votes, so the prior is its
+posterior, and nothing to be scored: its score is 0 and it is not kept. Equal
+texts have equal results; rows that repeat an id, or have none, have a row each,
+and rows without an id are not sampled; extra columns are not read; an empty
 table gives an empty table. Documents are kept at a score of one half.
 """
 
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import parts, raw, table
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
-BUCKETS, SAMPLE, LONGEST, EPOCHS, RATE, ROUNDS, REMEMBERED, CUTOFF = 1 << 16, 4000, 32_768, 6, 0.5, 200, 1 << 19, 0.5
+BUCKETS, SAMPLE, EPOCHS, RATE, ROUNDS, REMEMBERED, CUTOFF = 1 << 16, 4000, 6, 0.5, 200, 1 << 19, 0.5
 SYMBOL, UPPER, LETTER = b"#$%&*|<>{}", bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)])
 LABELLERS = ("symbols", "capitals", "exclamations", "variety", "line_ends", "line_repeats", "word_length", "separators")
 
@@ -82,7 +85,9 @@ class LabelModel:
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         v = _digits(patterns)
         log = np.log(self.shares)[np.arange(v.shape[1])[None, :], :, v].sum(axis=1)
-        z = log[:, GOOD] + np.log(self.prior) - log[:, BAD] - np.log(1 - self.prior)
+        # No vote at all is no evidence, however often each labeller abstains.
+        evidence = np.where((v == ABSTAIN).all(axis=1), 0.0, log[:, GOOD] - log[:, BAD])
+        z = evidence + np.log(self.prior) - np.log(1 - self.prior)
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
     def accuracies(self) -> dict[str, float]:
@@ -151,16 +156,18 @@ class Weights(dict):
         return sum(map(self.__getitem__, words)) / len(words) + float(self.w[variety_feature(words)]) if words else 0.0
 
 
-def train(texts: list[bytes], posterior: np.ndarray, seed: int = 11) -> tuple[np.ndarray, float]:
+def shares_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's features and their shares of its words."""
+    words = text.split()
+    if not words:
+        return np.empty(0, np.int64), np.empty(0)
+    k, n = np.unique(np.array([i for x in words for i in word_features(x)], np.int64), return_counts=True)
+    return np.append(k, variety_feature(words)), np.append(n / len(words), 1.0)
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], posterior: np.ndarray, seed: int = 11) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer on shares of hashed features, by Adagrad on soft labels."""
     w, s, bias, sb = np.zeros(BUCKETS), np.full(BUCKETS, 1e-3), 0.0, 1e-3
-    rows = []
-    for t in texts:
-        words = t.split()
-        ids = np.array([i for x in words for i in word_features(x)], np.int64)
-        k, n = np.unique(ids, return_counts=True)
-        x = n / max(1, len(words))
-        rows.append((np.append(k, variety_feature(words)), np.append(x, 1.0)) if words else (k, x))
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)).tolist():
@@ -174,6 +181,15 @@ def train(texts: list[bytes], posterior: np.ndarray, seed: int = 11) -> tuple[np
     return w, float(bias)
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in parts(batches, 64):
+        texts = batch.column(1).to_pylist()
+        rows = [shares_of(t) for t in texts]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([pattern(t) for t in texts], pa.int32()), pa.array([k for k, _ in rows], pa.list_(pa.int64())), pa.array([x for _, x in rows], pa.list_(pa.float64()))], ["doc_id", "pattern", "buckets", "shares"]
+        )
+
+
 def _judge(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, w, bias = shared.value
@@ -181,21 +197,25 @@ def _judge(shared):
         for batch in parts(batches):
             texts = batch.column(1).to_pylist()
             known = labels.posterior(np.array([pattern(t) for t in texts], np.int64)) if texts else np.empty(0)
-            z = np.array([weights.of(t.split()) for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known), pa.array(1 / (1 + np.exp(-np.clip(z + bias, -30, 30))))], ["doc_id", "posterior", "score"])
+            words = map(bytes.split, texts)
+            z = np.array([weights.of(x) if x else -np.inf for x in words])
+            score = np.where(np.isinf(z), 0.0, 1 / (1 + np.exp(-np.clip(z + bias, -30, 30))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known), pa.array(score)], ["doc_id", "posterior", "score"])
 
     return run
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> tuple[LabelModel, np.ndarray, float]:
+def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray, float]:
     """docs(doc_id, text)."""
     counts = docs.select(raw("text")).mapInArrow(_patterns, "pattern int").groupBy("pattern").count().toArrow()
     labels = expectation_maximisation(counts["pattern"].to_numpy().astype(np.int64), counts["count"].to_numpy().astype(float))
     picked = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(sample).distinct()
-    # At most a sample of ids.
-    texts = docs.join(F.broadcast(picked), "doc_id").where(F.octet_length("text") <= longest).groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id")
-    sampled = [t.encode() for t in texts.toArrow()["text"].to_pylist()]
-    w, bias = train(sampled, labels.posterior(np.array([pattern(t) for t in sampled], np.int64)) if sampled else np.empty(0))
+    # At most a sample of ids. Of texts that share an id, the first in order is learned from.
+    texts = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(raw("text")).alias("text"))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pattern int, buckets array<long>, shares array<double>"
+    found = texts.mapInArrow(_sampled, schema).orderBy("doc_id").toArrow()
+    rows = [(np.asarray(k, np.int64), np.asarray(x)) for k, x in zip(found["buckets"].to_pylist(), found["shares"].to_pylist(), strict=True)]
+    w, bias = train(rows, labels.posterior(found["pattern"].to_numpy().astype(np.int64)) if rows else np.empty(0))
     return labels, w, bias
 
 

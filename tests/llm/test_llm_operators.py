@@ -370,6 +370,61 @@ def test_targets_and_flow():
     assert mixing.min_cost_flow({("a",): 10}, {"a": 99.0})["a",] == 30
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_flow_is_cheapest(seed):
+    """Overlapping sources, against every flow in whole tokens."""
+    import itertools
+
+    rng = random.Random(seed)
+    patterns = rng.sample([("a",), ("b",), ("a", "b"), ("b", "c"), ("a", "b", "c")], 3)
+    capacity = {p: rng.randint(1, 3) for p in patterns}
+    quota = {s: float(rng.randint(0, 5)) for s in "abc"}
+    got = mixing.min_cost_flow(capacity, quota)
+    cost = lambda take: sum(2 * (i // capacity[p]) + 1 for p, n in take.items() for i in range(n))
+
+    def fits(take):  # by Hall's condition on sets of patterns
+        return all(sum(take[p] for p in some) <= sum(quota[s] for s in set().union(*some)) for k in range(1, 4) for some in itertools.combinations(patterns, k))
+
+    every = [dict(zip(patterns, n, strict=True)) for n in itertools.product(*(range(3 * capacity[p] + 1) for p in patterns))]
+    every = [t for t in every if fits(t)]
+    most = max(sum(t.values()) for t in every)
+    best = min(cost(t) for t in every if sum(t.values()) == most)
+    assert math.isclose(sum(got.values()), most, abs_tol=1e-6)
+    whole = {p: round(n) for p, n in got.items()}
+    assert all(math.isclose(n, whole[p], abs_tol=1e-6) for p, n in got.items()) and fits(whole) and cost(whole) == best
+
+
+def test_flow_over_many_patterns():
+    import time
+
+    rng, sources = random.Random(4), [f"s{i}" for i in range(40)]
+    capacity = {tuple(sorted(rng.sample(sources, rng.randint(1, 3)))): rng.randint(1, 1000) for _ in range(4000)}
+    size = {s: sum(n for p, n in capacity.items() if s in p) for s in sources}
+    began = time.time()
+    got = mixing.min_cost_flow(capacity, mixing.targets(size))
+    assert time.time() - began < 20 and all(0 <= got[p] <= 3 * capacity[p] + 1e-6 for p in capacity)
+    assert sum(got.values()) <= sum(size.values()) + 1e-3
+
+
+def test_mixing_of_overlapping_sources(spark):
+    """Documents of several sources at once: each source's share of the flow is met within its documents' sizes, reruns agree, and none is above three times."""
+    rows = [(str(i), 1 + i % 7, [["a"], ["b"], ["a", "b"], ["b", "c"], ["c", None]][i % 5]) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "_key string, _size long, _sources array<string>")
+    got = sorted((r._key, r._times, r._size) for r in mixing.mix(docs).collect())
+    assert got == sorted((r._key, r._times, r._size) for r in mixing.mix(docs.repartition(7)).collect()) and len(got) == 2000
+    assert all(0 <= t <= 3 for _, t, _ in got)
+    capacity, total = Counter(), sum(n for _, n, _ in rows)
+    for _, n, s in rows:
+        capacity[tuple(sorted(s, key=lambda x: (x is None, x or "")))] += n
+    size = {s: sum(n for p, n in capacity.items() if s in p) for s in ("a", "b", "c", None)}
+    flow = mixing.min_cost_flow(dict(capacity), {s: t * total / sum(size.values()) for s, t in mixing.targets(size).items()})
+    taken = Counter()
+    for (key, times, n), (_, _, s) in zip(got, sorted(rows), strict=True):
+        taken[tuple(sorted(s, key=lambda x: (x is None, x or "")))] += times * n
+    # Of several cheapest flows either may be taken; all take as much, and whole documents come within one of it.
+    assert abs(sum(taken.values()) - sum(flow.values())) <= 7 * len(flow) and all(taken[p] <= 3 * capacity[p] for p in flow)
+
+
 def test_mixing_comes_near(spark):
     rows = [(i, "w " * (1 + i * 37 % 200), "en", "abc"[i % 3] if i % 4 else "a", 1) for i in range(3000)]
     out = mixing.mix(mixing._sized(frame(spark, rows)).select("doc_id", "source", "_key", "_size", "_sources"))
@@ -383,6 +438,26 @@ def test_weak_quality(spark, folder):
     assert got[64].score == got[65].score == got[66].score
 
 
+def test_quality_scores_by_definition(spark, folder):
+    """Posterior and score of each row from the fitted model, written out feature by feature; a text without words is not kept."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels, w, bias = weak_quality.fit(docs)
+    for r in weak_quality.judge(docs).collect():
+        text = next(t for doc, t, _ in rows_of(folder) if doc == r.doc_id).encode()
+        votes, words = weak_quality.votes(text), text.split()
+        odds = math.log(labels.prior / (1 - labels.prior))
+        if any(v != weak_quality.ABSTAIN for v in votes):
+            odds += sum(math.log(labels.shares[k, 1, v] / labels.shares[k, 0, v]) for k, v in enumerate(votes))
+        assert math.isclose(r.posterior, 1 / (1 + math.exp(-max(-50, min(50, odds)))), rel_tol=1e-9)
+        if words:
+            z = bias + sum(w[i] for x in words for i in weak_quality.word_features(x)) / len(words) + w[weak_quality.variety_feature(words)]
+            assert math.isclose(r.score, 1 / (1 + math.exp(-max(-30, min(30, z)))), rel_tol=1e-9)
+        else:
+            assert math.isclose(r.posterior, labels.prior, rel_tol=1e-9) and r.score == 0 and not r.kept
+        k, x = weak_quality.shares_of(text)
+        assert not words or math.isclose(float(w[k] @ x) + bias, z, rel_tol=1e-9)
+
+
 def test_label_model_finds_the_classes():
     rng = np.random.default_rng(2)
     truth = rng.random(5000) < 0.8
