@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import cut, parts, table, tasks
 
 CAPACITY, CLOSING, VOCABULARY = 4096, 1, "word_bpe_49k.json"
-SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 3, 2, 6, 4
+SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 3, 2, 5, 4
 #: Of a parent's bins, those that may be injected and those of them that are; of all bins, those that mutation empties as worst, and as many others.
 WELL_FILLED, INJECTED, EMPTIED = 0.8, 0.6, 0.1
 #: Words whose ids a worker remembers, twice over: those met lately and those met before; and pretokens.
