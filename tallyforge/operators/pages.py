@@ -27,17 +27,21 @@ def classify(profiles: DataFrame, doc: str = "doc_id") -> DataFrame:
         F.count_if(real & F.col("has_text")).alias("digital_pages"),
         F.count_if(real & ~F.col("has_text")).alias("scanned_pages"),
         (F.max(F.col("error").isNotNull() & ~real) if "error" in profiles.columns else F.lit(False)).alias("corrupt"),
+        (F.max(F.when(~real, F.col("error"))) if "error" in profiles.columns else F.lit(None).cast("string")).alias("failure"),
     )
     kind = F.when(F.col("corrupt"), "corrupt").when(F.col("digital_pages") == F.col("page_count"), "digital").when(F.col("digital_pages") == 0, "scanned").otherwise("hybrid")
-    out = out.withColumn("pdf_type", kind).drop("corrupt")
-    extractor = {"corrupt": "none", "digital": "text", "scanned": "ocr", "hybrid": "mixed"}
-    by_kind = F.lit(None).cast("string")
+    out = out.withColumn("pdf_type", kind)
+    # fixed values: extractors and reasons, as reports quote them
+    extractor = {"corrupt": "none", "digital": "pdfplumber", "scanned": "ocr", "hybrid": "mixed"}
+    reasons = {
+        "corrupt": F.concat(F.lit("Cannot open PDF: "), F.coalesce("failure", F.lit(""))), "digital": F.format_string("All %d pages have embedded text layer", F.col("page_count")),
+        "scanned": F.format_string("All %d pages are image-only (no text layer)", F.col("page_count")), "hybrid": F.format_string("%d digital + %d scanned pages", F.col("digital_pages"), F.col("scanned_pages")),
+    }
+    by_kind = reason = F.lit(None).cast("string")
     for name, value in extractor.items():
         by_kind = F.when(F.col("pdf_type") == name, value).otherwise(by_kind)
-    reason = F.when(F.col("pdf_type") == "corrupt", "The file could not be opened").otherwise(
-        F.format_string("%d of %d pages have text", F.col("digital_pages"), F.col("page_count"))
-    )
-    return out.withColumns({"recommended_extractor": by_kind, "reason": reason})
+        reason = F.when(F.col("pdf_type") == name, reasons[name]).otherwise(reason)
+    return out.withColumns({"recommended_extractor": by_kind, "reason": reason}).drop("corrupt", "failure")
 
 
 def hybrid_pages(digital: DataFrame, ocr: DataFrame, doc: str = "doc_id", all_ocr: bool = False) -> DataFrame:
@@ -72,3 +76,12 @@ def full_text(pages: DataFrame, doc: str = "doc_id", drop_blank: bool = False) -
 def wants_clustering(words: Column, has_tables: Column) -> Column:
     """Whether a page's words are clustered into a table: no table was found and there are more than twenty words."""
     return ~has_tables & (words > 20)
+
+
+def first_tables(tiers: dict[str, Column]) -> tuple[Column, Column]:
+    """Tables of the first tier that has any, and its name; tiers in order of trial, null or empty where one found none."""
+    tables, source = F.array().cast("array<array<array<string>>>"), F.lit("none")
+    for name, found in reversed(tiers.items()):
+        some = F.size(F.coalesce(found, F.array().cast("array<array<array<string>>>"))) > 0
+        tables, source = F.when(some, found).otherwise(tables), F.when(some, name).otherwise(source)
+    return tables, source

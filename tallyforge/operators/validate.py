@@ -30,8 +30,12 @@ def missing(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) == ""
 
 
+# fixed values: names of checked fields and texts of issues, as reports quote them
+
+
 def gstin_issue(c: Column, name: str) -> Column:
-    bad = issue(name, F.concat(F.lit("Invalid GSTIN format: '"), c, F.lit("'")), "WARNING", F.lit("NN AAAAA NNNN A N Z X"), F.upper(F.trim(c)))
+    code = F.upper(F.trim(c))
+    bad = issue(name, F.concat(F.lit("Invalid GSTIN format: '"), code, F.lit("' (expected 15-char pattern)")), "WARNING", F.lit("NN AAAAA NNNN A N Z X"), code)
     return F.when(missing(c), issue(name, "GSTIN not found", "WARNING")).when(~is_gstin(c), bad)
 
 
@@ -41,7 +45,7 @@ def date_issue(c: Column, name: str, as_of: Column) -> Column:
     say = lambda what: issue(name, F.concat(F.lit(what), c), "WARNING", None, c)
     return (
         F.when(missing(c), issue(name, "Date not found", "WARNING"))
-        .when(d.isNull(), say("Cannot parse date: "))
+        .when(d.isNull(), issue(name, F.concat(F.lit("Cannot parse date: '"), c, F.lit("'")), "WARNING", None, c))
         .when(d > F.date_add(as_of, 1), say("Date is in the future: "))
         .when(d < F.date_sub(as_of, 365 * 5), say("Date is more than 5 years old: "))
     )
@@ -56,27 +60,39 @@ def line_math(quantity: Column, price: Column, value: Column) -> Column:
     return (quantity > 0) & (price > 0) & (value > 0) & off(quantity * price, value)
 
 
+def shown(x: Column) -> Column:
+    """A number as it is, without an exponent."""
+    return F.when(F.abs(x) < 1e7, x.cast("string")).otherwise(F.regexp_replace(x.cast("decimal(30,4)").cast("string"), r"(\.\d+?)0+$", "$1"))
+
+
+def _cents(x: Column) -> Column:
+    return F.format_string("%.2f", x)
+
+
 def line_issues(items: Column) -> Column:
     def one(x, i):
-        text = F.concat(F.lit("Line "), (i + 1).cast("string"), F.lit(": quantity x price differs from amount"))
-        return F.when(line_math(x.quantity, x.unit_price, x.taxable_amount), issue("line_items", text, "WARNING", F.round(x.quantity * x.unit_price, 2), x.taxable_amount))
+        product = x.quantity * x.unit_price
+        text = F.concat(F.lit("qty("), shown(x.quantity), F.lit(") × rate("), shown(x.unit_price), F.lit(") = "), _cents(product), F.lit(" ≠ amount("), shown(x.taxable_amount), F.lit(")"))
+        return F.when(line_math(x.quantity, x.unit_price, x.taxable_amount), issue(F.concat(F.lit("Line Item "), (i + 1).cast("string")), text, "WARNING", _cents(product), _cents(x.taxable_amount)))
 
     return F.filter(F.transform(items, one), lambda x: x.isNotNull())
 
 
 def subtotal_issue(items: Column, subtotal: Column) -> Column:
     s = F.aggregate(items, F.lit(0.0), lambda a, x: a + x.taxable_amount)
-    return F.when((F.size(items) > 0) & (subtotal > 0) & off(s, subtotal), issue("subtotal", "Sum of lines differs from subtotal", "WARNING", F.round(s, 2), subtotal))
+    text = F.concat(F.lit("Sum of items ("), _cents(s), F.lit(") ≠ subtotal ("), _cents(subtotal), F.lit(")"))
+    return F.when((F.size(items) > 0) & (subtotal > 0) & off(s, subtotal), issue("Subtotal", text, "WARNING", _cents(s), _cents(subtotal)))
 
 
 def total_issue(total: Column, tax: Column, round_off: Column, subtotal: Column) -> Column:
-    text = "Grand total differs from subtotal, tax and round-off"
-    return F.when((total > 0) & (tax > 0) & (subtotal > 0) & off(total - tax - round_off, subtotal), issue("grand_total", text, "WARNING", subtotal + tax + round_off, total))
+    text = F.concat(F.lit("subtotal("), _cents(subtotal), F.lit(") + tax("), _cents(tax), F.lit(") = "), _cents(subtotal + tax), F.lit(" ≠ grand_total("), _cents(total), F.lit(")"))
+    return F.when((total > 0) & (tax > 0) & (subtotal > 0) & off(total - tax - round_off, subtotal), issue("Grand Total", text, "WARNING", _cents(subtotal + tax), _cents(total)))
 
 
 def completeness(number: Column, date: Column, total: Column, seller: Column, n_items: Column) -> Column:
-    fails = [F.when(missing(c), issue(n, f"{t} is missing", "FAIL")) for c, n, t in ((number, "invoice_number", "Invoice number"), (date, "invoice_date", "Invoice date"), (total, "grand_total", "Grand total"), (seller, "seller.name", "Seller name"))]
-    return found(*fails, F.when(n_items == 0, issue("line_items", "No line items", "WARNING")))
+    required = {"Invoice Number": number, "Invoice Date": date, "Grand Total": total, "Seller Name": seller}
+    fails = [F.when(missing(c), issue(n, f"Required field '{n}' is missing", "FAIL")) for n, c in required.items()]
+    return found(*fails, F.when(n_items == 0, issue("Line Items", "No line items extracted", "WARNING")))
 
 
 def severity(status: Column) -> Column:
@@ -91,16 +107,21 @@ def worst(issues: Column) -> Column:
     return status_of(F.coalesce(F.array_max(F.transform(issues, lambda x: severity(x.severity))), F.lit(0)))
 
 
-def validated(invoices: DataFrame, as_of: Column) -> DataFrame:
-    """invoices with validation: status, issues in order of the rules, math_check, gst_valid, complete."""
+def validated(invoices: DataFrame, as_of: Column, strict_compat: bool = False) -> DataFrame:
+    """invoices with validation: status, issues in order of the rules, math_check, gst_valid, complete.
+
+    strict_compat takes identifiers for valid as long as no issue with them is
+    a failure, and none ever is.
+    """
     c = F.col
     math = F.concat(line_issues(c("line_items")), found(subtotal_issue(c("line_items"), c("subtotal")), total_issue(c("grand_total_value"), c("total_tax"), c("round_off"), c("subtotal"))))
     gaps = completeness(c("invoice_number.value"), c("invoice_date.value"), c("grand_total.value"), c("seller.name"), F.size("line_items"))
-    ids = found(gstin_issue(c("seller.gstin"), "seller.gstin"), gstin_issue(c("buyer.gstin"), "buyer.gstin"), date_issue(c("invoice_date.value"), "invoice_date", as_of))
-    out = computed(invoices, {"_ids": ids, "_math": math, "_gaps": gaps}).withColumn("_all", F.concat("_ids", "_math", "_gaps"))
+    codes = found(gstin_issue(c("seller.gstin"), "Seller GSTIN"), gstin_issue(c("buyer.gstin"), "Buyer GSTIN"))
+    out = computed(invoices, {"_codes": codes, "_date": found(date_issue(c("invoice_date.value"), "Invoice Date", as_of)), "_math": math, "_gaps": gaps}).withColumn("_all", F.concat("_codes", "_date", "_math", "_gaps"))
     fails = lambda a: F.exists(a, lambda x: x.severity == "FAIL")
-    v = F.struct(worst(c("_all")).alias("status"), c("_all").alias("issues"), (F.size("_math") == 0).alias("math_check"), F.lit(True).alias("gst_valid"), (~fails("_gaps")).alias("complete"))
-    return out.withColumn("validation", v).drop("_ids", "_math", "_gaps", "_all")
+    valid = ~fails("_codes") if strict_compat else F.size("_codes") == 0
+    v = F.struct(worst(c("_all")).alias("status"), c("_all").alias("issues"), (F.size("_math") == 0).alias("math_check"), valid.alias("gst_valid"), (~fails("_gaps")).alias("complete"))
+    return out.withColumn("validation", v).drop("_codes", "_date", "_math", "_gaps", "_all")
 
 
 def duplicates(invoices: DataFrame, number: str = "number", seq: str = "doc_seq", file: str = "source_file") -> DataFrame:
@@ -109,3 +130,22 @@ def duplicates(invoices: DataFrame, number: str = "number", seq: str = "doc_seq"
     salted = F.when(known, F.col(number)).otherwise(F.concat(F.lit("\x00"), F.col(seq).cast("string")))
     earlier = F.lag(file).over(W.partitionBy("_number").orderBy(seq))
     return invoices.withColumn("_number", salted).withColumn("duplicate_of", earlier).drop("_number")
+
+
+def duplicate_errors(invoices: DataFrame) -> DataFrame:
+    """invoices with a processing error where an earlier document has the same number."""
+    marked = duplicates(invoices.withColumn("_own_number", F.col("invoice_number.value")), "_own_number")
+    said = F.concat(F.lit("DUPLICATE: Same invoice # found in "), F.col("duplicate_of"))
+    errors = F.when(F.col("duplicate_of").isNotNull(), F.concat("processing_errors", F.array(said))).otherwise(F.col("processing_errors"))
+    return marked.withColumn("processing_errors", errors).drop("_own_number", "duplicate_of")
+
+
+def against_expected(invoices: DataFrame, expected: DataFrame) -> DataFrame:
+    """(source_file, number_right, total_right, items_right, right) of invoices(source_file, number, total, n_items) that have a row in expected(same columns).
+
+    Texts are compared as printed. Equality joins let sizes decide the strategy.
+    """
+    e = expected.select("source_file", *(F.col(c).alias(f"_{c}") for c in ("number", "total", "n_items")))
+    same = {c: F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("number", "total", "n_items")}
+    out = invoices.join(e, "source_file").select("source_file", same["number"].alias("number_right"), same["total"].alias("total_right"), same["n_items"].alias("items_right"))
+    return out.withColumn("right", F.col("number_right") & F.col("total_right") & F.col("items_right"))

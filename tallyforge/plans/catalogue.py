@@ -335,7 +335,7 @@ def q_total_check(spark, d):
     return v.select("doc_id", F.col("grand_total_value").alias("grand_total"), validate.total_issue(F.col("grand_total_value"), F.col("total_tax"), F.col("round_off"), F.col("subtotal")).isNotNull().alias("wrong"))
 
 
-@query(_CHECKED + "SELECT doc_id, CASE WHEN doc_seq % 11 = 0 THEN 'invoice_number' ELSE '' END AS missing FROM k")
+@query(_CHECKED + "SELECT doc_id, CASE WHEN doc_seq % 11 = 0 THEN 'Invoice Number' ELSE '' END AS missing FROM k")
 def q_completeness(spark, d):
     gaps = validate.completeness(F.col("invoice_number.value"), F.col("invoice_date.value"), F.col("grand_total.value"), F.col("seller.name"), F.size("line_items"))
     return _invoices(spark, d).select("doc_id", F.array_join(F.transform(gaps, lambda x: x.field_name), ",").alias("missing"))

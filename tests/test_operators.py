@@ -130,7 +130,7 @@ def test_rules(spark):
 
 def test_status_of_an_empty_document(spark):
     v = validate.validated(invoice.parse(docs(spark, "")), F.lit("2026-06-01").cast("date")).first().validation
-    assert v.status == "FAIL" and not v.complete and [i.field_name for i in v.issues][:3] == ["seller.gstin", "buyer.gstin", "invoice_date"]
+    assert v.status == "FAIL" and not v.complete and [i.field_name for i in v.issues][:3] == ["Seller GSTIN", "Buyer GSTIN", "Invoice Date"]
 
 
 def test_duplicates(spark):
@@ -218,3 +218,33 @@ def test_stream(spark, tmp_path):
     q = invoices.statuses(invoices.arriving(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), "2026-06-01")
     q.awaitTermination(120)
     assert sorted(r.number for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["GC/25-26/0042", "GC/25-26/0043"]
+
+
+def test_batch_from_bytes(spark, tmp_path):
+    """Digital, scanned, hybrid, broken and duplicate files in one call, up to the workbook's rows."""
+    from tallyforge.sources import batch, pdf
+
+    one = PAGE
+    own = {b"digital": [one], b"copy": [one], b"scanned": [""], b"hybrid": [one, ""]}
+
+    def backend(content):
+        return [{"page_no": i, "text": t} for i, t in enumerate(own[bytes(content)])]
+
+    def ocr(content):
+        return [{"page_no": i, "text": "Invoice No: SC-77\nDate: 01/02/2026\n" + "recognised " * 9} for i in range(len(own[bytes(content)]))]
+
+    files = pdf.uploaded(spark, [("a.pdf", b"digital"), ("b.pdf", b"copy"), ("c.pdf", b"scanned"), ("d.pdf", b"hybrid"), ("e.pdf", b"broken")])
+    found, rows = batch.process(files, backend, F.lit("2026-06-01").cast("date"), ocr, folder=str(tmp_path / "kept"))
+    got = {r.source_file: r for r in found.collect()}
+    assert [got[f"{x}.pdf"].pdf_type for x in "abcde"] == ["digital", "digital", "scanned", "hybrid", "corrupt"]
+    assert got["b.pdf"].processing_errors == ["DUPLICATE: Same invoice # found in a.pdf"] and got["a.pdf"].processing_errors == []
+    assert got["c.pdf"].invoice_number.value == "SC-77" and got["d.pdf"].processing_errors[-1] == "DUPLICATE: Same invoice # found in b.pdf"
+    assert got["e.pdf"].processing_errors[0].startswith("Pipeline error: Cannot open PDF: KeyError")
+    assert rows.where("sheet = 'Summary'").count() == 6 if "sheet" in rows.columns else rows.count() > 6
+
+
+def test_repeated_ids_keep_their_own_items(spark):
+    """Two rows of one id, and rows without an id, are documents of their own."""
+    d = docs(spark, PAGE, PAGE.replace("Invoice No", "Invoice Number"), "nothing").withColumn("doc_id", F.when(F.col("doc_id") != "d2", "same") if dict(docs(spark, PAGE).dtypes)["doc_id"] == "string" else F.lit(None).cast("long"))
+    sizes = sorted(len(r.line_items) for r in invoice.parse(d).select("line_items").collect())
+    assert len(sizes) == 3 and sizes[0] == 0 and sizes[1] == sizes[2] == len(invoice.parse(docs(spark, PAGE)).first().line_items)
