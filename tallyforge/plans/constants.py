@@ -37,6 +37,7 @@ ADDRESS_WORDS = (
     "bangalore", "bengaluru", "state", "code", "gstin", "pan", "email", "cin",
 )
 
+# fixed values: short names of months
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 # fixed values: date shapes, in order of trial
 DATE_NUMERIC = r"\b(\d{1,2}-\d{1,2}-\d{2,4}|\d{1,2}/\d{1,2}/\d{2,4}|\d{1,2}\.\d{1,2}\.\d{2,4})\b"
@@ -44,6 +45,7 @@ DATE_DAY_MONTH = rf"\b(\d{{1,2}}[\s\-]*(?:{MONTHS})[a-z]*[\s\-,]*\d{{2,4}})\b"
 DATE_MONTH_DAY = rf"\b((?:{MONTHS})[a-z]*\s+\d{{1,2}},?\s*\d{{2,4}})\b"
 DATE_ISO = r"\b(\d{4}[\-/]\d{1,2}[\-/]\d{1,2})\b"
 DATES = (DATE_NUMERIC, DATE_DAY_MONTH, DATE_MONTH_DAY, DATE_ISO)
+# fixed values: labels of dates, shapes of identifiers, read and valid
 DATE_LABELS = (r"(?:Invoice\s*)?Date\s*[:\-]?\s*", r"Dated\s*[:\-]?\s*")
 
 GSTIN = r"([0-9OoILil]{2}[A-Za-z]{5}[0-9OoILil]{4}[A-Za-z][0-9OoILilA-Za-z]{3})"
