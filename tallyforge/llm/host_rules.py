@@ -12,8 +12,9 @@ the host side is one row a host and comes from partial sums.
 A window is known by its hash, which is compared within a document only.
 
 Defined results: a null or empty text has no words and fails the base rules; a
-null host is a host of its own; rows that repeat an id are documents each;
-extra columns are not read; an empty table gives an empty table.
+null host is a host of its own; rows that repeat an id, or have none, are
+documents each; very long texts are measured whole; extra columns are not read; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ the text is put together again from the lines that stay.
 
 Defined results: a null or empty text is one empty line, and an empty key is
 never dropped; rows that repeat a document id, or have none, count as one
-document and each gets its own result; columns of the input are kept whatever their names; an
+document and each gets its own result; a very long text is held whole by the task
+of its row; columns of the input are kept whatever their names; an
 empty table gives an empty table.
 """
 

@@ -16,8 +16,8 @@ a million, are refused with a message, none is dropped. They go to the driver, w
 flow takes some seconds for ten thousand of them, and back as broadcast rows.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-last in order; sources without words have target 0; rows that repeat an id are
-taken alike; extra columns are not read by the query and kept by the stage; an
+last in order; sources without words have target 0; rows that repeat an id, and
+rows without one, are taken alike; extra columns are not read by the query and kept by the stage; an
 empty table gives an empty table.
 """
 

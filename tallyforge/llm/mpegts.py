@@ -11,7 +11,8 @@ stamps, byte offsets and random access points.
 Defined results: a null or empty text is a payload of spaces; a stream with no
 valid tables has an empty payload and says so in its feature; damaged or
 foreign bytes never raise. Both work a document at a time in columns of their
-own, so repeated rows, empty tables and extra columns need no care.
+own, so null or repeated ids, repeated rows, empty tables and extra columns need
+no care. A very long text is one stream, held whole by the task of its row.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ are dealt into new shards and evolved once more, so that the rooms of each shard
 are offered to the pieces of others; the second time all bins are final.
 
 Defined results: a null or empty text is one piece that holds the closing id;
-rows that repeat a document are pieces of their own, with a sequence each;
+rows that repeat an id, or have none, are pieces of their own; a very long text is
+cut into as many pieces as it fills;
 columns other than the two that are named are not read; an empty table gives an
 empty table. Packings depend on the rows' order of arrival only among equal rows.
 """

@@ -16,8 +16,10 @@ the smallest. No link is lost and no group of near copies is paired out.
 
 Defined results: a null, empty or blank text has fingerprint zero and is linked
 like any other; fewer than three words are one shingle; rows that repeat a
-document id have a row each and share their component; extra columns of any
-name are not read; an empty table gives an empty table.
+document id have a row each and share their component if their texts are near;
+null ids are never a component's id unless it has no other; very long texts are
+hashed whole; extra columns of any name are not read; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations

@@ -18,8 +18,8 @@ and a few hundred filter weights.
 
 Defined results: a null, empty or blank text has the score of no evidence;
 without labels of both classes every score is 0; equal texts have equal scores;
-repeated label rows of a document count once, as toxic if any is; rows that
-repeat an id are scored each; extra columns are kept whatever their names; an
+repeated label rows of a document count once, as toxic if any is, and those of no
+document not at all; rows that repeat an id, or have none, are scored each; extra columns are kept whatever their names; an
 empty table gives an empty table.
 """
 

@@ -19,7 +19,8 @@ skew.
 Defined results: a null URL or one without ``://`` has an empty host and path,
 fits no rule and has the score of its end alone; with only one class of
 rule-judged URLs, or none, everything else is allowed; rows that repeat an id
-are judged each; extra columns are not read; an empty table gives an empty one.
+or have none are judged each; long URLs are judged whole; extra columns are not
+read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
