@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and DuckDB SQL for those that SQL can express on whole tables."""
 
-from . import host_rules, line_dedup, mixing, mpegts, packing, simhash_dedup, suffix_tree_lm, toxicity, url_filter, weak_quality
+from . import host_rules, line_dedup, merkle, mixing, mpegts, packing, simhash_dedup, suffix_tree_lm, toxicity, url_filter, weak_quality
 
 QUERIES = {
     "op1_mpegts": mpegts.op1_mpegts,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_weak_quality": weak_quality.op8_weak_quality,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_url_markov": url_filter.op10_url_markov,
+    "op11_merkle": merkle.op11_merkle,
 }
-SQL = {"op4_host_rules": host_rules.SQL, "op5_line_dedup": line_dedup.SQL, "op10_url_markov": url_filter.SQL}
+SQL = {"op4_host_rules": host_rules.SQL, "op5_line_dedup": line_dedup.SQL, "op10_url_markov": url_filter.SQL, "op11_merkle": merkle.SQL}
