@@ -244,7 +244,7 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LEVELS = 8
-_LEAF = "sha256(concat({}))".format(", ".join(f"coalesce(concat(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR), ':', CAST({c} AS VARCHAR)), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{t}")))
+_LEAF = "sha256(concat({}))".format(", ".join(f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{t}")))
 
 
 def _sql() -> str:
