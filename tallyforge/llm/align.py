@@ -31,9 +31,12 @@ read; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -44,11 +47,12 @@ from pyspark.sql import functions as F
 from .common import cut, parts, table
 
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Pairs that every task knows, units that a worker remembers, and the longest of those in characters.
-HOT, REMEMBERED, SHORT = 1 << 19, 1 << 16, 48
+#: Pairs that every task knows, and units that a worker remembers.
+HOT, REMEMBERED = 1 << 19, 1 << 18
 #: Where a unit begins: before it a character and after it another, neither of them white space to anyone.
 _BREAK = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
-_FOUND = "row long, doc_id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, counts array<int>"
+_VISIBLE = re.compile(r"[!-~\w]")
+_FOUND = "row long, doc_id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<{pair}>, counts array<int>"
 
 
 @cache
@@ -60,89 +64,202 @@ def byte_of() -> dict[str, int]:
 
 
 class Tokenizers:
-    """Both tokenizers; bytes of tokens by id. Loaded once a worker."""
+    """Both tokenizers and the units a worker has seen. Loaded once a worker."""
 
     def __init__(self, a: str, b: str):
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("texts can't be encoded by unit: a piece goes on after a space")
-        to = byte_of()
-        self.a_bytes = {i: bytes(to[c] for c in t) if all(c in to for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        to, vocabulary = byte_of(), self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.a_bytes[i] = bytes(to[c] for c in t) if all(c in to for c in t) else t.encode()
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
-        self.known: dict[str, tuple] = {}
-
-    def unit(self, text: str) -> tuple | None:
-        """What a unit adds to its text: numbers of A tokens, B tokens, groups, links; groups as text; pairs of linked ids. None if its tokens spell anything else."""
-        if (found := self.known.get(text, self)) is not self:
-            return found
-        a, b = self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text, num_threads=1)
-        x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        spelled = b" " + text.encode()
-        found = overlaps(a, b, list(map(len, x)), list(map(len, y))) if b"".join(x) == spelled == b"".join(y) else None
-        if len(text) <= SHORT:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[text] = found
-        return found
-
-
-def overlaps(a: list[int], b: list[int], a_lengths: list[int], b_lengths: list[int]) -> tuple:
-    own_a, own_b = (np.repeat(np.arange(len(n), dtype=np.int32), n) for n in (a_lengths, b_lengths))
+        self.a_length, self.b_length = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.ranked = self._ranked(a)
+        self.forget()
+
+    def _ranked(self, path: str):
+        """A as byte ranks, many times as fast, if its merges are in the order of its ids; its tests compare both."""
+        import tiktoken
+
+        model = json.loads(open(path, encoding="utf-8").read())["model"]
+        merged = [self.a.token_to_id("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+        if merged != list(range(256, 256 + len(merged))) or not model["vocab"].keys() >= byte_of().keys():
+            return None
+        ranks = {bytes(byte_of()[c] for c in t): i for t, i in model["vocab"].items() if i < 256 + len(merged)}
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode_a(self, units: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units, one after the other, and how many each has. lengths: bytes of each with its space."""
+        if self.ranked is None:
+            ids = [e.ids for e in self.a.encode_batch_fast([f" {u}" for u in units], add_special_tokens=False)]
+        elif all(u and _VISIBLE.match(u[0]) and _VISIBLE.match(u[-1]) for u in units):
+            # Between such units A cuts anyway, so they may as well be one text.
+            flat = np.array(self.ranked(f" {' '.join(units)}"), np.int64)
+            return flat, np.diff(np.searchsorted(np.cumsum(self.a_length[flat]), np.cumsum(lengths)) + 1, prepend=0)
+        else:
+            ids = [self.ranked(f" {u}") for u in units]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())), n
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.groups: list[bytes | None] = []
+        #: For each unit: its numbers of A tokens, B tokens, groups and links; where its pairs begin among all.
+        self.numbers, self.begins, self.pairs = np.empty((0, 4), np.int64), np.zeros(1, np.int64), np.empty(0, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        """Encode units not seen before, all at once; of one whose tokens spell anything else the groups are None."""
+        spelled = [(" " + u).encode() for u in new]
+        b = self.b.encode(new, num_threads=1)
+        good = np.array([b"".join(map(self.b_bytes.__getitem__, y)) == t for y, t in zip(b, spelled, strict=True)])
+        ids, n_a = self.encode_a(new, np.fromiter(map(len, spelled), np.int64, len(new)))
+        if b"".join(map(self.a_bytes.__getitem__, ids.tolist())) != b"".join(spelled):
+            ends = np.cumsum(n_a)
+            good &= np.array([b"".join(map(self.a_bytes.__getitem__, ids[e - n : e].tolist())) == t for e, n, t in zip(ends, n_a, spelled, strict=True)])
+        numbers, groups = np.zeros((len(new), 4), np.int64), [None] * len(new)
+        kept = np.flatnonzero(good)
+        numbers[kept], pairs, found = overlaps(ids[np.repeat(good, n_a)], n_a[kept], [b[i] for i in kept.tolist()], self.a_length, self.b_length)
+        for i, g in zip(kept.tolist(), found, strict=True):
+            groups[i] = g
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.groups += groups
+        self.numbers = np.concatenate((self.numbers, numbers))
+        self.begins = np.concatenate((self.begins, self.begins[-1] + np.cumsum(numbers[:, 3])))
+        self.pairs = np.concatenate((self.pairs, pairs))
+
+    def look_up(self, units: list[str]) -> np.ndarray:
+        if len(self.known) > REMEMBERED or len(self.pairs) > 8 * REMEMBERED:
+            self.forget()
+        if new := [u for u in dict.fromkeys(units) if u not in self.known]:
+            self.learn(new)
+        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+
+
+def overlaps(ids_a: np.ndarray, n_a: np.ndarray, b: list[list[int]], a_length: np.ndarray, b_length: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of units' ids, A's in one array and n_a of each, B's in lists, whose bytes are the same: numbers (tokens of A and B, groups, links), pairs of linked ids (A's times the size of B's vocabulary, plus B's), groups as text.
+
+    The units' bytes stand one after the other, so both owners change where a unit ends.
+    """
+    n_b = np.fromiter(map(len, b), np.int64, len(b))
+    ids_b = np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum()))
+    own_a, own_b = np.repeat(np.arange(len(ids_a)), a_length[ids_a]), np.repeat(np.arange(len(ids_b)), b_length[ids_b])
+    if not len(own_a):
+        return np.zeros((len(b), 4), np.int64), np.empty(0, np.int64), [b""] * len(b)
     new_a, new_b = own_a[1:] != own_a[:-1], own_b[1:] != own_b[:-1]
     starts = np.concatenate(([0], 1 + np.flatnonzero(new_a | new_b)))
-    pairs = (np.asarray(a, np.int64)[own_a[starts]] << 32) | np.asarray(b, np.int64)[own_b[starts]]
-    cuts = np.flatnonzero(new_a & new_b)
-    ends_a, ends_b = ([*(own[cuts] + 1).tolist(), len(n)] for own, n in ((own_a, a_lengths), (own_b, b_lengths)))
-    groups, i, j = [], 0, 0
-    for p, q in zip(ends_a, ends_b, strict=True):
-        groups.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
+    unit_of = np.repeat(np.arange(len(b)), n_a)
+    linked = own_a[starts]
+    links = np.bincount(unit_of[linked], minlength=len(b))
+    cuts = np.concatenate((np.flatnonzero(new_a & new_b), [len(own_a) - 1]))
+    last_a, last_b = own_a[cuts], own_b[cuts]
+    n_groups = np.bincount(unit_of[last_a], minlength=len(b))
+    text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+    shown, i, j = [], 0, 0
+    for p, q in zip((last_a + 1).tolist(), (last_b + 1).tolist(), strict=True):
+        shown.append(f"{text_a[i] if p == i + 1 else ','.join(text_a[i:p])}|{text_b[j] if q == j + 1 else ','.join(text_b[j:q])}")
         i, j = p, q
-    return len(a), len(b), len(groups), len(pairs), ";".join(groups).encode(), pairs
-
-
-def units(text: str) -> Iterator[str]:
-    at = 0
-    for m in _BREAK.finditer(text):
-        yield text[at : m.start()]
-        at = m.end()
-    yield text[at:]
-
-
-def aligned(tokenizers: Tokenizers, text: str | None, held: int = 1 << 16) -> tuple:
-    """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, counts) of a text; of a long one the pairs are summed up by and by."""
-    nothing = (0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
-    if not text:
-        return nothing
-    total, digest, first = [0, 0, 0, 0], hashlib.sha256(), True
-    pairs, counts, waiting, n = nothing[5], nothing[6], [], 0
-    for u in units(text):
-        if (found := tokenizers.unit(u)) is None:
-            return nothing
-        for k in range(4):
-            total[k] += found[k]
-        digest.update(found[4] if first else b";" + found[4])
-        first = False
-        waiting.append(found[5])
-        n += len(found[5])
-        if n > held:
-            pairs, counts = _summed(pairs, counts, waiting)
-            waiting, n = [], 0
-    pairs, counts = _summed(pairs, counts, waiting)
-    return (*total, digest.hexdigest(), pairs, counts)
-
-
-def _summed(pairs: np.ndarray, counts: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    new, n = np.unique(np.concatenate(more), return_counts=True) if more else (pairs[:0], counts[:0])
-    if not len(pairs):
-        return new, n
-    both, at = np.unique(np.concatenate((pairs, new)), return_inverse=True)
-    return both, np.bincount(at, np.concatenate((counts, n)), len(both)).astype(np.int64)
+    ends = np.cumsum(n_groups).tolist()
+    groups = [";".join(shown[s:e]).encode() for s, e in zip([0, *ends], ends, strict=False)]
+    return np.stack((n_a, n_b, n_groups, links), axis=1), ids_a[linked] * len(b_length) + ids_b[own_b[starts]], groups
+
+
+class Document:
+    """What the units of one text have added up to so far."""
+
+    def __init__(self):
+        self.numbers, self.digest, self.sums, self.spelled = np.zeros(4, np.int64), None, [], True
+
+    def add(self, numbers: np.ndarray, groups: list[bytes | None], pairs: np.ndarray, counts: np.ndarray) -> None:
+        if not self.spelled or None in groups:
+            self.spelled = False
+            return
+        joined = b";".join(groups)
+        if self.digest is None:
+            self.digest = hashlib.sha256(joined)
+        else:
+            self.digest.update(b";" + joined)
+        self.numbers += numbers
+        self.sums.append((pairs, counts))
+        if len(self.sums) > 8:
+            self.sums = [summed(self.sums)]
+
+    def result(self) -> tuple:
+        if not self.spelled or self.digest is None:
+            return (0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
+        return (*self.numbers.tolist(), self.digest.hexdigest(), *(summed(self.sums) if len(self.sums) > 1 else self.sums[0]))
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    pairs, at = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+    return pairs, np.bincount(at, np.concatenate([n for _, n in parts]), len(pairs)).astype(np.int64)
+
+
+def aligned(tokenizers: Tokenizers, texts: list[str | None], held: int = 1 << 16) -> list[tuple]:
+    """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, counts) of each text, ``held`` units at a time; a long text adds up over several such turns."""
+    out = [Document() for _ in texts]
+    units: list[str] = []
+    ends: list[tuple[int, int]] = []  # document, and how many units there are up to the end of what it has here
+
+    def turn() -> None:
+        at = tokenizers.look_up(units)
+        numbers, begins = tokenizers.numbers[at], tokenizers.begins[at]
+        n = numbers[:, 3]
+        place = np.repeat(begins - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+        pairs = tokenizers.pairs[place]
+        groups = list(map(tokenizers.groups.__getitem__, at.tolist()))
+        stops = np.array([e for _, e in ends])
+        link_ends = np.concatenate(([0], np.cumsum(n)))[stops]
+        whole = np.add.reduceat(numbers, np.concatenate(([0], stops[:-1])), axis=0)
+        # Sorted by document and pair; a stable sort by document keeps the order by pair.
+        doc = np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], link_ends))))
+        order = np.argsort(pairs, kind="stable")
+        order = order[np.argsort(doc[order].astype(np.int32), kind="stable")]
+        pairs, doc = pairs[order], doc[order]
+        first = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]) | (doc[1:] != doc[:-1])))) if len(pairs) else np.empty(0, np.int64)
+        counts = np.diff(np.concatenate((first, [len(pairs)])))
+        split = np.searchsorted(doc[first], np.arange(len(ends) + 1))
+        start = 0
+        for k, (d, e) in enumerate(ends):
+            own = first[split[k] : split[k + 1]]
+            out[d].add(whole[k], groups[start:e], pairs[own], counts[split[k] : split[k + 1]])
+            start = e
+        units.clear()
+        ends.clear()
+
+    for d, text in enumerate(texts):
+        for block in blocks(text or "", held):
+            units += block
+            ends.append((d, len(units)))
+            if len(units) >= held:
+                turn()
+    if units:
+        turn()
+    return [x.result() for x in out]
+
+
+def blocks(text: str, held: int) -> Iterator[list[str]]:
+    """The units of a text in lists of at most ``held``; none of an empty text."""
+    if 0 < len(text) <= 8 * held:
+        found = _BREAK.split(text)
+        yield from (found[i : i + held] for i in range(0, len(found), held))
+    elif text:
+        at, out = 0, []
+        for m in _BREAK.finditer(text):
+            out.append(text[at : m.start()])
+            at = m.end()
+            if len(out) == held:
+                yield out
+                out = []
+        yield [*out, text[at:]]
 
 
 @cache
@@ -155,13 +272,13 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)).cast(kind))
 
 
-def _found(a: str, b: str):
+def _found(a: str, b: str, pair: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers = _loaded(a, b)
-        for batch in parts(batches, 256):
-            out = [aligned(tokenizers, t) for t in batch.column(2).to_pylist()]
+        for batch in parts(batches):
+            out = aligned(tokenizers, batch.column(2).to_pylist())
             columns = [pa.array([x[k] for x in out], pa.int64()) for k in range(4)]
-            columns += [pa.array([x[4] for x in out], pa.string()), _lists([x[5] for x in out], pa.int64()), _lists([x[6] for x in out], pa.int32())]
+            columns += [pa.array([x[4] for x in out], pa.string()), _lists([x[5] for x in out], pair), _lists([x[6] for x in out], pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "counts"])
 
     return run
@@ -188,11 +305,11 @@ def _hot_sums(pairs: np.ndarray, counts: np.ndarray, best: np.ndarray):
     return run
 
 
-def pair_counts(found: DataFrame) -> DataFrame:
+def pair_counts(found: DataFrame, width: int) -> DataFrame:
     """(pair, n, best): links of each pair of ids in the whole table, and whether its B id has no pair of more."""
     both = found.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p")).select(F.col("p.pairs").alias("pair"), F.col("p.counts").cast("long").alias("n"))
     counts = cut(both.groupBy("pair").agg(F.sum("n").alias("n")), "pair_counts")
-    b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
+    b = F.pmod("pair", F.lit(width))
     # One row for each id of B's vocabulary at most.
     most = F.broadcast(counts.groupBy(b.alias("b")).agg(F.max("n").alias("most")))
     return cut(counts.join(most, b == F.col("b")).select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "pair_counts")
@@ -213,16 +330,19 @@ def align(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", a: str |
     """(row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, n_best, count_sum), one row for each row of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    run = _found(a or public_tokenizers.path(A_NAME), b or public_tokenizers.path(B_NAME))
+    a, b = a or public_tokenizers.path(A_NAME), b or public_tokenizers.path(B_NAME)
+    width = len(_loaded(a, b).b_length)
+    small = len(_loaded(a, b).a_length) * width < 1 << 31
+    schema = _FOUND.format(id=docs.schema[doc_id].dataType.simpleString(), pair="int" if small else "long")
     # Written once: the tokenizers' work is not repeated, and the keys of rows are settled.
-    found = cut(rows.mapInArrow(run, _FOUND.format(id=docs.schema[doc_id].dataType.simpleString())), "aligned")
-    counts = pair_counts(found)
+    found = cut(rows.mapInArrow(_found(a, b, pa.int32() if small else pa.int64()), schema), "aligned")
+    counts = pair_counts(found, width)
     least = hottest(counts, hot)
     # At most ``hot`` rows, as counted.
     known = counts.where(F.col("n") >= least).orderBy("pair").toPandas()
     summed = found.select("row", "pairs", "counts").mapInArrow(
         _hot_sums(known["pair"].to_numpy(np.int64), known["n"].to_numpy(np.int64), known["best"].to_numpy(np.int64)),
-        "row long, hot_sum long, hot_best long, pairs array<long>, counts array<long>",
+        f"row long, hot_sum long, hot_best long, pairs array<{'int' if small else 'long'}>, counts array<long>",
     )
     summed = cut(summed, "hot_sums")
     rest = summed.select("row", F.explode(F.arrays_zip("pairs", "counts")).alias("p")).select("row", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("times"))

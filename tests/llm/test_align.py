@@ -70,9 +70,9 @@ def test_alignment(spark, hot):
 def test_units_spell_what_the_whole_text_spells():
     """Tokens by unit are those of the text encoded at once, and long texts are summed in parts."""
     known = align.Tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
-    for t in texts():
+    whole, small = align.aligned(known, texts()), align.aligned(known, texts(), held=5)
+    for t, one, parts in zip(texts(), whole, small, strict=True):
         x, y = tokens(t or "")
-        one, parts = align.aligned(known, t), align.aligned(known, t, held=5)
         assert one[:2] == (len(x), len(y)) and one[:5] == parts[:5]
         assert one[5].tolist() == parts[5].tolist() and one[6].tolist() == parts[6].tolist() and one[6].sum() == one[3]
 
@@ -81,3 +81,9 @@ def test_query_reads_the_table(spark, tmp_path):
     spark.createDataFrame([(1, "one two", 1, ""), (2, None, 1, "")], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in registry.QUERIES["op12_align"](spark, str(tmp_path)).collect()}
     assert got[1].n_a == 2 and got[1].n_groups == 2 and tuple(got[2])[1:] == (0, 0, 0, 0, 0, 0, "")
+
+
+def test_ranks_are_the_vocabularys_merges():
+    known = align.Tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    for t in texts():
+        assert known.ranked(f" {t or ''}") == A.encode(f" {t or ''}", add_special_tokens=False).ids
