@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and DuckDB SQL for those that SQL can express on whole tables."""
 
-from . import align, host_rules, line_dedup, merkle, mixing, mpegts, packing, simhash_dedup, suffix_tree_lm, toxicity, url_filter, weak_quality
+from . import align, host_rules, line_dedup, merkle, mixing, mpegts, packing, repeats, simhash_dedup, suffix_tree_lm, toxicity, url_filter, weak_quality
 
 QUERIES = {
     "op1_mpegts": mpegts.op1_mpegts,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_url_markov": url_filter.op10_url_markov,
     "op11_merkle": merkle.op11_merkle,
     "op12_align": align.op12_align,
+    "op13_repeats": repeats.op13_repeats,
 }
 SQL = {"op4_host_rules": host_rules.SQL, "op5_line_dedup": line_dedup.SQL, "op10_url_markov": url_filter.SQL, "op11_merkle": merkle.SQL}

@@ -10,7 +10,7 @@ from tallyforge.llm import registry
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that say something of the text alone, whatever the id.
-OWN = {"op1_mpegts": "media_sha256", "op2_packing": "ids_crc32", "op3_suffix_tree": "n_tokens", "op4_host_rules": "n_words", "op5_line_dedup": "n_lines", "op6_simhash": "fingerprint", "op7_mixing": "size", "op8_weak_quality": "posterior"}
+OWN = {"op1_mpegts": "media_sha256", "op2_packing": "ids_crc32", "op3_suffix_tree": "n_tokens", "op4_host_rules": "n_words", "op5_line_dedup": "n_lines", "op6_simhash": "fingerprint", "op7_mixing": "size", "op8_weak_quality": "posterior", "op12_align": "groups_sha256", "op13_repeats": "n_bytes"}
 
 
 def rows():
