@@ -14,14 +14,13 @@ def amount(c: Column) -> Column:
     Knows currency signs, commas at any places, a comma before two last digits
     as the decimal sign, and closing marks such as ``/-``.
     """
-    # Most amounts are digits, commas and a point, and need no cleaning.
-    plain = F.when(F.rlike(c, F.lit(r"\A\d[\d,]*\.\d+\z")), F.translate(c, ",", "").try_cast("double"))
-    s = F.regexp_replace(c, r"[₹\s ]", "")
+    s = F.regexp_replace(c, r"[₹\s\x{A0}]", "")
     s = F.regexp_replace(s, r"\A(?i:Rs\.?|INR)", "")
     s = F.regexp_replace(s, r"[)\]}>.,:;'\"|/\-]+\z", "")
-    s = F.when(~s.contains("."), F.regexp_replace(s, r",(\d{2})\z", ".$1")).otherwise(s)
+    # A comma before two last digits is the decimal sign, unless there is a point anywhere.
+    s = F.regexp_replace(s, r"\A([^.]*),(\d{2})\z", "$1.$2")
     s = F.regexp_replace(s, r"[^0-9.\-]", "")
-    return F.coalesce(plain, s.try_cast("double"), F.lit(0.0))
+    return F.coalesce(s.try_cast("double"), F.lit(0.0))
 
 
 def money(c: Column) -> Column:
