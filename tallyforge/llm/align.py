@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, parts, table
+from .common import cut, heaviest, parts, table
 
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs that every task knows, and units that a worker remembers.
@@ -315,17 +315,6 @@ def pair_counts(found: DataFrame, width: int) -> DataFrame:
     return cut(counts.join(most, b == F.col("b")).select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "pair_counts")
 
 
-def hottest(counts: DataFrame, hot: int) -> int:
-    """The lowest power of two such that at most ``hot`` pairs have so many links or more."""
-    sizes = {r.p: r.k for r in counts.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count(F.lit(1)).alias("k")).collect()}
-    p = max(sizes, default=-1) + 1
-    total = 0
-    while p > 0 and total + sizes.get(p - 1, 0) <= hot:
-        p -= 1
-        total += sizes.get(p, 0)
-    return 1 << p
-
-
 def align(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", a: str | None = None, b: str | None = None, hot: int = HOT) -> DataFrame:
     """(row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, n_best, count_sum), one row for each row of docs."""
     spark = docs.sparkSession
@@ -337,7 +326,7 @@ def align(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", a: str |
     # Written once: the tokenizers' work is not repeated, and the keys of rows are settled.
     found = cut(rows.mapInArrow(_found(a, b, pa.int32() if small else pa.int64()), schema), "aligned")
     counts = pair_counts(found, width)
-    least = hottest(counts, hot)
+    least = heaviest(counts, hot)
     # At most ``hot`` rows, as counted.
     known = counts.where(F.col("n") >= least).orderBy("pair").toPandas()
     summed = found.select("row", "pairs", "counts").mapInArrow(

@@ -91,6 +91,29 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of the commonest keys that every task may know.
+HOT = 1 << 16
+
+
+def heaviest(counts: DataFrame, hot: int = HOT) -> int:
+    """The lowest power of two such that at most ``hot`` rows of counts(n) have so large an n."""
+    sizes = {r.p: r.k for r in counts.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    p, total = max(sizes, default=-1) + 1, 0
+    while p > 0 and total + sizes.get(p - 1, 0) <= hot:
+        p -= 1
+        total += sizes.get(p, 0)
+    return 1 << p
+
+
+def joined_by_weight(rows: DataFrame, table: DataFrame, on: list[str], hot: int = HOT) -> DataFrame:
+    """rows left-joined with table(on, n, ...), n the number of rows of each key: the heaviest keys are broadcast, so those that are shuffled have few rows each."""
+    least = heaviest(table, hot)
+    often = table.where(F.col("n") >= least)
+    met = rows.join(F.broadcast(often), on)
+    rest = rows.join(F.broadcast(often.select(*on)), on, "left_anti").join(table.where(F.col("n") < least), on, "left")
+    return met.unionByName(rest)
+
+
 def links_to_components(links: DataFrame) -> DataFrame:
     """Connected components of links(a, b) as (node, root), root the smallest node reachable.
 

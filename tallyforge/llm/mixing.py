@@ -16,9 +16,10 @@ a million, are refused with a message, none is dropped. They go to the driver, w
 flow takes some seconds for ten thousand of them, and back as broadcast rows.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-last in order; sources without words have target 0; rows that repeat an id, and
-rows without one, are taken alike; extra columns are not read by the query and kept by the stage; an
-empty table gives an empty table.
+last in order; sources without words have target 0; rows are told apart by id and
+text, and those that share both by where they stand, so a table without ids is
+mixed like any other and reruns over the same files agree; extra columns are not
+read by the query and kept by the stage; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,9 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import WORD, cut, table
+from .common import WORD, cut, joined_by_weight, table
 
 CYCLE, MOST, SEED, LIMIT, FILLS = (5.0, 2.0, 1.0), 3, 20240229, 1 << 20, 3
+#: Up to so many patterns their rows are broadcast; more are joined by key.
+KNOWN = 1 << 16
+_ASKED = ("_key", "_text", "_row", "_size", "_sources")
 
 
 def targets(sizes: dict[str | None, int], cycle: tuple[float, ...] = CYCLE, most: float = MOST) -> dict[str | None, float]:
@@ -126,10 +130,19 @@ def _blocking_flow(graph: list[list[int]], to: list[int], room: list[float], sin
             path.pop()
 
 
-def _threshold(items: DataFrame, rests: DataFrame) -> DataFrame:
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with _nth: 0, but for rows that share id and text with another, where it tells them apart. Without _row they are not."""
+    if "_row" not in docs.columns:
+        return docs.withColumn("_nth", F.lit(0))
+    same = ["_key", "_text"]
+    again = cut(docs.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("_first")).where("n > 1"), "again")
+    return joined_by_weight(docs, again, same).withColumn("_nth", F.coalesce(F.col("_row") - F.col("_first"), F.lit(0))).drop("n", "_first")
+
+
+def _threshold(items: DataFrame, rests: DataFrame, known=F.broadcast) -> DataFrame:
     """(pattern, upto, more): the hash up to which the sizes of items(pattern, size, u) fit in rests(pattern, rest), and a few beyond it that fill the gap best."""
     items = cut(items.groupBy("pattern", "u").agg(F.sum("size").alias("size")), "hashes")
-    left, at = F.broadcast(rests), items
+    left, at = known(rests), items
     for bits in (52, 40):
         bucket = F.shiftright("u", bits).alias("bucket")
         sums = at.join(left.select("pattern"), "pattern", "left_semi").groupBy("pattern", bucket).agg(F.sum("size").alias("size"))
@@ -137,7 +150,7 @@ def _threshold(items: DataFrame, rests: DataFrame) -> DataFrame:
         # The last range that begins within the rest.
         sums = sums.withColumn("before", F.coalesce(before, F.lit(0))).join(left.select("pattern", "rest"), "pattern").where("before <= rest")
         left = sums.groupBy("pattern").agg(F.max_by(F.struct("bucket", (F.col("rest") - F.col("before")).alias("rest")), "bucket").alias("b")).select("pattern", "b.*")
-        left = F.broadcast(cut(left, "ranges"))
+        left = known(cut(left, "ranges"))
         at = at.join(left.select("pattern", F.col("bucket").alias("_b")), "pattern").where(F.shiftright("u", bits) == F.col("_b")).drop("_b")
     run = F.sum("size").over(W.partitionBy("pattern").orderBy("u"))
     under = at.withColumn("run", run).join(left, "pattern").where("run <= rest").groupBy("pattern").agg(F.max(F.struct("run", "u")).alias("m"))
@@ -150,7 +163,7 @@ def _threshold(items: DataFrame, rests: DataFrame) -> DataFrame:
     )
     found = cut(found, "prefixes")
     for _ in range(FILLS):
-        free = items.join(F.broadcast(found), "pattern").where("u > upto AND NOT array_contains(more, u) AND abs(gap - size) < gap")
+        free = items.join(known(found), "pattern").where("u > upto AND NOT array_contains(more, u) AND abs(gap - size) < gap")
         best = free.groupBy("pattern").agg(F.min_by(F.struct("u", "size"), F.struct(F.abs(F.col("gap") - F.col("size")), "u")).alias("b"))
         found = found.join(best, "pattern", "left").select(
             "pattern", "upto", (F.col("gap") - F.coalesce("b.size", F.lit(0))).alias("gap"), F.when(F.col("b").isNull(), F.col("more")).otherwise(F.concat("more", F.array("b.u"))).alias("more")
@@ -160,10 +173,10 @@ def _threshold(items: DataFrame, rests: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, most: int = MOST, seed: int = SEED, limit: int = LIMIT) -> DataFrame:
-    """docs(_key, _size, _sources) and its other columns with _target, _source_size (of the first source) and _times."""
+    """docs(_key, _size, _sources, with _text and _row if keys repeat) and its other columns with _target, _source_size (of the first source) and _times."""
     spark = docs.sparkSession
     pattern = F.to_json(F.struct(F.array_sort(F.array_distinct("_sources")).alias("s")))
-    docs = docs.withColumn("_pattern", pattern).withColumn("_u", F.xxhash64(F.lit(seed), "_key"))
+    docs = cut(_numbered(docs).withColumn("_pattern", pattern).withColumn("_u", F.xxhash64(F.lit(seed), *(c for c in ("_key", "_text", "_nth") if c in docs.columns or c == "_nth"))), "hashed")
     found = docs.groupBy("_pattern").agg(F.first("_sources").alias("s"), F.sum("_size").alias("size")).limit(limit + 1).collect()
     if len(found) > limit:
         raise ValueError(f"more than {limit} membership patterns")
@@ -189,26 +202,28 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, most: int = MOST, see
         rows.append((r._pattern, whole, max(0.0, rest), quota[r.s[0]], sizes[r.s[0]]))
     schema = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("whole", T.IntegerType()), T.StructField("rest", T.DoubleType()), T.StructField("_target", T.DoubleType()), T.StructField("_source_size", T.LongType())])
     plan = spark.createDataFrame(rows, schema)
-    upto = _threshold(docs.select(F.col("_pattern").alias("pattern"), F.col("_size").alias("size"), F.col("_u").alias("u")), plan.select("pattern", "rest"))
+    known = F.broadcast if len(rows) <= KNOWN else lambda df: df
+    upto = _threshold(docs.select(F.col("_pattern").alias("pattern"), F.col("_size").alias("size"), F.col("_u").alias("u")), plan.select("pattern", "rest"), known)
     plan = cut(plan.join(upto, "pattern", "left"), "plan")
-    out = docs.join(F.broadcast(plan.withColumnRenamed("pattern", "_pattern")), "_pattern")
+    out = docs.join(known(plan.withColumnRenamed("pattern", "_pattern")), "_pattern")
     times = F.col("whole") + F.when((F.col("whole") < most) & ((F.col("_u") <= F.col("upto")) | F.array_contains("more", F.col("_u"))), 1).otherwise(0)
-    return out.withColumn("_times", times).drop("_pattern", "_u", "whole", "rest", "upto", "more")
+    return out.withColumn("_times", times).drop("_pattern", "_u", "_nth", "whole", "rest", "upto", "more")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
+    """docs with what mix() needs; a row's number is settled by writing it."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.withColumns({"_size": size, "_sources": F.array("source"), "_key": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
+    return docs.withColumns({"_size": size, "_sources": F.array("source"), "_key": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_text": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = cut(_sized(table(spark, sf_dir, "documents")).select("doc_id", "_key", "_size", "_sources"), "sizes")
+    docs = cut(_sized(table(spark, sf_dir, "documents")).select("doc_id", *_ASKED), "sizes")
     return mix(docs).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_times")).alias("taken"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document as many times as it is taken."""
-    sized = cut(_sized(docs).select("doc_id", "source", "_key", "_size", "_sources"), "sizes")
-    times = mix(sized).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("from")).agg(F.max("_times").alias("times")).where("times > 0")
-    rows = docs.select(F.struct("*").alias("own")).join(times, F.col("own.doc_id").eqNullSafe(F.col("id")) & F.col("own.source").eqNullSafe(F.col("from")))
-    return rows.select("own", F.explode(F.sequence(F.lit(1), "times"))).select("own.*")
+    """The mix: a row as many times as it is taken."""
+    rows = cut(docs.select(F.struct("*").alias("own"), F.monotonically_increasing_id().alias("_row")), "rows")
+    sized = cut(_sized(rows.select("own.doc_id", "own.text", "own.source", F.col("_row").alias("_own"))).drop("_row").withColumnRenamed("_own", "_row").select(*_ASKED), "sizes")
+    times = mix(sized).where("_times > 0").select("_row", "_times")
+    return rows.join(times, "_row").select("own", F.explode(F.sequence(F.lit(1), "_times"))).select("own.*")

@@ -50,13 +50,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, parts, raw, table, tasks
+from .common import HOT, cut, heaviest, parts, raw, table, tasks
 
 LENGTH, GRAM, STEP = 200, 64, 1 << 20
 #: Bits of a bitmap, segments of a collection, and of the largest group that is sorted in one.
 BITS, BLOCK, MOST = 1 << 27, 1 << 14, 1 << 14
-#: Rows of the commonest keys that are broadcast.
-HOT = 1 << 16
 _P = 0x9E3779B97F4A7C15
 _SEGMENT = "gram long, key binary, at int, first int, bytes binary"
 _SPAN = "key binary, start int, end int"
@@ -131,16 +129,6 @@ def _in(words: np.ndarray):
     return F.pandas_udf(lambda h: pd.Series(marked(words, h.to_numpy(np.int64))), "boolean")
 
 
-def heaviest(counts: DataFrame, hot: int = HOT) -> int:
-    """The lowest power of two such that at most ``hot`` rows of counts(n) have so large an n."""
-    sizes = {r.p: r.k for r in counts.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count(F.lit(1)).alias("k")).collect()}
-    p, total = max(sizes, default=-1) + 1, 0
-    while p > 0 and total + sizes.get(p - 1, 0) <= hot:
-        p -= 1
-        total += sizes.get(p, 0)
-    return 1 << p
-
-
 def _counted(grams: Grams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 256):
