@@ -9,6 +9,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +93,38 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits of a bitmap: from the least to the most, 16 for each value where that is between.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
+
+
+def bitmap(hashes: DataFrame, most: int = MOST_BITS) -> np.ndarray:
+    """Words of 64 bits, one bit for each value of hashes(h) by its highest bits; at most ``most`` / 64 rows, 4 million, reach the driver.
+
+    Far beyond ``most`` values it fills up and tells less; who asks must be right for any answer.
+    """
+    bits = LEAST_BITS
+    wanted = min(most, 16 * hashes.count())
+    while bits < wanted:
+        bits *= 2
+    word = (bits // 64).bit_length() - 1
+    marks = hashes.selectExpr(f"shiftrightunsigned(h, {64 - word}) AS w", f"shiftleft(1L, CAST(shiftrightunsigned(h, {58 - word}) & 63 AS int)) AS m")
+    found = marks.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["w"].to_numpy(np.int64)] = found["m"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def marked(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    word = np.uint64(len(words).bit_length() - 1)
+    h = h.view(np.uint64)
+    return (words[h >> (np.uint64(64) - word)] >> ((h >> (np.uint64(58) - word)) & np.uint64(63))) & np.uint64(1) == 1
+
+
+def among(words: np.ndarray):
+    """A column function: whether a long may be among a bitmap's."""
+    return F.pandas_udf(lambda h: pd.Series(marked(words, h.to_numpy(np.int64))), "boolean")
+
+
 #: Rows of the commonest keys that every task may know.
 HOT = 1 << 16
 

@@ -12,7 +12,8 @@ input; matches don't cross documents.
    Their hashes are counted by partial sums; a bitmap of fixed size says which
    grams may be repeated, and those send themselves with the bytes around them
    that such strings can reach: a segment. What the bitmap lets through for
-   nothing costs a row and finds nothing.
+   nothing costs a row and finds nothing. Of equal segments in a text, as a word
+   that repeats for pages has them, all are repeats and one is sent.
 3. Segments with the same gram are put below each other, gram under gram, and a
    collection of whole groups is read column by column from the right. Each
    round inserts one symbol of every segment: the order of the suffixes that
@@ -50,11 +51,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT, cut, heaviest, parts, raw, table, tasks
+from .common import HOT, among, bitmap, cut, discard, heaviest, marked, parts, raw, table, tasks
 
 LENGTH, GRAM, STEP = 200, 64, 1 << 20
-#: Bits of a bitmap, segments of a collection, and of the largest group that is sorted in one.
-BITS, BLOCK, MOST = 1 << 27, 1 << 14, 1 << 14
+#: Segments of a collection, and of the largest group that is sorted in one.
+BLOCK, MOST = 1 << 14, 1 << 15
 _P = 0x9E3779B97F4A7C15
 _SEGMENT = "gram long, key binary, at int, first int, bytes binary"
 _SPAN = "key binary, start int, end int"
@@ -106,29 +107,6 @@ class Grams:
         return at, np.concatenate(values)[first].view(np.int64)
 
 
-def bitmap(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Words of 64 bits, one bit for each value of hashes(h) by its highest bits; at most bits / 64 rows reach the driver."""
-    word = (bits // 64).bit_length() - 1
-    marks = hashes.selectExpr(f"shiftrightunsigned(h, {64 - word}) AS w", f"shiftleft(1L, CAST(shiftrightunsigned(h, {58 - word}) & 63 AS int)) AS m")
-    found = marks.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[found["w"].to_numpy(np.int64)] = found["m"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
-def marked(words: np.ndarray, h: np.ndarray) -> np.ndarray:
-    word = np.uint64(len(words).bit_length() - 1)
-    h = h.view(np.uint64)
-    return (words[h >> (np.uint64(64) - word)] >> ((h >> (np.uint64(58) - word)) & np.uint64(63))) & np.uint64(1) == 1
-
-
-def _in(words: np.ndarray):
-    """A column function: whether a long may be among a bitmap's."""
-    import pandas as pd
-
-    return F.pandas_udf(lambda h: pd.Series(marked(words, h.to_numpy(np.int64))), "boolean")
-
-
 def _counted(grams: Grams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 256):
@@ -141,17 +119,33 @@ def _counted(grams: Grams):
 
 
 def _segments(grams: Grams, words: np.ndarray):
+    """Segments of a text's grams that may be repeated. Of equal ones in a text one is sent; as they are repeats, spans of all are rows without bytes."""
     reach = grams.length - grams.gram
 
+    def of_text(text: bytes) -> tuple[list[tuple], list[tuple[int, int]]]:
+        at, h = grams.anchors(text)
+        hit = marked(words, h)
+        sent: dict[bytes, list] = {}
+        spans: list[tuple[int, int]] = []
+        for p, g in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
+            first = max(p - reach, 0)
+            own = text[first : p + grams.gram + reach]
+            if (seen := sent.setdefault(xxhash.xxh3_128_digest(own, p - first), [p, g, first, len(own)]))[0] == p:
+                continue
+            for s, e in ((seen[2], seen[2] + seen[3]), (first, first + len(own))) if seen[3] >= grams.length else ():
+                if spans and spans[-1][0] <= s <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
+                else:
+                    spans.append((s, e))
+        return [(g, p, first, text[first : first + n]) for p, g, first, n in sent.values()], spans
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 256):
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, h = grams.anchors(text)
-                hit = marked(words, h)
-                for p, g in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
-                    first = max(p - reach, 0)
-                    out.append((g, key, p, first, text[first : p + grams.gram + reach]))
+                found, spans = of_text(text)
+                out += [(g, key, *rest) for g, *rest in found]
+                out += [(0, key, s, e, None) for s, e in set(spans)]
             for i in range(0, len(out), 4096):
                 columns = zip(*out[i : i + 4096], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["gram", "key", "at", "first", "bytes"])
@@ -253,13 +247,15 @@ def halved(segments: DataFrame, length: int, gram: int, hot: int = HOT) -> DataF
     """Spans (key, start, end) of repeated strings in segments of any number for each gram."""
     reach = length - gram
     state = segments.select(F.lit(b"").alias("shared"), "key", "at", "first", "bytes", F.lit(0).alias("lo"), F.lit(reach).alias("hi"))
-    width, out = reach + 1, None
+    width, out, before = reach + 1, None, []
     while out is None:
         ranges = cut(state.mapInArrow(_halved(reach, gram, length), "shared binary, key binary, at int, first int, bytes binary, lo int, hi int"), "ranges")
         counts = cut(ranges.groupBy("shared").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+        discard(*before)
+        before = [ranges, counts]
         width = -(-width // 2)
         if width > 1:
-            near = _in(bitmap(counts.select(F.xxhash64("shared").alias("h"))))
+            near = among(bitmap(counts.select(F.xxhash64("shared").alias("h"))))
             state = ranges.where(near(F.xxhash64("shared")))
         else:
             # One string each: frequent ones are known to every task, those that are left have few rows each.
@@ -271,20 +267,26 @@ def halved(segments: DataFrame, length: int, gram: int, hot: int = HOT) -> DataF
 
 
 def spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """(key, start, end) of bytes to remove from texts(key, text), all of them different."""
+    """(key, found) of texts(key, text), all of them different: found are the spans of bytes to remove, start and end, which may overlap."""
     spark, grams, reach = texts.sparkSession, Grams(length, gram), length - gram
     long_ = texts.where(F.octet_length("text") >= length)
-    counted = long_.select("text").mapInArrow(_counted(grams), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    segments = cut(long_.select("key", "text").mapInArrow(_segments(grams, bitmap(counted)), _SEGMENT), "segments")
-    sizes = cut(segments.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    total, largest = sizes.where("n > 1").agg(F.sum("n"), F.max("n")).first()
+    counted = cut(long_.select("text").mapInArrow(_counted(grams), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "grams")
+    found = cut(long_.select("key", "text").mapInArrow(_segments(grams, bitmap(counted)), _SEGMENT), "segments")
+    own = found.where("bytes IS NULL").select("key", F.col("at").alias("start"), F.col("first").alias("end"))
+    segments = found.where("bytes IS NOT NULL")
+    sizes = cut(segments.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
     few, many = segments, None
     if (largest or 0) > most:
-        big = _in(bitmap(sizes.where(F.col("n") > most).select(F.col("gram").alias("h"))))
+        big = among(bitmap(sizes.where(F.col("n") > most).select(F.col("gram").alias("h"))))
         few, many = segments.where(~big("gram")), segments.where(big("gram"))
     dealt = few.repartition(max(tasks(spark), -(-(total or 0) // (2 * block))), "gram").sortWithinPartitions("gram")
-    out = dealt.mapInArrow(_collections(reach, length, block), _SPAN)
-    return out if many is None else out.union(halved(many, length, gram).select("key", F.col("start").cast("int"), F.col("end").cast("int")))
+    out = own.union(dealt.mapInArrow(_collections(reach, length, block), _SPAN))
+    if many is not None:
+        out = out.union(halved(many, length, gram).select("key", F.col("start").cast("int"), F.col("end").cast("int")))
+    out = cut(out.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("found")), "spans")
+    discard(counted, found, sizes)
+    return out
 
 
 def merged(found: list[dict]) -> list[tuple[int, int]]:
@@ -314,16 +316,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     data = raw(f"own.`{text}`")
     rows = docs.select(F.struct("*").alias("own")).select("own", F.unhex(F.substring(F.sha2(data, 256), 1, 32)).alias("key")).withColumn("h", F.xxhash64("key"))
     classes = cut(rows.groupBy("key", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "classes")
-    again = _in(bitmap(classes.select("h")))
+    again = among(bitmap(classes.select("h")))
     keyed = rows.select("key", "h", data.alias("text"))
     # Of texts that come twice one is searched; their rows are a part of the table, and equal ones meet before the shuffle.
     firsts = cut(keyed.where(again("h")).groupBy("key").agg(F.first("text").alias("text")), "firsts")
     texts = keyed.where(~again("h")).select("key", "text").union(firsts)
     found = spans(texts, length, gram, most, block)
-    found = cut(found.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("found")), "spans")
+    discard(firsts)
     least = heaviest(classes)
     often = F.broadcast(classes.where(F.col("n") >= least).select("key", F.lit(True).alias("whole")))
-    some = _in(bitmap(classes.select("h").union(found.select(F.xxhash64("key").alias("h")))))
+    some = among(bitmap(classes.select("h").union(found.select(F.xxhash64("key").alias("h")))))
     none = F.array().cast(_SPANS)
     long_ = F.octet_length(data) >= length
     # Rows of no such class or span need nothing more.
