@@ -104,7 +104,8 @@ class Grams:
         if not places:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         at, first = np.unique(np.concatenate(places), return_index=True)
-        return at, np.concatenate(values)[first].view(np.int64)
+        # Least hashes begin with zeros; a product spreads them over all values again.
+        return at, (np.concatenate(values)[first] * np.uint64(_P)).view(np.int64)
 
 
 def _counted(grams: Grams):

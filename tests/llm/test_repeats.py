@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tallyforge.llm import registry, repeats
+from tallyforge.llm import common, registry, repeats
 
 SCHEMA = "doc_id long, text string, key string, own string"
 
@@ -81,6 +81,16 @@ def test_hashes_move_with_their_grams():
     assert own.dtype == np.uint64 and (moved[17:] == own).all() and len(np.unique(own)) == len(own)
 
 
+def test_bitmaps_let_few_anchors_through(spark):
+    """Anchors are least hashes, yet a bitmap of others' knows them for none of its own."""
+    grams = repeats.Grams(200, 64)
+    rng = random.Random(6)
+    _, own = grams.anchors(bytes(rng.choices(b"abcdefgh ", k=100_000)))
+    _, other = grams.anchors(bytes(rng.choices(b"abcdefgh ", k=100_000)))
+    words = common.bitmap(spark.createDataFrame([(int(h),) for h in own], "h long"))
+    assert common.marked(words, own).all() and common.marked(words, other).mean() < 0.1
+
+
 def test_columns_against_comparison():
     rng = random.Random(8)
     segments = [bytes(rng.choices(b"ab", k=rng.randint(5, 20))) for _ in range(60)]
