@@ -3,7 +3,8 @@
 Files are read by Spark's own reader, wherever they are. What is inside comes
 from a backend, a picklable function from a file's bytes to its pages, called in
 Arrow batches; a file that it fails on is a row with an error, not a failed job.
-No backend is shipped: the container has no PDF library.
+Files with text of their own need no backend: ``pdf_pages`` reads those. Others,
+for recognition or a library's own reading, are given by the caller.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 PAGE = "page_no int, text string, has_images boolean, tables array<array<array<string>>>, table_source string"
+PAGE_COLUMNS = ["doc_id", "page_no", "text", "has_images", "tables", "table_source", "error"]
 PAGES = f"doc_id string, {PAGE}, error string"
 #: From a file's bytes to dicts with the fields of PAGE.
 Backend = Callable[[bytes], list[dict]]
