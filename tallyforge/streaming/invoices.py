@@ -1,13 +1,18 @@
-"""Documents as they arrive: the batch operators on a stream of page files."""
+"""Documents as they arrive: the batch operators on a stream of page files or of PDF files."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.invoice import parse
 from ..operators.validate import validated
+from ..sources import batch as files_batch
 
 
 def arriving(spark: SparkSession, path: str, schema: str = "doc_id string, source_file string, text string, arrived timestamp") -> DataFrame:
@@ -29,3 +34,60 @@ def statuses(docs: DataFrame, out: str, checkpoint: str, as_of: str) -> Streamin
 def windowed_counts(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Documents by window and status."""
     return events.withWatermark("arrived", late).groupBy(F.window("arrived", every), "status").count()
+
+
+def repeated_numbers(rows: DataFrame, keep: str = "30 days", late: str = "1 hour") -> DataFrame:
+    """(number, source_file, arrived, earlier) of a stream with these columns: the file that had the number before, null for the first.
+
+    The state of a number is its last file. It goes when the watermark has passed
+    its last arrival by ``keep``; a number that comes again after that is new.
+    Files of a micro-batch count in order of arrival and name, so any cut into
+    micro-batches gives the same, and a restart goes on from the checkpoint. Rows
+    without a number are none's repeat and pass beside the state.
+    """
+    hold = int(pd.Timedelta(keep).total_seconds() * 1000)
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        own = pd.concat(list(frames)).sort_values(["arrived", "source_file"], kind="stable")
+        last, seen = state.get if state.exists else (None, 0)
+        earlier = [last, *own["source_file"].tolist()]
+        latest = max(seen, int(own["arrived"].max().timestamp() * 1000))
+        state.update((earlier[-1], latest))
+        # A time-out may not lie before the watermark, as a row within its lateness could ask for.
+        state.setTimeoutTimestamp(max(latest + hold, state.getCurrentWatermarkMs() + 1))
+        yield own.assign(number=key[0], earlier=earlier[:-1])[["number", "source_file", "arrived", "earlier"]]
+
+    rows = rows.select("number", "source_file", "arrived").withWatermark("arrived", late)
+    blank = F.trim(F.coalesce("number", F.lit(""))) == ""
+    schema = "number string, source_file string, arrived timestamp, earlier string"
+    found = rows.where(~blank).groupBy("number").applyInPandasWithState(follow, schema, "last string, seen long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.unionByName(rows.where(blank).withColumn("earlier", F.lit(None).cast("string")))
+
+
+def arriving_files(spark: SparkSession, path: str, at_once: int | None = None) -> DataFrame:
+    """PDF files of a folder as they arrive, as ``pdf.document_files`` has them, and their time of modification; ``at_once`` of them in a micro-batch at most."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.pdf")
+    rows = (reader if at_once is None else reader.option("maxFilesPerTrigger", at_once)).load(path)
+    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("source_file"), "length", "content", F.col("modificationTime").alias("arrived"))
+
+
+def file_statuses(files: DataFrame, out: str, quarantine: str, checkpoint: str, as_of: str, backend=None) -> StreamingQuery:
+    """From files' bytes to statuses, a micro-batch at a time: statuses of what can be read to ``out``, what can't be to ``quarantine`` with its error and bytes.
+
+    Each epoch has a folder of its own in both, written anew when the epoch is tried
+    again, so every file has one row in one of them.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        work = f"{out}/_work/epoch={epoch}"
+        docs = files_batch.documents(batch.select("path", "source_file", "length", "content"), backend, folder=work)
+        parsed = files_batch.kept(files_batch.invoices(docs, F.lit(as_of).cast("date")), work, "invoices")
+        good = parsed.where("pdf_type <> 'corrupt'")
+        good.select("source_file", "pdf_type", F.col("invoice_number.value").alias("number"), "grand_total_value", "validation.status").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        bad = parsed.where("pdf_type = 'corrupt'").select(F.col("doc_id").alias("path"), F.get("processing_errors", 0).alias("error"))
+        bad.join(batch.select("path", "source_file", "content", "arrived"), "path").write.mode("overwrite").parquet(f"{quarantine}/epoch={epoch}")
+
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -75,5 +75,5 @@ def test_batch_without_a_backend(spark):
     items = ["TAX INVOICE", "Acme Traders", "GSTIN: 27AABCS1234K1Z5", "Invoice No: INV/77", "Invoice Date: 12/05/2026", "Bill To", "Beta Stores", "Total Amount 118.00"]
     given = files(spark, bill=[[text(60, 60 + 20 * i, t) for i, t in enumerate(items)]], broken=b"%PDF-1.4 nothing")
     got = {r.doc_id: r for r in batch.invoices(batch.documents(given), F.lit("2026-06-01").cast("date")).collect()}
-    assert got["bill"].pdf_type == "digital" and got["bill"].invoice_number == "INV/77" and got["broken"].pdf_type == "corrupt"
+    assert got["bill"].pdf_type == "digital" and got["bill"].invoice_number.value == "INV/77" and got["broken"].pdf_type == "corrupt"
     assert got["broken"].processing_errors[0].startswith("Pipeline error")
