@@ -30,16 +30,40 @@ def slab_base(slab_count: Column, base: Column, subtotal: Column) -> Column:
     return F.when((base <= 0) & (slab_count == 1), subtotal).otherwise(base)
 
 
+#: Letters of a keyword that it is looked up by.
+_GRAM, _SHARES = 3, 16
+
+
+def _grams(text: Column, n: int = _GRAM) -> Column:
+    """All stretches of n letters of a text, each once; none of a shorter one."""
+    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(n))))
+
+
 def vendor_match(invoices: DataFrame, vendors: DataFrame, name: str = "seller", key: str = "doc_id") -> DataFrame:
     """invoices with vendor_code, gl_code and journal_type of the first vendor row whose keyword its seller's name contains.
 
-    vendors(seq, keyword, vendor_code, gl_code, journal_type) is looked up once
-    for each distinct seller name, so the keyword join doesn't grow with the
-    invoices; sizes decide how it is joined.
+    vendors(seq, keyword, vendor_code, gl_code, journal_type) of any number: each
+    keyword is filed under that of its three-letter stretches that the fewest
+    keywords have, each distinct seller name asks for its own stretches, and what
+    meets is compared in whole. Shorter keywords are filed under themselves; an
+    empty one is in every name.
     """
-    names = invoices.select(F.col(name).alias("_n")).distinct()
-    v = vendors.select("seq", F.upper("keyword").alias("_kw"), "vendor_code", F.col("gl_code").cast("string").alias("gl_code"), "journal_type")
-    best = names.join(v, F.upper("_n").contains(F.col("_kw"))).groupBy("_n").agg(F.min_by(F.struct("vendor_code", "gl_code", "journal_type"), "seq").alias("_v"))
+    names = invoices.select(F.col(name).alias("_n")).distinct().withColumn("_u", F.upper("_n"))
+    v = vendors.select("seq", F.upper("keyword").alias("_kw"), F.struct("vendor_code", F.col("gl_code").cast("string").alias("gl_code"), "journal_type").alias("_v")).where("_kw IS NOT NULL")
+    stretches = v.where(F.length("_kw") >= _GRAM).select("_kw").distinct().select("_kw", F.explode(_grams(F.col("_kw"))).alias("_g"))
+    often = stretches.groupBy("_g").agg(F.count(F.lit(1)).alias("_often"))
+    rarest = stretches.join(often, "_g").groupBy("_kw").agg(F.min_by("_g", F.struct("_often", "_g")).alias("_g"))
+    short = v.where(F.length("_kw").between(1, _GRAM - 1)).select("_kw").distinct().withColumn("_g", F.col("_kw"))
+    first = v.groupBy("_kw").agg(F.min("seq").alias("_seq"), F.min_by("_v", "seq").alias("_v"))
+    # An empty keyword is in every name; names ask for it in shares, so they don't meet in one place.
+    share = lambda c: F.concat(F.lit("\0"), c.cast("string"))
+    everywhere = first.where("_kw = ''").withColumn("_g", F.explode(F.transform(F.sequence(F.lit(0), F.lit(_SHARES - 1)), share)))
+    filed = rarest.unionByName(short).join(first, "_kw").unionByName(everywhere)
+    asks = F.concat(F.array(share(F.pmod(F.hash("_n"), F.lit(_SHARES)))), *(_grams(F.col("_u"), n) for n in range(1, _GRAM + 1)))
+    asked = names.where("_n IS NOT NULL").select("_n", "_u", F.explode(asks).alias("_g"))
+    found = asked.join(filed, "_g").where(F.col("_u").contains(F.col("_kw")))
+    best = found.groupBy("_n").agg(F.min_by("_v", "_seq").alias("_v"))
     return invoices.join(best, F.col(name) == F.col("_n"), "left").drop("_n")
 
 

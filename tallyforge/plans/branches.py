@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dates
 from ..operators import fields, invoice, journal, layout, lines, pages, taxes, validate
 from . import catalogue, star
 from . import constants as K
@@ -217,3 +218,25 @@ def q_blank_documents(spark, d):
     """Documents without a text have one error and no field."""
     p = invoice.parse(star.heads(spark, d).select("doc_id", F.lit(None).cast("string").alias("text")))
     return p.select("doc_id", F.array_join("processing_errors", ";").alias("errors"), F.col("overall_confidence").alias("confidence"))
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, o_orderkey % 12 AS k FROM orders) SELECT o_orderkey, strftime(CASE WHEN k = 5 THEN make_date(year(d), month(d), least(30, day(last_day(d)))) "
+    "WHEN k = 6 THEN make_date(2001, month(d), least(day(d), day(last_day(make_date(2001, month(d), 1))))) WHEN k = 7 THEN make_date(year(d), month(d), least(30, day(last_day(d)))) ELSE d END, '%d/%m/%Y') AS normal_date FROM o WHERE NOT (k = 6 AND month(d) = 2 AND day(d) = 29)"
+)
+def q_date_fuzzy(spark, d):
+    """Dates among other words: weekdays, ordinals, times, parts in any order, and parts that are missing."""
+    o = read(spark, d, "orders").withColumn("k", F.pmod("o_orderkey", F.lit(12)))
+    f = lambda p: F.date_format("o_orderdate", p)
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    shown = [
+        say("due on ", f("EEEE"), ", the ", f("d"), "th of ", f("MMMM"), " in ", f("yyyy")), say(f("yyyy"), " ", f("MMM"), " ", f("d")), say(f("MMM"), " the ", f("d"), " '", f("yy"), " at 10:45 pm"), say(f("yyyy"), " . ", f("M"), " . ", f("d")),
+        say("day ", f("d"), " month ", f("M"), " year ", f("yyyy")), say("for ", f("MMMM"), " ", f("yyyy")), say(f("d"), " ", f("MMMM"), " only"), say("period ", f("MM"), "/", f("yyyy")),
+        say("on ", f("yyyy"), ", ", f("MMMM"), " ", f("d")), say(f("dd"), " / ", f("MM"), " / ", f("yyyy"), " 09:00:00"), say(f("EEE"), " ", f("d"), " ", f("MMM"), " 08:15 ", f("yyyy")), say("issued ", f("MMMM"), " ", f("dd"), " of the year ", f("yyyy")),
+    ]
+    text = shown[0]
+    for i, s in enumerate(shown):
+        text = F.when(F.col("k") == i, s).otherwise(text)
+    # 29 February without its year is no date of the default's year.
+    o = o.where(~((F.col("k") == 6) & (f("MM-dd") == "02-29")))
+    return o.select("o_orderkey", dates.normal_date(text, default=F.lit("2001-01-30").cast("date")).alias("normal_date"))
