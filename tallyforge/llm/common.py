@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,21 +50,44 @@ def once(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
+#: Folders that cut() has written, for each settled() that is going on.
+_WRITTEN: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage ends here, lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     with once(spark):
         df.write.parquet(path)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what cut() wrote for these, once no result reads it any more."""
     for df in tables:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, folder)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """cut() of what make() gives; what it has cut on the way is deleted, as only the result is read from here on."""
+    _WRITTEN.append([])
+    try:
+        df = make()
+    finally:
+        written = _WRITTEN.pop()
+    out = cut(df, name)
+    for folder in written:
+        _delete(df.sparkSession, folder)
+    return out
 
 
 def raw(text: str) -> F.Column:

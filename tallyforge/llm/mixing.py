@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import WORD, cut, joined_by_weight, table
+from .common import WORD, cut, joined_by_weight, settled, table
 
 CYCLE, MOST, SEED, LIMIT, FILLS = (5.0, 2.0, 1.0), 3, 20240229, 1 << 20, 3
 #: Up to so many patterns their rows are broadcast; more are joined by key.
@@ -225,5 +225,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row as many times as it is taken."""
     rows = cut(docs.select(F.struct("*").alias("own"), F.monotonically_increasing_id().alias("_row")), "rows")
     sized = cut(_sized(rows.select("own.doc_id", "own.text", "own.source", F.col("_row").alias("_own"))).drop("_row").withColumnRenamed("_own", "_row").select(*_ASKED), "sizes")
-    times = mix(sized).where("_times > 0").select("_row", "_times")
+    times = settled(lambda: mix(sized).where("_times > 0").select("_row", "_times"), "times")
     return rows.join(times, "_row").select("own", F.explode(F.sequence(F.lit(1), "_times"))).select("own.*")

@@ -92,3 +92,42 @@ def test_null_and_repeated_ids_lose_only_copies(spark, stage):
     rows = [(None, text[0]), (None, text[1]), (None, text[1]), (7, text[2]), (7, text[3]), (7, text[3]), (None, text[4]), (9, text[4]), (8, text[5]), (6, text[5])]
     got = sorted(map(repr, map(tuple, stage(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").collect())))
     assert got == sorted(map(repr, [(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (9, text[4]), (6, text[5])]))
+
+
+def chain(n):
+    """n texts in a chain: each is a near copy of the next, and of few others, so a band of them must be met in whole."""
+    rng = random.Random(4)
+    words = [f"c{rng.randrange(10**6)}" for _ in range(120 + 3 * n)]
+    return [" ".join(words[3 * i : 3 * i + 120]) for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_components_do_not_depend_on_blocks(spark, block):
+    """A chain, a large group of copies with strays, and texts that share a passage: one document stays of each component, whatever the blocks."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(150)]
+    texts = chain(40)
+    for i in range(70):
+        edits = dict.fromkeys(rng.sample(range(150), 2 if i % 9 else 5), "edited")
+        texts.append(" ".join(edits.get(k, w) + (str(i) if k in edits else "") for k, w in enumerate(base)))
+    passage = [word() for _ in range(100)]
+    texts += [" ".join([*(word() for _ in range(30)), *passage, *(word() for _ in range(30))]) for _ in range(40)]
+    rng.shuffle(texts)
+    assert left_of(spark, texts, block) == sorted(set(components(texts)))
+
+
+def test_a_shared_passage_makes_few_pairs(spark):
+    """700 texts that have 400 of 650 words in common: all stay, and next to no pair is verified."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(400)]
+    texts = [" ".join([*(word() for _ in range(125)), *passage, *(word() for _ in range(125))]) for _ in range(700)]
+    asked = []
+    whole = near_copies.verified
+    try:
+        near_copies.verified = lambda pairs, t: asked.append(pairs.count()) or whole(pairs, t)
+        assert len(left_of(spark, texts, 1024)) == 700
+    finally:
+        near_copies.verified = whole
+    assert len(asked) == 2 and sum(asked) < 700
