@@ -171,6 +171,4 @@ def upload_format(rows: DataFrame) -> DataFrame:
 
 def guide(spark) -> DataFrame:
     """What stands in which journal column."""
-    heads = [c for n, c in enumerate(K.JOURNAL_COLUMNS[:45], 1) if n not in (1, 12)]
-    rows = [(i, h, d) for i, (h, d) in enumerate(zip(heads, K.JOURNAL_GUIDE, strict=True))]
-    return spark.createDataFrame(rows, "seq int, head string, details string")
+    return spark.createDataFrame([(i, *row) for i, row in enumerate(K.JOURNAL_GUIDE)], "seq int, head string, details string")

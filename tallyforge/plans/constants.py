@@ -155,15 +155,52 @@ JOURNAL_COLUMNS = (
     "Taxable on Amount", "Reverse Charge (Y/N)", "Reverse charge %", "Item Details (Sr.No)", "Goods/Service", "GST Tax Rate",
     "Orginal Invoice no for Dr/Cr Notes", "Advance Challan No ", *(f"Addl Description {n}" for n in range(15, 26)),
 )
-# fixed values: the guide's remark on each journal column, from the second to the forty-fifth but the twelfth
+# fixed values: journal columns and what stands in each, as the guide prints them
 JOURNAL_GUIDE = (
-    "Period of entry", "Date of entry", "Respective GL code", "INR", "Amount", "Debit or Credit", "SEXPS or HEXPS", "Not applicable",
-    "Vendor code and Name", "Nature of expenses", "to be blank", "to be blank", "to be blank", "to be blank", "Branch code", "Not applicable",
-    "Respective channel code", "Not applicable", "Not applicable", "Not applicable", "TD01  if TDS applicable", None, "Not applicable", "Vendor code",
-    "Invoice date", "Not applicable", "Not applicable", None, None, "Vendor GST number", "Vendor invoice number", "NEFT or Cheque", "Not applicable",
-    "Not applicable", "As per invoice", "Invoice value for GST", "Not applicable", "Not applicable", "Not applicable", "Not applicable", "GST rate",
-    "RS GST number", "Respective expenses account code",
-)
+    ("Acc Period", "Period of entry"),
+    ("Trans Date", "Date of entry"),
+    ("Account Code", "Respective GL code"),
+    ("Curr Code", "INR"),
+    ("Trans Amount", "Amount"),
+    ("Dr_Cr", "Debit or Credit"),
+    ("Jrnal Type", "SEXPS or HEXPS"),
+    ("Jrnal Source", "Not applicable"),
+    ("Reference", "Vendor code and Name"),
+    ("Description", "Nature of expenses"),
+    ("Asset Code", "to be blank"),
+    ("Asset Indicator", "to be blank"),
+    ("Asset / Item Qty", "to be blank"),
+    ("Due Date", "to be blank"),
+    ("Branch Analysis Code", "Branch code"),
+    ("Product  Analysis Code", "Not applicable"),
+    ("ChannelAnalysisCode", "Respective channel code"),
+    ("Sub-Channel  Analysis Code", "Not applicable"),
+    ("Underwriting Year  Analysis Code", "Not applicable"),
+    ("Employee Code  Analysis Code", "Not applicable"),
+    ("TDS Applicability  Analysis Code", "TD01  if TDS applicable"),
+    ("Department   Analysis Code", None),
+    ("Sequence Code  Analysis Code", "Not applicable"),
+    ("Vendor Code  Analysis Code", "Vendor code"),
+    ("Invoice Date", "Invoice date"),
+    ("From Date", "Not applicable"),
+    ("To Date", "Not applicable"),
+    ("Addl Date 4", None),
+    ("Addl Date 5", None),
+    ("Cheque & NEFT Number", "Vendor GST number"),
+    ("Invoice Number", "Vendor invoice number"),
+    ("Additional Remarks", "NEFT or Cheque"),
+    ("Àdditional Remarks 2", "Not applicable"),
+    ("CREDENCE DESCRIPTION", "Not applicable"),
+    ("HSN/SAC NO", "As per invoice"),
+    ("Taxable on Amount", "Invoice value for GST"),
+    ("Reverse Charge (Y/N)", "Not applicable"),
+    ("Reverse charge %", "Not applicable"),
+    ("Item Details (Sr.No)", "Not applicable"),
+    ("Goods/Service", "Not applicable"),
+    ("GST Tax Rate", "GST rate"),
+    ("Orginal Invoice no for Dr/Cr Notes", "RS GST number"),
+    ("Advance Challan No ", "Respective expenses account code"),
+)
 SUMMARY_COLUMNS = (
     "S.No", "Source File", "PDF Type", "Invoice Number", "Invoice Date", "Seller Name", "Seller GSTIN", "Buyer GSTIN", "Subtotal (₹)", "Total Tax (₹)",
     "Grand Total (₹)", "Line Items", "Validation Status", "Confidence", "Errors",
