@@ -332,13 +332,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     # Rows of no such class or span need nothing more.
     plain = rows.where(~some("h")).select("own", none.alias("removed"), data.alias("kept"))
     met = rows.where(some("h")).join(often, "key", "left")
-    all_of = met.where(F.col("whole") & long_).select("own", F.array(F.struct(F.lit(0).alias("start"), F.octet_length(data).alias("end"))).cast(_SPANS).alias("removed"), F.lit(b"").alias("kept"))
-    short = met.where(F.col("whole") & ~long_).select("own", none.alias("removed"), data.alias("kept"))
+    every = F.array(F.struct(F.lit(0).alias("start"), F.octet_length(data).alias("end"))).cast(_SPANS)
+    common = met.where("whole").select("own", F.when(long_, every).otherwise(none).alias("removed"), F.when(long_, F.lit(b"")).otherwise(data).alias("kept"))
     rest = met.where(F.col("whole").isNull()).drop("whole")
     rest = rest.join(classes.where(F.col("n") < least).select("key", F.lit(True).alias("twice")), "key", "left").join(found, "key", "left")
     rest = rest.select("own", data.alias("text"), (F.coalesce("twice", F.lit(False)) & long_).alias("whole"), "found")
     schema = T.StructType([T.StructField("own", rows.schema["own"].dataType), T.StructField("removed", _SPANS), T.StructField("kept", T.BinaryType())])
-    return plain.union(all_of).union(short).union(rest.mapInArrow(_left, schema))
+    return plain.union(common).union(rest.mapInArrow(_left, schema))
 
 
 def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
