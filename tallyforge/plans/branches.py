@@ -240,3 +240,36 @@ def q_date_fuzzy(spark, d):
     # 29 February without its year is no date of the default's year.
     o = o.where(~((F.col("k") == 6) & (f("MM-dd") == "02-29")))
     return o.select("o_orderkey", dates.normal_date(text, default=F.lit("2001-01-30").cast("date")).alias("normal_date"))
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id, event_id, ((value - 3) + (value + 3)) / 2 AS c, CASE WHEN event_id % 3 = 0 THEN '|' ELSE concat(event_type, event_id) END AS t, row_number() OVER (PARTITION BY user_id ORDER BY ((value - 3) + (value + 3)) / 2, event_id) AS n FROM events), "
+    "r AS (SELECT user_id, event_id, t, n, c AS mean, 1 AS k, 0 AS line FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.t, e.n, CASE WHEN abs(mean - c) > 0.35 THEN c ELSE mean + (c - mean) / (k + 1) END, "
+    "CASE WHEN abs(mean - c) > 0.35 THEN 1 ELSE k + 1 END, line + CASE WHEN abs(mean - c) > 0.35 THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1), "
+    "l AS (SELECT user_id, line, string_agg(t, ' ' ORDER BY event_id) AS line_text FROM r GROUP BY ALL) "
+    "SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY line) - 1)::INT AS line_no, line_text FROM l WHERE line_text <> '|'"
+)
+def q_ocr_lines(spark, d):
+    """Recognised words to lines by running means, without a Python worker."""
+    e = read(spark, d, "events")
+    t = F.when(F.pmod("event_id", F.lit(3)) == 0, "|").otherwise(F.concat("event_type", F.col("event_id").cast("string")))
+    words = e.select(F.col("user_id").alias("doc_id"), F.lit(1).alias("page_no"), t.alias("text"), F.col("event_id").cast("double").alias("x0"), (F.col("value") - 3).alias("y0"), (F.col("value") + 3).alias("y1"))
+    return layout.ocr_lines(words, dpi=3).select(F.col("doc_id").alias("user_id"), "line_no", F.col("line").alias("line_text"))
+
+
+@query(
+    "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'E1' WHEN 2 THEN 'E1; E2' ELSE 'E1; E2; E3' END AS errors, concat(round(100 * (o_orderkey % 101) / 100.0)::INT, '%') AS confidence, "
+    "coalesce(CASE WHEN o_orderkey % 4 < 3 THEN ['PASS', 'WARNING', 'FAIL'][(o_orderkey % 4 + 1)::INT] END, 'N/A') AS status FROM orders"
+)
+def q_summary_errors(spark, d):
+    """The summary's first three of any number of errors, statuses of what was never checked, and confidences."""
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    value = lambda v: F.struct(v.alias("value"))
+    status = F.get(F.array(F.lit("PASS"), F.lit("WARNING"), F.lit("FAIL")), F.pmod(k, F.lit(4)).cast("int"))
+    errors = F.slice(F.array(*(F.lit(f"E{i}") for i in range(1, 6))), 1, F.pmod(k, F.lit(6)).cast("int"))
+    i = read(spark, d, "orders").select(
+        k.alias("doc_seq"), k.alias("o_orderkey"), F.lit("f").alias("source_file"), F.lit("digital").alias("pdf_type"), value(none).alias("invoice_number"), value(none).alias("invoice_date"), F.struct(none.alias("name"), none.alias("gstin")).alias("seller"),
+        F.struct(none.alias("gstin")).alias("buyer"), F.lit(0.0).alias("subtotal"), F.lit(0.0).alias("total_tax"), F.lit(0.0).alias("grand_total_value"), F.array().alias("line_items"), (F.pmod(k, F.lit(101)) / 100).alias("overall_confidence"), errors.alias("processing_errors"), status.alias("status"),
+    )
+    s = invoice.summary(i, F.col("status"))
+    return s.select((F.col("ordinal") - 1).alias("o_orderkey"), "errors", "confidence", "status")
