@@ -27,9 +27,8 @@ def _usable(number: Column) -> Column:
     return number.isNotNull() & ~F.lower(number).isin(*K.NOT_A_NUMBER) & (number != "")
 
 
-def fiscal_year_shapes(years: tuple[int, ...] = (25, 26)) -> list[str]:
-    """Numbers with a fiscal year inside, such as AB/25-26/0012, for years that begin in those given."""
-    year = "(?:" + "|".join(f"{y}-?{y + 1}" for y in years) + ")"
+def fiscal_year_shapes(year: str = K.FISCAL_YEAR) -> list[str]:
+    """Numbers with a fiscal year inside, such as AB/25-26/0012, for years of a pattern."""
     return [rf"\b([A-Z0-9]{{2,5}}/[A-Z0-9\-]+/{year}/\d{{2,6}})\b", rf"\b([A-Z0-9]{{2,5}}/{year}/\d{{2,6}})\b", rf"\b([A-Z0-9]{{3,5}}-{year}-\d{{2,6}})\b"]
 
 

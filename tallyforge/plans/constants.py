@@ -206,5 +206,8 @@ SUMMARY_COLUMNS = (
     "Grand Total (₹)", "Line Items", "Validation Status", "Confidence", "Errors",
 )
 
+# fixed values: fiscal years inside an invoice number
+FISCAL_YEAR = r"2[56]-?2[67]"
+
 # limits
 PAGE_CHARS, FILL_DIGITAL, FILL_OCR, TOLERANCE, VISION_TOLERANCE, HIGH, MEDIUM = 50, 0.15, 0.02, 2.0, 1.0, 0.95, 0.75
