@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import layout, rasters
 from .catalogue import query
-from .star import read
+from .star import read, spread
 
 
 def _drawn(spark: SparkSession, d: str, draw: Callable[[int], np.ndarray]) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            pages = [(str(k), 1, draw(k)) for k in f["s_suppkey"]]
-            yield pd.DataFrame([(k, n, g.shape[1], g.shape[0], g.tobytes()) for k, n, g in pages], columns=["doc_id", "page_no", "width", "height", "grey"])
+    def run(key: int) -> list[tuple]:
+        g = draw(key)
+        return [(g.shape[1], g.shape[0], g.tobytes())]
 
-    return read(spark, d, "supplier").select("s_suppkey").mapInPandas(run, rasters.RASTER)
+    keys = spread(read(spark, d, "supplier").select("s_suppkey"), "s_suppkey")
+    page = F.udf(run, "array<struct<width: int, height: int, grey: binary>>", useArrow=False)("s_suppkey")
+    return keys.select(F.col("s_suppkey").cast("string").alias("doc_id"), F.lit(1).alias("page_no"), F.inline(page))
 
 
 def ruled_page(key: int) -> np.ndarray:
@@ -66,5 +66,5 @@ def q_image_cells(spark, d):
 def q_image_skew(spark, d):
     """Skew of drawn pages to the nearest degree, and whether what straightening gives has less than half a degree left."""
     once = rasters.straightened(_drawn(spark, d, turned_page))
-    again = rasters.straightened(once).select("doc_id", (F.abs("skew") <= 0.5).alias("straight"))
-    return once.select("doc_id", F.round("skew").cast("int").alias("degrees")).join(again, "doc_id").select(F.col("doc_id").cast("long").alias("s_suppkey"), "degrees", "straight")
+    again = rasters.straightened(once.withColumnRenamed("skew", "first"))
+    return again.select(F.col("doc_id").cast("long").alias("s_suppkey"), F.round("first").cast("int").alias("degrees"), (F.abs("skew") <= 0.5).alias("straight"))

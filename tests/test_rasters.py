@@ -77,3 +77,16 @@ def test_looks_of_cells(tmp_path):
     assert fill(one, "A1") == workbook.FILLS["header"] == fill(two, "A1") and look(one, "A1")[1] == "1"
     assert [fill(one, f"B{i}") for i in (2, 3, 4)] == [workbook.FILLS[s] for s in ("PASS", "FAIL", "WARNING")] and fill(two, "A2") == workbook.FILLS["PASS"]
     assert look(one, "C2")[0] == "164" and look(one, "C3")[0] == "0" and not fill(one, "C4") and workbook.CURRENCY in style
+
+
+def test_pages_at_once(spark):
+    """Pages are dealt to many tasks, and a worker holds few of them at a time, whatever the table's files are."""
+    from tallyforge.plans import scans
+
+    frame = scans.q_image_skew(spark, "/root/testdata/sf0.01")
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and plan.count("RepartitionByExpression") == 1 and plan.count("BatchEvalPython") == 3
+    assert frame.count() == 100
+    grey = np.full((40, 60), 255, np.uint8)
+    rows = spark.createDataFrame([("a", 1, 60, 40, bytearray(grey.tobytes()), "kept")], rasters.RASTER + ", more string")
+    assert rasters.straightened(rows).select("doc_id", "more", "skew").collect() == [("a", "kept", 0.0)] and rasters.cells(rows).count() == 0
