@@ -77,3 +77,20 @@ def test_batch_without_a_backend(spark):
     got = {r.doc_id: r for r in batch.invoices(batch.documents(given), F.lit("2026-06-01").cast("date")).collect()}
     assert got["bill"].pdf_type == "digital" and got["bill"].invoice_number.value == "INV/77" and got["broken"].pdf_type == "corrupt"
     assert got["broken"].processing_errors[0].startswith("Pipeline error")
+
+
+def test_files_dealt_to_tasks(spark):
+    """Orders lie in one row group, and so would their files in one task."""
+    from tallyforge.plans import documents
+
+    for frame in (documents.letters(spark, "/root/testdata/sf0.001"), documents.ruled(spark, "/root/testdata/sf0.001")):
+        assert frame.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert sum(n > 0 for n in frame.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) > 1
+
+
+def test_packed_objects_are_unpacked_once(monkeypatch):
+    seen = []
+    decoded = pdf_objects.File._decoded
+    monkeypatch.setattr(pdf_objects.File, "_decoded", lambda self, head, body: seen.append(head.get("Type")) or decoded(self, head, body))
+    assert len(list(pdf_objects.drawn(pdf_print.printed([[text(72, 100, "a")]] * 3, "packed")))) == 3
+    assert seen.count("ObjStm") == 1
