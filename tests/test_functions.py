@@ -56,3 +56,16 @@ def test_computed_replaces_and_keeps(spark, n):
     df = spark.createDataFrame([(1, "a"), (2, None)], "i int, c string").repartition(n)
     got = layers.computed(df, {"c": F.upper("c"), "d": layers.let(F.col("i"), lambda x: x + x)}).orderBy("i").collect()
     assert [(r.i, r.c, r.d) for r in got] == [(1, "A", 2), (2, None, 4)]
+
+
+def test_arguments_are_worked_out_once(spark):
+    """What a function takes may be a search in a long text: a lambda's argument isn't shared by Spark."""
+    from tallyforge.operators import tables
+
+    asked = F.regexp_extract("t", "(.+)", 1)
+    df = spark.createDataFrame([("a.b Qty RATE",), (None,), ("27AAB0I1234K1Z5",), ("",)], "t string")
+    for made in (ids.normal_gstin(asked), ids.hashed_code(asked), text.contains_any(asked, ("q", "x.y", "Qty")), text.count_of(asked, ("a", "b", "Qty")), tables.column_field(asked)):
+        plan = df.select(made.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract(") == 1
+    got = df.select(text.contains_any(F.col("t"), ("a.b",)).alias("a"), text.contains_any(F.col("t"), ("a.c", ".B")).alias("b"), text.contains_any(F.col("t"), ()).alias("none"), text.count_of(F.col("t"), ("a.b", ".b", "Q", "z")).alias("n"))
+    assert [tuple(r) for r in got.collect()] == [(True, False, False, 3), (None, None, False, None), (False, False, False, 0), (False, False, False, 0)]
