@@ -248,3 +248,12 @@ def test_repeated_ids_keep_their_own_items(spark):
     d = docs(spark, PAGE, PAGE.replace("Invoice No", "Invoice Number"), "nothing").withColumn("doc_id", F.when(F.col("doc_id") != "d2", "same") if dict(docs(spark, PAGE).dtypes)["doc_id"] == "string" else F.lit(None).cast("long"))
     sizes = sorted(len(r.line_items) for r in invoice.parse(d).select("line_items").collect())
     assert len(sizes) == 3 and sizes[0] == 0 and sizes[1] == sizes[2] == len(invoice.parse(docs(spark, PAGE)).first().line_items)
+
+
+def test_heads_are_met_once(spark):
+    """Taxes of printed and of structured invoices don't work out the invoices' heads a second time."""
+    from tallyforge.plans import catalogue, star
+
+    d = "/root/testdata/sf0.001"
+    for frame in (star.printed(spark, d), catalogue._invoices(spark, d)):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("Relation [c_custkey") == 1
