@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,15 +56,25 @@ def _lines(min_chars: int):
     return run
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in parts(batches):
-        n_lines, n_dropped, kept = [], [], []
-        for text, dropped in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
-            lines, gone = text.split(b"\n"), {i for part in dropped or () for i in part}
-            n_lines.append(len(lines))
-            n_dropped.append(len(gone))
-            kept.append(b"\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
-        yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary())], ["own", "n_lines", "n_dropped", "kept"])
+def _rebuild(column: str):
+    """Rows without their common lines; the text is read where it stands in its row, so it travels once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            texts = pc.struct_field(batch.column("own"), column).cast(pa.binary())
+            yield _without(batch.column("own"), [t or b"" for t in texts.to_pylist()], batch.column("at").to_pylist())
+
+    return run
+
+
+def _without(own: pa.Array, texts: list[bytes], at: list) -> pa.RecordBatch:
+    n_lines, n_dropped, kept = [], [], []
+    for text, dropped in zip(texts, at, strict=True):
+        lines, gone = text.split(b"\n"), {i for part in dropped or () for i in part}
+        n_lines.append(len(lines))
+        n_dropped.append(len(gone))
+        kept.append(b"\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
+    return pa.RecordBatch.from_arrays([own, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary())], ["own", "n_lines", "n_dropped", "kept"])
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -78,9 +89,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     common = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     lines = lines.withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS)))
     gone = lines.join(common, ["hash", "salt"], "left_semi").groupBy("row").agg(F.collect_set("at").alias("at"))
-    rows = rows.select("own", raw(f"own.`{text}`").alias("text"), "row").join(gone, "row", "left").drop("row")
+    rows = rows.join(gone, "row", "left").select("own", "at")
     schema = T.StructType([T.StructField("own", docs.schema), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.BinaryType())])
-    return rows.mapInArrow(_rebuild, schema)
+    return rows.mapInArrow(_rebuild(text), schema)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,13 +130,25 @@ def _blocking_flow(graph: list[list[int]], to: list[int], room: list[float], sin
             path.pop()
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with _nth: 0, but for rows that share id and text with another, where it tells them apart. Without _row they are not."""
+_SAME = ["_key", "_text"]
+
+
+def _again(docs: DataFrame) -> DataFrame | None:
+    """Ids and texts that several rows share, with the first of them; None if there are none, or no _row to tell rows apart by."""
     if "_row" not in docs.columns:
-        return docs.withColumn("_nth", F.lit(0))
-    same = ["_key", "_text"]
-    again = cut(docs.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("_first")).where("n > 1"), "again")
-    return joined_by_weight(docs, again, same).withColumn("_nth", F.coalesce(F.col("_row") - F.col("_first"), F.lit(0))).drop("n", "_first")
+        return None
+    again = cut(docs.groupBy(*_SAME).agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("_first")).where("n > 1"), "again")
+    return None if again.isEmpty() else again
+
+
+def _hashed(docs: DataFrame, again: DataFrame | None, seed: int = SEED) -> DataFrame:
+    """docs with _pattern and _u, the row's hash. Rows that share id and text with another are told apart by _nth, which is 0 for all others."""
+    if again is None:
+        docs = docs.withColumn("_nth", F.lit(0).cast("long") if "_row" in docs.columns else F.lit(0))
+    else:
+        docs = joined_by_weight(docs, again, _SAME).withColumn("_nth", F.coalesce(F.col("_row") - F.col("_first"), F.lit(0))).drop("n", "_first")
+    pattern = F.to_json(F.struct(F.array_sort(F.array_distinct("_sources")).alias("s")))
+    return docs.withColumn("_pattern", pattern).withColumn("_u", F.xxhash64(F.lit(seed), *(c for c in ("_key", "_text", "_nth") if c in docs.columns)))
 
 
 def _threshold(items: DataFrame, rests: DataFrame, known=F.broadcast) -> DataFrame:
@@ -174,9 +186,13 @@ def _threshold(items: DataFrame, rests: DataFrame, known=F.broadcast) -> DataFra
 
 def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, most: int = MOST, seed: int = SEED, limit: int = LIMIT) -> DataFrame:
     """docs(_key, _size, _sources, with _text and _row if keys repeat) and its other columns with _target, _source_size (of the first source) and _times."""
+    hashed = cut(_hashed(docs, _again(docs), seed), "hashed")
+    return _taken(hashed, _plan(hashed, cycle, most, limit), most)
+
+
+def _plan(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, most: int = MOST, limit: int = LIMIT) -> DataFrame:
+    """What the mix takes of each pattern of docs(_pattern, _u, _size, _sources): (_pattern, whole, rest, _target, _source_size, upto, more)."""
     spark = docs.sparkSession
-    pattern = F.to_json(F.struct(F.array_sort(F.array_distinct("_sources")).alias("s")))
-    docs = cut(_numbered(docs).withColumn("_pattern", pattern).withColumn("_u", F.xxhash64(F.lit(seed), *(c for c in ("_key", "_text", "_nth") if c in docs.columns or c == "_nth"))), "hashed")
     found = docs.groupBy("_pattern").agg(F.first("_sources").alias("s"), F.sum("_size").alias("size")).limit(limit + 1).collect()
     if len(found) > limit:
         raise ValueError(f"more than {limit} membership patterns")
@@ -204,8 +220,12 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, most: int = MOST, see
     plan = spark.createDataFrame(rows, schema)
     known = F.broadcast if len(rows) <= KNOWN else lambda df: df
     upto = _threshold(docs.select(F.col("_pattern").alias("pattern"), F.col("_size").alias("size"), F.col("_u").alias("u")), plan.select("pattern", "rest"), known)
-    plan = cut(plan.join(upto, "pattern", "left"), "plan")
-    out = docs.join(known(plan.withColumnRenamed("pattern", "_pattern")), "_pattern")
+    return cut(plan.join(upto, "pattern", "left").withColumnRenamed("pattern", "_pattern"), "plan")
+
+
+def _taken(docs: DataFrame, plan: DataFrame, most: int = MOST) -> DataFrame:
+    """docs(_pattern, _u) with _target, _source_size and _times by their plan: each row tells by its own hash how often it is taken, so rows don't travel."""
+    out = docs.join(F.broadcast(plan) if plan.count() <= KNOWN else plan, "_pattern")
     times = F.col("whole") + F.when((F.col("whole") < most) & ((F.col("_u") <= F.col("upto")) | F.array_contains("more", F.col("_u"))), 1).otherwise(0)
     return out.withColumn("_times", times).drop("_pattern", "_u", "_nth", "whole", "rest", "upto", "more")
 
@@ -223,7 +243,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row as many times as it is taken."""
-    rows = cut(docs.select(F.struct("*").alias("own"), F.monotonically_increasing_id().alias("_row")), "rows")
-    sized = cut(_sized(rows.select("own.doc_id", "own.text", "own.source", F.col("_row").alias("_own"))).drop("_row").withColumnRenamed("_own", "_row").select(*_ASKED), "sizes")
-    times = settled(lambda: mix(sized).where("_times > 0").select("_row", "_times"), "times")
-    return rows.join(times, "_row").select("own", F.explode(F.sequence(F.lit(1), "_times"))).select("own.*")
+    rows = cut(_sized(docs.select(F.struct("*").alias("own"), "doc_id", "text", "source")).select("own", *_ASKED), "rows")
+    again = _again(rows)
+    plan = settled(lambda: _plan(cut(_hashed(rows.drop("own"), again), "hashed")), "plan")
+    taken = _taken(_hashed(rows, again), plan).where("_times > 0")
+    return taken.select("own", F.explode(F.sequence(F.lit(1), "_times"))).select("own.*")

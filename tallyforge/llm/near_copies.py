@@ -2,12 +2,16 @@
 
 Two texts are near copies if the sets of their five-word shingles have a Jaccard
 similarity of 0.8 or more. Texts with equal sets are one class from the start.
-Candidates come from MinHash: 48 bands of 8 minima each, so a pair at similarity
-0.8 shares a band with probability 1 - (1 - 0.8^8)^48 = 0.9998, and more above;
-texts that have half of their words in common share one with probability 0.001 or
-less, so a passage in many documents hardly brings them together. op6's
-fingerprints are not used here: at 0.8 they differ in about ten of 64 bits, and
-an index that wide asks for most of the corpus.
+
+Candidates come from two indexes. The first is op6's: SimHash fingerprints, here of
+the five-word sets, found within two bits of each other by multi-index hashing;
+each class asks the first one of its fingerprints' component. At 0.8 fingerprints
+differ in about ten of 64 bits, and an index that wide asks for most of the
+corpus, so what op6 leaves comes from MinHash: 48 bands of 8 minima each, so a pair
+at similarity 0.8 shares a band with probability 1 - (1 - 0.8^8)^48 = 0.9998, and
+more above; texts that have half of their words in common share one with
+probability 0.001 or less, so a passage in many documents hardly brings them
+together.
 
 In a band the members' sketches, a byte each of 128 minima, are compared before
 any set travels: pairs that agree in fewer than ``LEAST_EQUAL`` of them are not at
@@ -40,6 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import among, bitmap, cut, heaviest, links_to_components, parts, raw, settled
+from .simhash_dedup import components, majority
 
 SEED, WORDS, BANDS, PER_BAND, BLOCK = 42, 5, 48, 8, 1024
 #: Minima in a sketch, how many of them are equal at least in a candidate, and candidates of each member in the first pass.
@@ -79,16 +84,17 @@ def sketch(least: np.ndarray) -> bytes:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts(batches):
-        known: dict[bytes, tuple[bytes, np.ndarray, bytes]] = {}
+        known: dict[bytes, tuple[bytes, np.ndarray, bytes, int]] = {}
         for text in batch.column(1).to_pylist():
             if text not in known:
                 h = shingles(text)
                 least = minima(h)
-                known[text] = (xxhash.xxh3_128_digest(h.tobytes()), bands(least).view(np.int64), sketch(least))
+                known[text] = (xxhash.xxh3_128_digest(h.tobytes()), bands(least).view(np.int64), sketch(least), majority(h))
         out = [known[t] for t in batch.column(1).to_pylist()]
-        flat = pa.array(np.concatenate([b for _, b, _ in out]) if out else np.empty(0, np.int64))
+        flat = pa.array(np.concatenate([b for _, b, _, _ in out]) if out else np.empty(0, np.int64))
+        prints = pa.array(np.array([p for *_, p in out], np.uint64).view(np.int64))
         offsets = pa.array(np.arange(0, BANDS * len(out) + 1, BANDS, np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _, _ in out], pa.binary()), pa.ListArray.from_arrays(offsets, flat), pa.array([s for _, _, s in out], pa.binary())], ["row", "key", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, *_ in out], pa.binary()), pa.ListArray.from_arrays(offsets, flat), pa.array([s for _, _, s, _ in out], pa.binary()), prints], ["row", "key", "bands", "sketch", "print"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,10 +104,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))], ["node", "set"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) that are near copies; texts(node, text)."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(texts.join(asked, "node", "left_semi").select("node", raw("text")).mapInArrow(_sets, "node long, set array<long>"), "sets")
+def verified(pairs: DataFrame, texts: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Those of pairs(a, b) that are near copies; texts: (node, row) and (row, text)."""
+    nodes, rows = texts
+    asked = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "asked")
+    # Texts that nobody asks for go before they travel; the bitmap lets a few through for nothing.
+    wanted = among(bitmap(asked.select(F.xxhash64("row").alias("h"))))
+    own = rows.select("row", "text").where(wanted(F.xxhash64("row"))).join(asked, "row")
+    sets = cut(own.select("node", raw("text")).mapInArrow(_sets, "node long, set array<long>"), "sets")
     a = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     b = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     both, common = F.size("x") + F.size("y"), F.size(F.array_intersect("x", "y"))
@@ -227,9 +237,15 @@ def _met(members: DataFrame, block: int) -> DataFrame:
     return cut(dealt.mapInArrow(_pairs(rooted), "a long, b long").distinct(), "pairs")
 
 
-def near_links(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Verified links (a, b), a < b, of members(node, band, sketch), whose components are those of all links."""
-    first = cut(verified(_met(members, block), texts), "links")
+def simhash_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b), a < b: each of classes(node, print) with the first one of its component among op6's fingerprints."""
+    prints = classes.select(F.col("node").alias("doc_id"), "print")
+    return prints.join(components(prints), "print").where("component_id < doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+
+
+def near_links(members: DataFrame, texts: tuple[DataFrame, DataFrame], near: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Verified links (a, b), a < b, of members(node, band, sketch) and of pairs near(a, b), whose components are those of all links."""
+    first = cut(verified(cut(near.union(_met(members, block)).distinct(), "near"), texts), "links")
     roots = links_to_components(first)
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return first.union(cut(verified(_met(rooted, block), texts), "links"))
@@ -237,16 +253,16 @@ def near_links(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> Data
 
 def heads(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """(row) of the one row of each component that stays, of rows(row, doc_id, text)."""
-    made = cut(rows.select("row", raw("text")).mapInArrow(_signatures, "row long, key binary, bands array<long>, sketch binary"), "signatures")
+    made = cut(rows.select("row", raw("text")).mapInArrow(_signatures, "row long, key binary, bands array<long>, sketch binary, print long"), "signatures")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    classes = made.join(rows.select("row", "doc_id"), "row").groupBy("key").agg(F.min(first).alias("f"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = made.join(rows.select("row", "doc_id"), "row").groupBy("key").agg(F.min(first).alias("f"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("print").alias("print"))
     # Sorted and then numbered, so that nodes stand in the order of (doc_id, row).
-    classes = cut(classes.select("f.*", "bands", "sketch").orderBy("none", "doc_id", "row").withColumn("node", F.monotonically_increasing_id()).select("node", "row", "bands", "sketch"), "classes")
-    texts = rows.select("row", "text").join(classes.select("row", "node"), "row").select("node", "text")
+    classes = cut(classes.select("f.*", "bands", "sketch", "print").orderBy("none", "doc_id", "row").withColumn("node", F.monotonically_increasing_id()).select("node", "row", "bands", "sketch", "print"), "classes")
+    near = cut(simhash_pairs(classes), "simhash_pairs")
     held = classes.select("node", F.explode("bands").alias("band"), "sketch")
     # What shares no band with another goes before its sketch travels; the bitmap lets a few through for nothing.
     shared = among(bitmap(classes.select(F.explode("bands").alias("h")).groupBy("h").count().where("count > 1")))
-    links = near_links(held.where(shared("band")), texts, block)
+    links = near_links(held.where(shared("band")), (classes.select("node", "row"), rows), near, block)
     gone = links_to_components(links).select("node")
     return classes.join(gone, "node", "left_anti").select("row")
 

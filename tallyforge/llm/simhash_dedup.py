@@ -47,7 +47,11 @@ def fingerprint(text: bytes, n: int = WORDS) -> int:
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-n])).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    return majority(np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     set_bits = np.zeros(64, np.int64)
     for i in range(0, len(h), 65536):
         set_bits += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -131,3 +131,15 @@ def test_a_shared_passage_makes_few_pairs(spark):
     finally:
         near_copies.verified = whole
     assert len(asked) == 2 and sum(asked) < 700
+
+
+def test_candidates_come_from_simhash_too(spark, monkeypatch):
+    """op6's fingerprints and multi-index are a step of the stage: without any MinHash candidate, texts that fingerprints bring together still leave one."""
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"v{rng.randrange(10**6)}" for _ in range(50))]
+    asked = []
+    whole = near_copies.simhash_pairs
+    monkeypatch.setattr(near_copies, "simhash_pairs", lambda classes: asked.append(classes.count()) or whole(classes))
+    monkeypatch.setattr(near_copies, "_met", lambda members, block: spark.createDataFrame([], "a long, b long"))
+    assert left_of(spark, texts, 1024) == [0, 2] and asked == [3]
