@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import among, bitmap, cut, heaviest, links_to_components, parts, raw, settled
+from .common import among, bitmap, cut, heaviest, links_to_components, marked, parts, raw, settled
 from .simhash_dedup import components, majority
 
 SEED, WORDS, BANDS, PER_BAND, BLOCK = 42, 5, 48, 8, 1024
@@ -97,21 +97,27 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, *_ in out], pa.binary()), pa.ListArray.from_arrays(offsets, flat), pa.array([s for _, _, s, _ in out], pa.binary()), prints], ["row", "key", "bands", "sketch", "print"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in parts(batches, 256):
-        out = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
-        offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))], ["node", "set"])
+def _sets(words: np.ndarray):
+    """(row, set) of those of (row, h, text) whose h may be among a bitmap's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 256):
+            batch = batch.filter(pa.array(marked(words, batch.column(1).to_numpy())))
+            out = [shingles(t).view(np.int64) for t in batch.column(2).to_pylist()]
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))], ["row", "set"])
+
+    return run
 
 
 def verified(pairs: DataFrame, texts: tuple[DataFrame, DataFrame]) -> DataFrame:
     """Those of pairs(a, b) that are near copies; texts: (node, row) and (row, text)."""
     nodes, rows = texts
     asked = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "asked")
-    # Texts that nobody asks for go before they travel; the bitmap lets a few through for nothing.
-    wanted = among(bitmap(asked.select(F.xxhash64("row").alias("h"))))
-    own = rows.select("row", "text").where(wanted(F.xxhash64("row"))).join(asked, "row")
-    sets = cut(own.select("node", raw("text")).mapInArrow(_sets, "node long, set array<long>"), "sets")
+    # Texts stay where they are, and only sets that are asked for travel; the bitmap lets a few through for nothing.
+    h = F.xxhash64("row").alias("h")
+    made = rows.select("row", h, raw("text")).mapInArrow(_sets(bitmap(asked.select(h))), "row long, set array<long>")
+    sets = cut(made.join(asked, "row").select("node", "set"), "sets")
     a = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     b = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     both, common = F.size("x") + F.size("y"), F.size(F.array_intersect("x", "y"))
