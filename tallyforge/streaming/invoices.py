@@ -15,6 +15,10 @@ from ..operators.validate import validated
 from ..sources import batch as files_batch
 
 
+#: States that numbers are dealt to.
+SHARES = 1024
+
+
 def arriving(spark: SparkSession, path: str, schema: str = "doc_id string, source_file string, text string, arrived timestamp") -> DataFrame:
     """Parquet files of documents in a folder, each document once within an hour of its first arrival."""
     rows = spark.readStream.schema(schema).parquet(path)
@@ -36,11 +40,14 @@ def windowed_counts(events: DataFrame, every: str = "1 hour", late: str = "10 mi
     return events.withWatermark("arrived", late).groupBy(F.window("arrived", every), "status").count()
 
 
-def repeated_numbers(rows: DataFrame, keep: str = "30 days", late: str = "1 hour") -> DataFrame:
+def repeated_numbers(rows: DataFrame, keep: str = "30 days", late: str = "1 hour", shares: int = SHARES) -> DataFrame:
     """(number, source_file, arrived, earlier) of a stream with these columns: the file that had the number before, null for the first.
 
     The state of a number is its last file. It goes when the watermark has passed
-    its last arrival by ``keep``; a number that comes again after that is new.
+    its last arrival by ``keep``; a number that comes again after that is new. Numbers
+    share a state by their hash, ``shares`` of them, as a call of Python costs as much
+    for one number as for hundreds; a state's size is its numbers' by ``shares``. A
+    checkpoint goes with its ``shares``.
     Files of a micro-batch count in order of arrival and name, so any cut into
     micro-batches gives the same, and a restart goes on from the checkpoint. Rows
     without a number are none's repeat and pass beside the state.
@@ -48,22 +55,37 @@ def repeated_numbers(rows: DataFrame, keep: str = "30 days", late: str = "1 hour
     hold = int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        known = pd.DataFrame(dict(zip(("number", "last", "seen"), state.get if state.exists else ([], [], []), strict=True))).astype({"seen": "int64"}).set_index("number")
+        passed = state.getCurrentWatermarkMs()
+        latest = known
+        if not state.hasTimedOut:
+            own = pd.concat(list(frames)).sort_values(["arrived", "source_file"], kind="stable")[["number", "source_file", "arrived"]]
+            by = own.groupby("number", sort=False)
+            before = by["source_file"].shift().astype(object)
+            first = by.cumcount() == 0
+            before[first] = own["number"][first].map(known["last"])
+            yield own.assign(earlier=before.where(before.notna(), None))
+            came = pd.DataFrame({"last": by["source_file"].last(), "seen": by["arrived"].max().astype("datetime64[ms]").astype("int64")})
+            came["seen"] = came["seen"].combine(known["seen"].reindex(came.index, fill_value=0), max)
+            latest = pd.concat([came, known.drop(came.index, errors="ignore")])
+            # What came in this batch stays at least to the next one, even within its lateness.
+            kept_on = latest.index.isin(came.index)
+        else:
+            kept_on = False
+        latest = latest[(latest["seen"] + hold >= passed) | kept_on]
+        if latest.empty:
             state.remove()
             return
-        own = pd.concat(list(frames)).sort_values(["arrived", "source_file"], kind="stable")
-        last, seen = state.get if state.exists else (None, 0)
-        earlier = [last, *own["source_file"].tolist()]
-        latest = max(seen, int(own["arrived"].max().timestamp() * 1000))
-        state.update((earlier[-1], latest))
-        # A time-out may not lie before the watermark, as a row within its lateness could ask for.
-        state.setTimeoutTimestamp(max(latest + hold, state.getCurrentWatermarkMs() + 1))
-        yield own.assign(number=key[0], earlier=earlier[:-1])[["number", "source_file", "arrived", "earlier"]]
+        state.update((latest.index.tolist(), latest["last"].tolist(), latest["seen"].tolist()))
+        # A time-out may not lie before the watermark.
+        state.setTimeoutTimestamp(max(int(latest["seen"].min()) + hold, passed + 1))
 
     rows = rows.select("number", "source_file", "arrived").withWatermark("arrived", late)
     blank = F.trim(F.coalesce("number", F.lit(""))) == ""
     schema = "number string, source_file string, arrived timestamp, earlier string"
-    found = rows.where(~blank).groupBy("number").applyInPandasWithState(follow, schema, "last string, seen long", "append", GroupStateTimeout.EventTimeTimeout)
+    share = F.pmod(F.xxhash64("number"), F.lit(shares))
+    state = "number array<string>, last array<string>, seen array<long>"
+    found = rows.where(~blank).withColumn("share", share).groupBy("share").applyInPandasWithState(follow, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
     return found.unionByName(rows.where(blank).withColumn("earlier", F.lit(None).cast("string")))
 
 
