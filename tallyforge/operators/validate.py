@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.dates import to_date
 from ..functions.ids import is_gstin
-from ..functions.layers import computed
+from ..functions.layers import computed, let
 from ..plans import constants as K
 
 ISSUE = "struct<field_name: string, issue: string, severity: string, expected: string, actual: string>"
@@ -41,14 +41,18 @@ def gstin_issue(c: Column, name: str) -> Column:
 
 def date_issue(c: Column, name: str, as_of: Column) -> Column:
     """as_of is given, not read from a clock, so reruns agree."""
-    d = to_date(c)
     say = lambda what: issue(name, F.concat(F.lit(what), c), "WARNING", None, c)
-    return (
-        F.when(missing(c), issue(name, "Date not found", "WARNING"))
-        .when(d.isNull(), issue(name, F.concat(F.lit("Cannot parse date: '"), c, F.lit("'")), "WARNING", None, c))
-        .when(d > F.date_add(as_of, 1), say("Date is in the future: "))
-        .when(d < F.date_sub(as_of, 365 * 5), say("Date is more than 5 years old: "))
-    )
+
+    def of(d: Column) -> Column:
+        return (
+            F.when(missing(c), issue(name, "Date not found", "WARNING"))
+            .when(d.isNull(), issue(name, F.concat(F.lit("Cannot parse date: '"), c, F.lit("'")), "WARNING", None, c))
+            .when(d > F.date_add(as_of, 1), say("Date is in the future: "))
+            .when(d < F.date_sub(as_of, 365 * 5), say("Date is more than 5 years old: "))
+        )
+
+    # The date is read once, not for each of its tests.
+    return let(to_date(c), of)
 
 
 def off(a: Column, b: Column, tolerance: float = K.TOLERANCE) -> Column:
