@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, parts, table, tasks
+from .common import cut, parts, released, table, tasks
 
 CAPACITY, CLOSING, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 3, 2, 5, 4
@@ -96,6 +96,11 @@ class Words(dict):
         self[word] = ids = b"".join(map(self.pretokens.__getitem__, PRETOKEN.findall(word))) if ids is None else ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.before.clear()
+        self.pretokens.clear()
+
     def text(self, text: str) -> bytes:
         """Ids of a whole text. One with other characters, or a special token's name, goes to the tokenizer as it is."""
         b = text.encode("latin-1", "ignore")
@@ -137,6 +142,9 @@ def _pieces(vocabulary: str, capacity: int, closing: int):
                 [pa.array(doc, batch.column(0).type), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        # The worker may go on to other work and would hold two hundred megabytes; the vocabulary stays.
+        words.forget()
+        released()
 
     return run
 

@@ -32,13 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import parts, raw, table
+from .common import raw, released, table
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 16
 SAMPLE, LONGEST, EPOCHS, BATCH, RATE, CALIBRATION = 1500, 32_768, 8, 32, 0.08, 5
-CUTOFF, LEAST_POSITIVES, REMEMBERED, SLICE, SPREAD = 0.7, 15, 1 << 17, 1 << 20, 0.1
+CUTOFF, LEAST_POSITIVES, REMEMBERED, SLICE, SPREAD = 0.7, 15, 1 << 17, 1 << 18, 0.1
+#: Rows whose texts, and words whose features, are Python or numpy objects at one time.
+ROWS, WORDS = 1024, 1 << 13
 STRIP = ".,;:!?\"'()[]{}|*-_"
 crc = zlib.crc32
 #: Seeds of the hashes of whole words and of their beginnings, by length.
@@ -261,15 +262,13 @@ class Scorer:
             self.known, self.taps, new = {}, [], list(set(words))
         at = len(self.known)
         self.known.update(zip(new, range(at, at + len(new)), strict=True))
-        if new:
-            more = self.model.taps(np.array([features(w) for w in new], np.int64))
-            if not self.taps or at + len(new) > len(self.taps[0]):
-                grown = [np.empty((2 * (at + len(new)), FILTERS), np.float32) for _ in more]
-                for x, y in zip(grown, self.taps, strict=False):
-                    x[:at] = y[:at]
-                self.taps = grown
+        if new and (not self.taps or at + len(new) > len(self.taps[0])):
+            # Of the whole bound at once: pages that nothing is written to take no memory, and nothing is copied.
+            self.taps = [np.empty((max(REMEMBERED, len(new)), FILTERS), np.float32) for _ in range(sum(WIDTHS))]
+        for i in range(0, len(new), WORDS):
+            more = self.model.taps(np.array([features(w) for w in new[i : i + WORDS]], np.int64))
             for x, y in zip(self.taps, more, strict=True):
-                x[at : at + len(new)] = y
+                x[at + i : at + i + len(y)] = y
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -299,12 +298,15 @@ class Scorer:
 
 
 def _score(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value) if shared.value is not None else None
-        for batch in parts(batches):
-            texts = batch.column("text").to_pylist()
-            s = scorer.scores(texts) if scorer else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(s)], ["own", "score"])
+        for texts in columns:
+            s = np.zeros(len(texts))
+            for i in range(0, len(texts) if scorer else 0, ROWS):
+                s[i : i + ROWS] = scorer.scores(texts.slice(i, ROWS).to_pylist())
+            yield pa.array(s)
+        scorer = None
+        released()
 
     return run
 
@@ -323,10 +325,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
 
 
 def score_documents(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """(own, score): the row as it was, as a struct, and its score."""
+    """(own, score): the row as it was, as a struct, and its score. Only texts go to Python, once, and only scores come back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField("own", docs.schema), T.StructField("score", T.DoubleType())])
-    return docs.select(F.struct("*").alias("own"), raw(text).alias("text")).mapInArrow(_score(shared), schema)
+    return docs.select(F.struct("*").alias("own"), F.arrow_udf(_score(shared), "double")(raw(text)).alias("score"))
 
 
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
