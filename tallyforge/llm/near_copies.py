@@ -225,7 +225,8 @@ def _met(members: DataFrame, block: int) -> DataFrame:
     counts = cut(counts, "band_sizes")
     least = heaviest(counts)
     often, seldom = F.broadcast(counts.where(F.col("n") >= least)), counts.where(F.col("n") < least)
-    met = members.join(often, "band").unionByName(members.join(often.select("band"), "band", "left_anti").join(seldom, "band"))
+    # Members are bands of a class each, which Spark takes for as small as the classes.
+    met = members.join(often, "band").unionByName(members.join(often.select("band"), "band", "left_anti").hint("merge").join(seldom, "band"))
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
     own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     to = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))

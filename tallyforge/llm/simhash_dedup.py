@@ -82,8 +82,9 @@ def near_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     held = prints.select(F.explode(halves).alias("half"), p.alias("other"))
     asked = prints.select("print", F.explode(halves).alias("own")).select("print", F.explode(F.transform(flips, lambda x: F.col("own").bitwiseXOR(x))).alias("half"))
     full = held.groupBy("half").count().where(F.col("count") > bucket).select("half", F.lit(True).alias("full"))
-    asked = asked.join(full, "half", "left")
-    met = asked.where("full IS NULL").join(held, "half").where("print < other AND bit_count(print ^ other) <= 2")
+    # Spark takes what is asked for as small as the fingerprints it is made of, and would send 66 rows of each to the driver and all tasks.
+    asked = asked.hint("merge").join(full, "half", "left")
+    met = asked.where("full IS NULL").hint("merge").join(held, "half").where("print < other AND bit_count(print ^ other) <= 2")
     met = met.select(F.col("print").alias("a"), F.col("other").alias("b"))
 
     rest = asked.where("full").select("print").distinct()
